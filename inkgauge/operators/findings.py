@@ -67,5 +67,14 @@ def run_family(shredded: DataFrame, family: Family, key: str = "doc_id") -> Data
     return explode_findings(family.measures(shredded).withColumn("found", family.findings()), key)
 
 
+def rows_of(df: DataFrame, keys: list[str], array: Column | str, position: str, value: str) -> DataFrame:
+    """One row per array entry, numbered from 0.
+
+    The outer form plus a filter on its own output: the plain form makes the optimizer add a "not empty"
+    filter below the explode, which would compute the whole array expression a second time.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias(position, value)).filter(F.col(position).isNotNull())
+
+
 def explode_findings(df: DataFrame, key: str = "doc_id", column: str = "found") -> DataFrame:
-    return df.select(key, F.posexplode(column).alias("ord", "f")).select(key, "ord", "f.*")
+    return rows_of(df, [key], column, "ord", "f").select(key, "ord", "f.*")

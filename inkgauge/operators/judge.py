@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgauge import dims
 from inkgauge.functions import text as X
-from inkgauge.operators.findings import finding
+from inkgauge.operators.findings import finding, rows_of
 
 AXIS = "struct<name:string,score:double,worst_sentence:string,suggested_rewrite:string,reason:string>"
 
@@ -74,5 +74,4 @@ def axis_score() -> Column:
 
 def judge_rows(answers: DataFrame, layer: str, key: str = "doc_id") -> DataFrame:
     """Findings of one judge as a long table."""
-    found = parse_answers(answers).select(key, F.posexplode(axis_findings(layer)).alias("ord", "f"))
-    return found.select(key, "ord", "f.*")
+    return rows_of(parse_answers(answers), [key], axis_findings(layer), "ord", "f").select(key, "ord", "f.*")

@@ -142,22 +142,20 @@ def audit(
         )
     df = score(df, weights)
     if preflight is not None:
-        outside = preflight.groupBy(key).agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("check_id", F.lit("preflight").alias("layer"), "severity", "evidence")
-                )
-            ).alias("outside")
-        )
-        extra = F.transform(
-            "outside",
-            lambda p: fnd.finding(p["check_id"], "preflight", p["severity"], "static", p["evidence"]),
+        # Outside findings never change scores; their criticals block. Only a count and three ids per
+        # post are carried over, so a post with very many outside findings stays a small row.
+        outside = preflight.withColumn("ord", F.xxhash64("check_id", "evidence"))
+        df = (
+            df.join(scoring.count_critical(outside, [key]).withColumnRenamed("critical_count", "more"), key, "left")
+            .join(scoring.first_criticals(outside, [key]), key, "left")
+            .withColumns(
+                {
+                    "critical_count": F.col("critical_count") + F.coalesce("more", F.lit(0)),
+                    "criticals": F.concat("criticals", F.coalesce("shown", F.array().cast("array<string>"))),
+                }
+            )
+            .drop("more", "shown")
         )
-        df = df.join(outside, key, "left").withColumn("found", F.concat("found", F.coalesce(extra, fnd.no_findings())))
-        df = df.withColumn(
-            "criticals",
-            F.transform(F.filter("found", lambda f: f["severity"] == "critical"), lambda f: f["check_id"]),
-        ).withColumn("critical_count", F.size("criticals")).drop("outside")
     return df.withColumns(
         {
             "verdict": scoring.verdict(F.col("critical_count"), F.col("overall"), target),
@@ -168,6 +166,17 @@ def audit(
     ).drop("criticals", "human_found", "quality_found", "human_judge_score", "quality_judge_score")
 
 
-def findings_table(reports: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The findings of all posts as the long table, with rule citations."""
-    return scoring.citations_for_check(fnd.explode_findings(reports, key))
+def findings_table(reports: DataFrame, preflight: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """The findings of all posts as the long table, with rule citations; outside findings come last."""
+    rows = fnd.explode_findings(reports, key)
+    if preflight is not None:
+        shown = preflight.select(
+            key, F.lit(None).cast("int").alias("ord"),
+            F.inline(
+                F.array(
+                    fnd.finding(F.col("check_id"), "preflight", F.col("severity"), "static", F.col("evidence"))
+                )
+            ),
+        )
+        rows = rows.unionByName(shown)
+    return scoring.citations_for_check(rows)
