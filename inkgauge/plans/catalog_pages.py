@@ -135,8 +135,8 @@ def gaps(spark, sf) -> DataFrame:
 
 QUERIES["heading_gap"] = (
     gaps,
-    over(f"WITH {BARE}, {LEVELS}, g AS (SELECT doc_id, lv, list_filter(range(2, len(lv) + 1), lambda i: lv[i] > lv[i - 1] + 1) AS at FROM l) "
-         "SELECT doc_id, lv[at[1] - 1] AS from_level, lv[at[1]] AS to_level FROM g WHERE len(at) > 0"),
+    over(f"WITH {BARE}, {LEVELS}, g AS (SELECT doc_id, lv, list_filter(range(2, len(lv) + 1), lambda i: lv[i] > lv[i - 1] + 1) AS gap_at FROM l) "
+         "SELECT doc_id, lv[gap_at[1] - 1] AS from_level, lv[gap_at[1]] AS to_level FROM g WHERE len(gap_at) > 0"),
 )
 
 # --- sections ---------------------------------------------------------------------------------
@@ -384,8 +384,8 @@ QUERIES["detect_citations"] = (
 LD = """ld AS (SELECT doc_id, json(jsonld) AS j FROM synth_pages WHERE jsonld <> '' AND json_valid(jsonld)),
 roots AS (SELECT doc_id, j AS n, 0 AS o FROM ld WHERE json_type(j) = 'OBJECT' UNION ALL SELECT doc_id, unnest(cast(j as json[])), 0 FROM ld WHERE json_type(j) = 'ARRAY'),
 kids AS (SELECT doc_id, unnest(cast(n->'@graph' as json[])) AS n FROM roots WHERE json_type(n->'@graph') = 'ARRAY'),
-ents AS (SELECT doc_id, n FROM roots WHERE json_type(n) = 'OBJECT' AND n->'@type' IS NOT NULL UNION ALL SELECT doc_id, n FROM kids WHERE json_type(n) = 'OBJECT' AND n->'@type' IS NOT NULL),
-etypes AS (SELECT doc_id, n, unnest(case when json_type(n->'@type') = 'ARRAY' then cast(n->'@type' as varchar[]) when n->>'@type' <> '' then [n->>'@type'] else []::varchar[] end) AS type FROM ents)"""
+ents AS (SELECT doc_id, n FROM roots WHERE json_type(n) = 'OBJECT' AND (n->'@type') IS NOT NULL UNION ALL SELECT doc_id, n FROM kids WHERE json_type(n) = 'OBJECT' AND (n->'@type') IS NOT NULL),
+etypes AS (SELECT doc_id, n, unnest(case when json_type(n->'@type') = 'ARRAY' then cast(n->'@type' as varchar[]) when (n->>'@type') <> '' then [n->>'@type'] else []::varchar[] end) AS type FROM ents)"""
 AUTHOR = f"""{LD}, persons AS (SELECT doc_id, n FROM etypes WHERE type = 'Person'),
 inline AS (SELECT doc_id, n->'author' AS n FROM etypes WHERE type = 'Article' AND json_type(n->'author') = 'OBJECT'),
 auth AS (SELECT p.doc_id, coalesce((SELECT any_value(n) FROM persons x WHERE x.doc_id = p.doc_id), (SELECT any_value(n) FROM inline x WHERE x.doc_id = p.doc_id)) AS n FROM synth_pages p),
@@ -432,9 +432,9 @@ vf AS (SELECT doc_id, 'V_schema_empty_block' AS check_id, 'fail' AS severity FRO
  UNION ALL SELECT doc_id, 'V_schema_invalid_root', 'fail' FROM up WHERE parent IS NOT NULL AND pkey IS NULL AND ptype = 'ARRAY' AND gtype IS NULL AND type <> 'OBJECT'
  UNION ALL SELECT doc_id, 'V_schema_graph_not_array', 'fail' FROM up WHERE key = '@graph' AND type <> 'ARRAY'
  UNION ALL SELECT doc_id, 'V_schema_graph_non_object_item', 'fail' FROM up WHERE pkey = '@graph' AND ptype = 'ARRAY' AND type <> 'OBJECT'
- UNION ALL SELECT doc_id, 'V_schema_entity_no_type', 'warn' FROM objs WHERE value->'@type' IS NULL AND value->'@graph' IS NULL AND NOT (value->'@id' IS NOT NULL AND len(json_keys(value)) = 1)
+ UNION ALL SELECT doc_id, 'V_schema_entity_no_type', 'warn' FROM objs WHERE (value->'@type') IS NULL AND (value->'@graph') IS NULL AND NOT ((value->'@id') IS NOT NULL AND len(json_keys(value)) = 1)
    AND fullkey NOT LIKE '%@graph".%' AND fullkey NOT LIKE '%@graph.%'
- UNION ALL SELECT doc_id, 'V_schema_invalid_type_value', 'fail' FROM objs WHERE value->'@type' IS NOT NULL AND (value->>'@type') = '')"""
+ UNION ALL SELECT doc_id, 'V_schema_invalid_type_value', 'fail' FROM objs WHERE (value->'@type') IS NOT NULL AND (value->>'@type') = '')"""
 QUERIES["schema_validity"] = (
     lambda spark, sf: rows(shredded(spark, sf), jsonld.VALIDITY),
     over(f"WITH {VALIDITY} SELECT doc_id, check_id, severity FROM vf"),
