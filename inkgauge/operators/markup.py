@@ -6,6 +6,7 @@ Both visit a document once, in time linear in its size, and keep no state betwee
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 VOID = frozenset(
@@ -260,3 +261,84 @@ def unwrap_envelope(item):
     if isinstance(item, dict) and "schema" in item and "@type" not in item:
         return item["schema"]
     return item
+
+
+# --- editing JSON-LD in a page ----------------------------------------------------------------
+
+LD_SCRIPT = re.compile(r"""(<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>)(.*?)(</script\s*>)""", re.I | re.S)
+
+
+def _value_of(text: str):
+    text = (text or "").strip()
+    ok, value = parse_json(text) if text else (True, "")
+    return value if ok else text
+
+
+def _first_of_type(root, wanted: str):
+    """First node of a type, looking through arrays and "@graph" in document order."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack.extend(reversed(node))
+        elif isinstance(node, dict):
+            types = node.get("@type")
+            if types == wanted or (isinstance(types, list) and wanted in types):
+                return node
+            graph = node.get("@graph")
+            if isinstance(graph, list):
+                stack.extend(reversed(graph))
+    return None
+
+
+def _edit_block(root, target: str, value) -> bool:
+    """Change one parsed block in place; False when the target is not in it."""
+    if target.startswith("add:"):
+        value.setdefault("@type", target[4:].strip())
+        home = root if isinstance(root, list) else root.get("@graph") if isinstance(root, dict) else None
+        if not isinstance(home, list):
+            return False
+        home.append(value)
+        return True
+    kind, *steps = target.split(".")
+    node = _first_of_type(root, kind)
+    if node is None:
+        return False
+    for step in steps[:-1]:
+        if not isinstance(node.get(step), dict):
+            node[step] = {}
+        node = node[step]
+    node[steps[-1]] = value
+    return True
+
+
+def insert_schema(html: str, patches: list[dict]) -> tuple[str, list[tuple]]:
+    """Apply JSON-LD patches in order; returns the page and (target, type, ok, reason) per patch."""
+    log = []
+    for patch in patches:
+        target, value = patch["target"] or "", _value_of(patch["after"])
+        reason = None
+        if not target.startswith("add:") and (not target.partition(".")[0] or not target.partition(".")[2]):
+            reason = "invalid target"
+        elif target.startswith("add:") and not isinstance(value, dict):
+            reason = "value must be a JSON object"
+        blocks = [] if reason else list(LD_SCRIPT.finditer(html))
+        if not reason and not blocks:
+            reason = "no JSON-LD block to change"
+        done, broken = False, False
+        for block in blocks:
+            raw = block.group(2).strip()
+            if not raw:
+                continue
+            ok, root = parse_json(raw)
+            if not ok:
+                broken = True
+            elif _edit_block(root, target, value):
+                text = json.dumps(root, ensure_ascii=False, indent=2)
+                html = html[: block.start(2)] + text + html[block.end(2):]
+                done = True
+                break
+        if not done and not reason:
+            reason = "JSON-LD block did not parse" if broken else "target not found in any JSON-LD block"
+        log.append((target, patch["type"], done, None if done else reason))
+    return html, log
