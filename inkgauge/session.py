@@ -16,6 +16,8 @@ def build_session(app: str = "inkgauge", master: str | None = None, shuffle_part
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Call-site capture costs several driver round trips per expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Pages are wide rows: small Arrow batches keep a Python worker's memory flat.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     )
