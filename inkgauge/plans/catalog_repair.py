@@ -178,7 +178,7 @@ QUERIES["unique_fragment"] = (
 
 
 def span_patches(spark, sf) -> DataFrame:
-    made = F.transform(F.col("spans"), lambda s: rm.patch("replace_span", s, s, F.concat(F.lit("<"), F.upper(s), F.lit(">")), "test"))
+    made = F.transform(F.col("spans"), lambda s: rm.patch("replace_span", s, s, F.concat(F.lit("<"), s, F.lit(">")), "test"))
     return texts(spark, sf).withColumn("spans", F.expr(_SPANS)).withColumn("patches", made)
 
 
@@ -204,7 +204,7 @@ def _apply_sql() -> str:
         before = f"l[{i}]"
         ok = f"(length({before}) > 0 and (length(h) - length(replace(h, {before}, ''))) / greatest(length({before}), 1) = 1)"
         steps.append(
-            f"a{i} AS (SELECT doc_id, l, case when {ok} then replace(h, {before}, '<' || upper({before}) || '>') else h end AS h, acc || case when {ok} then '1' else '0' end AS acc FROM {previous})"
+            f"a{i} AS (SELECT doc_id, l, case when {ok} then replace(h, {before}, '<' || {before} || '>') else h end AS h, acc || case when {ok} then '1' else '0' end AS acc FROM {previous})"
         )
         previous = f"a{i}"
     return f"WITH {_TEXTS_CTE}, s AS (SELECT doc_id, {_SPANS_DUCK} AS l, body_text AS h, '' AS acc FROM t), {', '.join(steps)} SELECT doc_id, h AS html, acc AS accepted FROM a5"
