@@ -9,22 +9,50 @@ from inkgauge.functions import text as X
 from inkgauge.operators.scoring import rank
 
 
-def version_lineage(reports: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``version`` counts the runs of a post in time order; ``is_final`` from version 3 on.
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
+    """Row number of each row in its group, exact even when one group holds much of the table.
 
-    ``previous_runs`` is the list of earlier times of the same post.
+    ``bucket`` must grow with ``order``. Rows are numbered inside (group, bucket), and the sizes of the
+    earlier buckets are added, so a hot group is spread over as many tasks as it has buckets. The sizes
+    are combined before their shuffle, and rows move once: the join and the window share a partitioning.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return reports.withColumns(
-        {
-            "version": F.row_number().over(w),
-            "is_final": F.row_number().over(w) >= dims.FINAL_VERSION,
-            "previous_runs": F.collect_list("started_at").over(before),
-        }
+    rows = df.withColumn("_b", bucket)
+    sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return (
+        rows.join(offsets, [*keys, "_b"])
+        .withColumn(name, (F.col("_off") + F.row_number().over(w)).cast("int"))
+        .drop("_b", "_off")
     )
 
 
+def time_bucket(time: str) -> Column:
+    return F.date_trunc("day", F.col(time))
+
+
+def version_lineage(reports: DataFrame, keys: list[str], time: str, run: str) -> DataFrame:
+    """``version`` counts the runs of a post in time order; ``is_final`` from version 3 on.
+
+    The times of earlier versions are the rows of the same post with a smaller version: kept as rows,
+    since a list in every run would grow with the square of the number of runs.
+    """
+    made = numbered(reports, keys, time_bucket(time), [time, run], "version")
+    return made.withColumn("is_final", F.col("version") >= dims.FINAL_VERSION)
+
+
+def next_runs(runs: DataFrame, post: list[str], time: str, run: str) -> DataFrame:
+    """(run, next_run) of the same post; a post with very many runs is split by day."""
+    rows = runs.select(*post, time, run).withColumn("_b", time_bucket(time))
+    firsts = rows.groupBy(*post, "_b").agg(F.min_by(run, F.struct(time, run)).alias("_first"))
+    onward = firsts.select(*post, "_b", F.lead("_first").over(Window.partitionBy(*post).orderBy("_b")).alias("_next_first"))
+    w = Window.partitionBy(*post, "_b").orderBy(time, run)
+    return rows.join(onward, [*post, "_b"]).select(
+        run, F.coalesce(F.lead(run).over(w), F.col("_next_first")).alias("next_run")
+    ).filter("next_run is not null")
+
+
 def last_by_check(findings: DataFrame, keys: list[str]) -> DataFrame:
     """For each check of a run the finding raised last; ``max_by`` combines before the shuffle."""
     return findings.groupBy(*keys, "check_id").agg(F.max_by("severity", "ord").alias("current_severity"))
@@ -49,13 +77,15 @@ def prior_diff(previous: DataFrame, current: DataFrame, keys: list[str]) -> Data
     )
 
 
-def diff_consecutive(findings: DataFrame, runs: DataFrame, post: list[str], order: list[str], run: str) -> DataFrame:
+def previous_findings(findings: DataFrame, runs: DataFrame, post: list[str], time: str, run: str) -> DataFrame:
+    """Findings of each run's predecessor, under the id of the run that follows."""
+    chain = next_runs(runs, post, time, run)
+    return findings.join(chain, run).withColumn(run, F.col("next_run")).drop("next_run")
+
+
+def diff_consecutive(findings: DataFrame, runs: DataFrame, post: list[str], time: str, run: str) -> DataFrame:
     """``prior_diff`` of every run against the run before it of the same post."""
-    w = Window.partitionBy(*post).orderBy(*order)
-    # One slim row per run links it to the next; findings are never sorted by post.
-    chain = runs.select(run, F.lead(run).over(w).alias("next_run")).filter("next_run is not null")
-    earlier = findings.join(chain, run).withColumn(run, F.col("next_run")).drop("next_run")
-    return prior_diff(earlier, findings, [run])
+    return prior_diff(previous_findings(findings, runs, post, time, run), findings, [run])
 
 
 def new_issues(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,10 +201,11 @@ def top_actions(findings: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return findings.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def fix_order(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Place of every finding in its run's repair list."""
-    w = Window.partitionBy(*keys).orderBy(rank(F.col("severity")).desc(), F.col("ord"))
-    return findings.withColumn("place", F.row_number().over(w))
+def fix_order(findings: DataFrame, keys: list[str], span: int = 100_000) -> DataFrame:
+    """Place of every finding in its run's repair list; a very long list is split by severity and position."""
+    r = rank(F.col("severity"))
+    bucket = F.struct((-r).alias("r"), F.floor(F.col("ord") / span).alias("o"))
+    return numbered(findings, keys, bucket, ["ord"], "place")
 
 
 def flagged_paragraphs(paragraphs: DataFrame, keys: list[str], fallback: int = 10) -> DataFrame:
@@ -215,14 +246,19 @@ def run_index(reports: DataFrame) -> DataFrame:
 
 
 def final_summary(reports: DataFrame) -> DataFrame:
-    """One consolidated record per run that is final, with the times of all its versions."""
+    """One consolidated record per run that is final. ``version_history`` has the times of its versions."""
     return reports.filter("is_final").select(
         "brand", "slug", "version",
         F.to_json(
             F.struct(
-                "brand", "slug", "post_type", "version", "verdict", "final_score", "critical_count",
-                F.concat(F.col("previous_runs"), F.array("started_at")).alias("version_history"),
+                "brand", "slug", "post_type", "version", "verdict", "verdict_reason", "final_score", "critical_count",
+                "started_at",
             )
         ).alias("summary"),
-        (F.size("previous_runs") + 1).alias("history_length"),
     )
+
+
+def version_history(reports: DataFrame) -> DataFrame:
+    """Times of all versions of the posts that have reached a final one, one row each."""
+    final = reports.filter(F.col("version") == dims.FINAL_VERSION).select("brand", "slug")
+    return reports.join(final, ["brand", "slug"], "left_semi").select("brand", "slug", "version", "started_at")

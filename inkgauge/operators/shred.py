@@ -156,8 +156,25 @@ def first_attr(selected: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def within(e: Column, outer: Column) -> Column:
-    return e["pos"].between(outer["pos"] + 1, outer["end_pos"])
+def inside(outer: Column) -> Column:
+    """All elements of a subtree: positions are array places, so this is a slice."""
+    return F.slice(F.col("elements"), outer["pos"] + 2, outer["end_pos"] - outer["pos"])
+
+
+def ancestors(e: Column) -> Column:
+    """Elements around an element, nearest first: one step up per level, however large the page."""
+    shape = "struct<at:int,out:array<struct<pos:int,tag:string>>>"
+    start = F.struct(e["parent_pos"].alias("at"), F.array().cast("array<struct<pos:int,tag:string>>").alias("out")).cast(shape)
+
+    def step(acc: Column, _: Column) -> Column:
+        here = F.get("elements", acc["at"])
+        return F.struct(
+            here["parent_pos"].alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("pos"), here["tag"].alias("tag")))).alias("out"),
+        ).cast(shape)
+
+    levels = F.when(e["depth"] > 0, F.sequence(F.lit(1), e["depth"])).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, start, step, lambda acc: acc["out"])
 
 
 # --- long tables ------------------------------------------------------------------------------

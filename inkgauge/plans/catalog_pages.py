@@ -55,15 +55,17 @@ QUERIES["shred_elements"] = (
 
 
 def nav_links(spark, sf) -> DataFrame:
-    """nav li a[href^="/"]: two containment steps inside each page."""
+    """nav li a[href^="/"]: the elements around each link decide."""
     df = shredded(spark, sf)
-    navs, items = sh.by_tag("nav"), sh.by_tag("li")
-    inside = F.filter(items, lambda li: F.exists(navs, lambda n: sh.within(li, n)))
-    df = df.withColumns({"inside": inside, "a": sh.by_tag("a")})
-    hit = F.filter(
-        "a", lambda a: F.startswith(sh.attr(a, "href"), F.lit("/")) & F.exists("inside", lambda li: sh.within(a, li))
+
+    def chosen(a):
+        around = F.transform(sh.ancestors(a), lambda x: x["tag"])
+        li = F.array_position(around, "li").cast("int")
+        return F.startswith(sh.attr(a, "href"), F.lit("/")) & (li > 0) & F.array_contains(F.slice(around, F.greatest(li, F.lit(1)), F.size(around)), "nav")
+
+    found = F.transform(
+        F.filter(sh.by_tag("a"), chosen), lambda a: F.struct(sh.attr(a, "href").alias("href"), sh.text_of(a).alias("label"))
     )
-    found = F.transform(hit, lambda a: F.struct(sh.attr(a, "href").alias("href"), sh.text_of(a).alias("label")))
     return fnd.rows_of(df, ["doc_id"], found, "nth", "a").select("doc_id", "nth", "a.*")
 
 
@@ -76,14 +78,19 @@ QUERIES["select_elements"] = (
 
 
 def containment(spark, sf) -> DataFrame:
-    """Elements inside other elements as a join: equal document, position inside the interval."""
-    e = sh.elements_table(shredded(spark, sf)).drop("text", "attrs")
-    outer = e.filter(F.col("tag").isin("article", "nav", "figure", "ul", "ol")).select(
-        "doc_id", F.col("tag").alias("outer_tag"), F.col("pos").alias("outer_pos"), "end_pos"
+    """How many elements of one kind lie inside another kind: every element names those around it."""
+    inner = F.filter("elements", lambda e: e["tag"].isin("li", "h2", "figcaption", "img"))
+    pairs = F.flatten(
+        F.transform(
+            inner,
+            lambda e: F.transform(
+                F.filter(sh.ancestors(e), lambda x: x["tag"].isin("article", "nav", "figure", "ul", "ol")),
+                lambda x: F.struct(x["tag"].alias("outer_tag"), e["tag"].alias("inner_tag")),
+            ),
+        )
     )
-    inner = e.filter(F.col("tag").isin("li", "h2", "figcaption", "img")).select("doc_id", F.col("tag").alias("inner_tag"), "pos")
-    joined = inner.join(outer, "doc_id").filter(F.col("pos").between(F.col("outer_pos") + 1, F.col("end_pos")))
-    return joined.groupBy("doc_id", "outer_tag", "inner_tag").agg(F.count("*").alias("n"))
+    rows = fnd.rows_of(shredded(spark, sf), ["doc_id"], pairs, "nth", "x")
+    return rows.groupBy("doc_id", "x.outer_tag", "x.inner_tag").agg(F.count("*").alias("n"))
 
 
 _NEST = " UNION ALL ".join(

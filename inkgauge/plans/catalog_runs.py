@@ -137,13 +137,13 @@ QUERIES["usage_cost"] = (
 def reports(spark, sf) -> DataFrame:
     """One row per run with score, verdict, version and diff counts."""
     v = verdicts(spark, sf).withColumnRenamed("overall", "final_score")
-    versioned = li.version_lineage(runs(spark, sf), ["brand", "slug"], ["started", "run_id"])
+    versioned = li.version_lineage(runs(spark, sf), ["brand", "slug"], "started", "run_id")
     counts = li.status_counts(diffs(spark, sf), RUN)
     return versioned.join(v, "run_id").join(counts, "run_id", "left").fillna(0, ["fixed", "unresolved", "regressed"])
 
 
 def diffs(spark, sf) -> DataFrame:
-    return li.diff_consecutive(findings(spark, sf), runs(spark, sf).select("slug_id", "run_id", "started"), ["slug_id"], ["started", "run_id"], "run_id")
+    return li.diff_consecutive(findings(spark, sf), runs(spark, sf).select("slug_id", "run_id", "started"), ["slug_id"], "started", "run_id")
 
 
 CHAIN = "chain AS (SELECT run_id, lead(run_id) over (partition by slug_id order by started, run_id) AS next_run FROM synth_runs)"
@@ -162,11 +162,7 @@ QUERIES["prior_status_counts"] = (
 
 def fresh(spark, sf) -> DataFrame:
     f, r = findings(spark, sf), runs(spark, sf)
-    from pyspark.sql import Window
-
-    chain = r.select("run_id", F.lead("run_id").over(Window.partitionBy("slug_id").orderBy("started", "run_id")).alias("next_run"))
-    previous = f.join(chain.filter("next_run is not null"), "run_id").withColumn("run_id", F.col("next_run"))
-    return li.new_issues(previous, f, RUN)
+    return li.new_issues(li.previous_findings(f, r, ["slug_id"], "started", "run_id"), f, RUN)
 
 
 QUERIES["new_issues"] = (
@@ -198,12 +194,8 @@ QUERIES["check_prevalence"] = (
 # --- lineage ----------------------------------------------------------------------------------
 
 QUERIES["version_lineage"] = (
-    lambda spark, sf: li.version_lineage(runs(spark, sf), ["brand", "slug"], ["started", "run_id"]).select(
-        "run_id", "version", "is_final", F.array_join("previous_runs", ",").alias("previous_runs")
-    ),
-    over("SELECT run_id, row_number() over w AS version, row_number() over w >= 3 AS is_final, "
-         "coalesce(string_agg(started_at, ',') over (partition by brand, slug order by started, run_id rows between unbounded preceding and 1 preceding), '') AS previous_runs "
-         "FROM synth_runs WINDOW w AS (partition by brand, slug order by started, run_id)", "synth_runs"),
+    lambda spark, sf: li.version_lineage(runs(spark, sf), ["brand", "slug"], "started", "run_id").select("run_id", "version", "is_final"),
+    over("SELECT run_id, row_number() over w AS version, row_number() over w >= 3 AS is_final FROM synth_runs WINDOW w AS (partition by brand, slug order by started, run_id)", "synth_runs"),
 )
 ITER = """im AS (SELECT *, coalesce(overall - lag(overall) over w, 0) AS delta, sum(cost) over (w rows between unbounded preceding and current row) AS running_cost, row_number() over w AS nth FROM synth_iterations WINDOW w AS (partition by doc_id order by iteration)),
 ir AS (SELECT *, coalesce(nth >= 3 and delta < 2 and lag(delta) over (partition by doc_id order by iteration) < 2, false) AS stalled FROM im)"""
@@ -255,7 +247,7 @@ QUERIES["top_actions"] = (
     over(f"SELECT * FROM ({_PLACE}) WHERE place <= 5", "synth_findings"),
 )
 QUERIES["fix_order"] = (
-    lambda spark, sf: li.fix_order(findings(spark, sf), RUN).select("run_id", "place", "ord", "check_id", "severity"), over(_PLACE, "synth_findings"),
+    lambda spark, sf: li.fix_order(findings(spark, sf), RUN, 10**12).select("run_id", "place", "ord", "check_id", "severity"), over(_PLACE, "synth_findings"),
 )
 
 # --- joins with rules and witnesses -----------------------------------------------------------
@@ -333,10 +325,15 @@ QUERIES["run_index"] = (
 )
 QUERIES["final_summary"] = (
     lambda spark, sf: li.final_summary(reports(spark, sf)).select(
-        "brand", "slug", "version", "history_length", F.get_json_object("summary", "$.verdict").alias("verdict"),
-        F.get_json_object("summary", "$.version_history[0]").alias("first_run"),
+        "brand", "slug", "version", F.get_json_object("summary", "$.verdict").alias("verdict"),
+        F.get_json_object("summary", "$.final_score").cast("int").alias("final_score"), F.get_json_object("summary", "$.started_at").alias("started_at"),
     ),
-    over(f"WITH {REPORTS} SELECT brand, slug, version, version AS history_length, verdict, first_value(started_at) over (partition by brand, slug order by started, run_id) AS first_run FROM rep QUALIFY version >= 3"),
+    over(f"WITH {REPORTS} SELECT brand, slug, version, verdict, final_score, started_at FROM rep WHERE version >= 3"),
+)
+QUERIES["version_history"] = (
+    lambda spark, sf: li.version_history(li.version_lineage(runs(spark, sf), ["brand", "slug"], "started", "run_id")),
+    over("WITH v AS (SELECT brand, slug, row_number() over (partition by brand, slug order by started, run_id) AS version, count(*) over (partition by brand, slug) AS n, started_at FROM synth_runs) "
+         "SELECT brand, slug, version, started_at FROM v WHERE n >= 3", "synth_runs"),
 )
 
 
