@@ -146,9 +146,11 @@ QUERIES["id_resolution"] = (
     lambda spark, sf: rows(spark, sf, jsonld.ID_RESOLUTION),
     over(f"WITH {REFS} SELECT doc_id, 'D_entity_id_unresolved' AS check_id, 'fail' AS severity FROM refs r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.doc_id = r.doc_id AND e.n->>'@id' = r.ref)"),
 )
+_REF_FIELDS = "[" + ", ".join(D.q(f) for f in dims.REFERENCE_FIELDS) + "]"
 QUERIES["inline_over_reference"] = (
     lambda spark, sf: rows(spark, sf, jsonld.INLINE_OVER_REFERENCE),
-    over(f"""WITH {LD}, a AS (SELECT doc_id, unnest(case when json_type(n->'author') = 'ARRAY' then cast(n->'author' as json[]) else [n->'author'] end) AS x FROM ents)
+    over(f"""WITH {LD}, f AS (SELECT doc_id, n->fld AS v FROM (SELECT doc_id, n, unnest({_REF_FIELDS}) AS fld FROM ents)),
+      a AS (SELECT doc_id, unnest(case when json_type(v) = 'ARRAY' then cast(v as json[]) else [v] end) AS x FROM f WHERE v IS NOT NULL)
       SELECT doc_id, 'D_entity_inline_over_ref' AS check_id, 'info' AS severity FROM a WHERE json_type(x) = 'OBJECT' AND (x->'@type') IS NOT NULL AND len(json_keys(x)) > 1"""),
 )
 

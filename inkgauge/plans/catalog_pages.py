@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from inkgauge import dims
 from inkgauge.functions import text as X
 from inkgauge.operators import findings as fnd, jsonld, shred as sh, structure as st, style, trust
 from inkgauge.plans import duck as D
-from inkgauge.plans.audit import audit, prepare
+from inkgauge.plans.audit import prepare
 from inkgauge.plans.catalog_text import duck_normal_url
 from inkgauge.plans.fixtures import fixture, table, with_fixtures
 
@@ -201,8 +202,6 @@ QUERIES["paragraph_blocks"] = (
       SELECT doc_id, i - 1 AS index, u[i] AS paragraph FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM u)"""),
 )
 
-from inkgauge import dims  # noqa: E402
-
 _OPEN = ", ".join(D.q(w) for w in dims.QUESTION_OPENERS)
 FAQ_SEEN = f"""fq AS (SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(bare, '<(?:h2|h3|h4|strong|summary|dt)>([^<]*)<', 1), lambda x: {D.collapse('x')}),
   lambda x: x <> '' AND (ends_with(x, '?') OR regexp_replace(lower(string_split(x, ' ')[1]), '[^A-Za-z0-9_]', '', 'g') IN ({_OPEN})))) AS visible_questions FROM p)"""
@@ -447,15 +446,7 @@ QUERIES["schema_validity"] = (
     over(f"WITH {VALIDITY} SELECT doc_id, check_id, severity FROM vf"),
 )
 
-# --- the whole audit --------------------------------------------------------------------------
-
-
-def full_audit(spark, sf) -> DataFrame:
-    reports = audit(fixture(spark, sf, "synth_pages").drop("jsonld"))
-    return reports.select("doc_id", "post_type", "technical", "humanization", "quality", "overall", "critical_count", "verdict")
-
-
-QUERIES["audit"] = (full_audit, None)
+# --- a first look -----------------------------------------------------------------------------
 
 
 def quick_slice(spark, sf) -> DataFrame:

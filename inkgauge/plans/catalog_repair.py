@@ -8,9 +8,8 @@ from inkgauge import dims
 from inkgauge.functions import text as X
 from inkgauge.operators import findings as fnd, jsonld, remedy as rm, shred as sh, structure as st, style
 from inkgauge.plans import duck as D
-from inkgauge.plans.audit import FAMILIES, prepare
-from inkgauge.plans.catalog_pages import BANDS, BARE, CANON, HEAD_META, LD, META_CTE, QUERIES as PAGES, TYPED, over
-from inkgauge.plans.catalog_text import QUERIES as TEXTS_Q, SIGNALS_CTE, _SIGNAL_HITS, one_signal, texts
+from inkgauge.plans.catalog_pages import BARE, CANON, HEAD_META, LD, META_CTE, QUERIES as PAGES, over
+from inkgauge.plans.catalog_text import QUERIES as TEXTS_Q, texts
 from inkgauge.plans.fixtures import fixture, with_fixtures
 from inkgauge.plans.rounds import audit_rounds
 
@@ -261,7 +260,6 @@ QUERIES["apply_schema_inserts"] = (
 # --- instructions -----------------------------------------------------------------------------
 
 _ROUTED = [st.STRUCTURE, jsonld.ARTICLE_PRESENCE, jsonld.FIELD_COMPLETENESS, st.META]
-_ROUTED_SQL = ["detect_structure", None, None, "detect_meta"]
 
 
 def instructed(spark, sf) -> DataFrame:
@@ -315,18 +313,7 @@ QUERIES["instruction_payload"] = (
       case r when 4 then 'critical' when 3 then 'fail' when 2 then 'warn' when 1 then 'info' end AS first_severity FROM pages LEFT JOIN g ON g.doc_id = page_id""",
 )
 
-# --- all findings, rounds ---------------------------------------------------------------------
-
-
-def all_findings(spark, sf) -> DataFrame:
-    df = prepare(fixture(spark, sf, "synth_pages").drop("jsonld"))
-    for family in FAMILIES:
-        df = family.measures(df)
-    rows = fnd.explode_findings(df.select("doc_id", F.concat(*[f.findings() for f in FAMILIES]).alias("found")))
-    return rows.groupBy("doc_id", "check_id", "layer", "severity").agg(F.count("*").alias("n"))
-
-
-QUERIES["all_findings"] = (all_findings, None)
+# --- rounds -----------------------------------------------------------------------------------
 
 
 def rounds(spark, sf) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from inkgauge.plans.catalog_audit import STREAM_SQL
 from inkgauge.plans.fixtures import fixture, table, with_fixtures
 from inkgauge.session import fresh_path
 from inkgauge.streaming import jobs
@@ -25,7 +26,7 @@ def audited(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{out}/reports").select("doc_id", "overall", "critical_count", "verdict")
 
 
-QUERIES["stream_audit"] = (audited, None)
+QUERIES["stream_audit"] = (audited, STREAM_SQL)
 
 
 def lineage(spark, sf) -> DataFrame:
