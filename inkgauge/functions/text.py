@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from inkgauge import dims
+from inkgauge.functions.binding import let
 
 # All characters the audit treats as white space; the common ones also as a cheap class of their own.
 WS = r"[\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -94,8 +95,10 @@ def tally(matches: Column, terms: list[str]) -> Column:
 
 
 def phrases_present(text: Column, phrases: list[str]) -> Column:
-    lowered = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in phrases]))
+    return let(
+        F.lower(text),
+        lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])),
+    )
 
 
 def substring_count(haystack: Column, needle: Column) -> Column:
@@ -105,8 +108,9 @@ def substring_count(haystack: Column, needle: Column) -> Column:
 
 
 def substring_total(haystack: Column, terms: list[str]) -> Column:
-    lowered = F.lower(haystack)
-    return reduce(lambda a, b: a + b, [substring_count(lowered, F.lit(t)) for t in terms])
+    return let(
+        F.lower(haystack), lambda low: reduce(lambda a, b: a + b, [substring_count(low, F.lit(t)) for t in terms])
+    )
 
 
 def rate(n: Column, word_total: Column, per: int) -> Column:
@@ -114,13 +118,21 @@ def rate(n: Column, word_total: Column, per: int) -> Column:
 
 
 def population_spread(values: Column) -> Column:
-    """(mean, population standard deviation) of an array of numbers; zeros when empty."""
-    n = F.size(values)
-    mean = F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n).otherwise(F.lit(0.0))
-    square = F.when(
-        n > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    ).otherwise(F.lit(0.0))
-    return F.struct(mean.alias("mean"), F.sqrt(square).alias("sd"))
+    """(mean, population standard deviation) of an array of whole numbers; zeros when empty.
+
+    Sums of values and squares stay exact integers, so one pass is enough.
+    """
+
+    def spread(v: Column) -> Column:
+        n = F.size(v)
+        total = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+        squares = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+        return F.struct(
+            F.when(n > 0, total / n).otherwise(F.lit(0.0)).alias("mean"),
+            F.when(n > 0, F.sqrt(n * squares - total * total) / n).otherwise(F.lit(0.0)).alias("sd"),
+        )
+
+    return let(values, spread)
 
 
 def looks_like_question(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgauge import dims
 from inkgauge.functions import text as X
+from inkgauge.functions.binding import let
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -75,14 +76,17 @@ def flatten_meta(nested: Column) -> Column:
     )
     from inkgauge.operators.structure import last_wins
 
-    made = last_wins(flat)
-    described = F.coalesce(F.try_element_at(made, F.lit("description")), F.lit("")) != ""
-    fallback = F.try_element_at(made, F.lit("og:description"))
-    without = F.map_filter(made, lambda k, v: k != "description")
-    return F.when(
-        ~described & (F.coalesce(fallback, F.lit("")) != ""),
-        F.map_concat(without, F.create_map(F.lit("description"), fallback)),
-    ).otherwise(made)
+
+    def described(made: Column) -> Column:
+        own = F.coalesce(F.try_element_at(made, F.lit("description")), F.lit("")) != ""
+        fallback = F.try_element_at(made, F.lit("og:description"))
+        without = F.map_filter(made, lambda k, v: k != "description")
+        return F.when(
+            ~own & (F.coalesce(fallback, F.lit("")) != ""),
+            F.map_concat(without, F.create_map(F.lit("description"), fallback)),
+        ).otherwise(made)
+
+    return let(last_wins(flat), described)
 
 
 def post_defaults(posts: DataFrame) -> DataFrame:
