@@ -142,7 +142,7 @@ def test_ascii_word_edges(spark):
 
 
 def test_white_space_is_wider_than_ascii(spark):
-    df = spark.createDataFrame([("a b c \n d﻿",)], "t string")
+    df = spark.createDataFrame([("a" + chr(0xA0) + "b" + chr(0x2003) + "c \n d" + chr(0xFEFF),)], "t string")
     assert df.select(X.collapse(F.col("t"))).first()[0] == "a b c d"
     assert df.select(X.word_count(X.collapse(F.col("t")))).first()[0] == 4
 
