@@ -54,8 +54,13 @@ def next_runs(runs: DataFrame, post: list[str], time: str, run: str) -> DataFram
 
 
 def last_by_check(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """For each check of a run the finding raised last; ``max_by`` combines before the shuffle."""
-    return findings.groupBy(*keys, "check_id").agg(F.max_by("severity", "ord").alias("current_severity"))
+    """For each check of a run the severity raised last.
+
+    ``max_by`` combines before the shuffle; over ranks, which have a fixed width, it also hashes.
+    """
+    last = findings.groupBy(*keys, "check_id").agg(F.max_by(rank(F.col("severity")), "ord").alias("r"))
+    names = F.array(*[F.lit(s) for s, _ in sorted(dims.SEVERITY_RANK.items(), key=lambda kv: kv[1])])
+    return last.select(*keys, "check_id", F.get(names, F.col("r") - 1).alias("current_severity"))
 
 
 def prior_diff(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -209,12 +214,13 @@ def fix_order(findings: DataFrame, keys: list[str], span: int = 100_000) -> Data
 
 
 def flagged_paragraphs(paragraphs: DataFrame, keys: list[str], fallback: int = 10) -> DataFrame:
-    """Paragraphs with an issue flag; for a post that has none, its first ten."""
+    """Paragraphs with an issue flag; for a post that has none, its first ten.
+
+    The window holds the paragraphs of one post, never more than the one page they came from.
+    """
     flagged = F.size("issue_flags") > 0
-    any_flag = paragraphs.groupBy(*keys).agg(F.max(flagged).alias("any_flag"))
-    return paragraphs.join(any_flag, keys).filter(
-        flagged | (~F.col("any_flag") & (F.col("index") < fallback))
-    ).drop("any_flag")
+    rows = paragraphs.withColumn("any_flag", F.max(flagged).over(Window.partitionBy(*keys)))
+    return rows.filter(flagged | (~F.col("any_flag") & (F.col("index") < fallback))).drop("any_flag")
 
 
 # --- keys, index, summary ---------------------------------------------------------------------
