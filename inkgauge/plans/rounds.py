@@ -29,7 +29,13 @@ def plan(df: DataFrame) -> DataFrame:
 
 
 def apply(df: DataFrame) -> DataFrame:
-    """Apply the planned patches in order; ``applied`` counts the accepted ones."""
+    """Apply the planned patches in order; ``applied`` counts the accepted ones.
+
+    A source without a body is no whole page: nothing is applied to it.
+    """
+    whole = F.col("html").rlike(r"(?i)<body[\s>]")
+    kinds = ("word_patches", "span_patches", "meta_patches", "schema_patches")
+    df = df.withColumns({k: F.when(whole, F.col(k)).otherwise(remedy.no_patches()) for k in kinds})
     df = df.withColumn("w", remedy.apply_rewrites(F.col("word_patches"), F.col("rewrites"), F.col("html")))
     df = df.withColumn(
         "s", remedy.apply_spans(F.col("span_patches"), F.col("w.html"), F.coalesce("article_body_html", F.lit("")))
