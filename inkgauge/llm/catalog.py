@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import exact_dedup, lm_scoring, minhash_join, pii, piece_sampling, winnowing
+from inkgauge.llm import exact_dedup, lm_scoring, minhash_join, mixing, pii, piece_sampling, token_store, winnowing
 from inkgauge.llm.common import table
 
 
@@ -13,10 +13,18 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.materialise(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_personal_data": (op2_personal_data, None),
+    "op3_mixing": (op3_mixing, None),
     "op4_minhash_join": (op4_minhash_join, None),
+    "op6_token_store": (op6_token_store, None),
     "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_piece_sampling": (op8_piece_sampling, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
