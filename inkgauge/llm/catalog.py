@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import exact_dedup, lm_scoring, minhash_join, mixing, pii, piece_sampling, token_store, winnowing
+from inkgauge.llm import exact_dedup, lang_id, lm_scoring, minhash_join, mixing, pii, piece_sampling, token_store, warc, winnowing
 from inkgauge.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,50 @@ def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = r"""
+with base as (
+  select page_id, url, coalesce(html, '') as html, substr(sha256(coalesce(html, '')), 1, 16) as tag,
+    1700000000 + (page_id * 7919 % 100003) * 60 as seconds, regexp_replace(trim(url), '#.*$', '') as bare
+  from pages
+), split as (
+  select *, regexp_extract(bare, '^(?i:https?)://(?:[^/?@]*@)?(.*)$', 1) as rest from base
+), named as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(?:80|443)$', ''), '^www\.', '') as host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))) as query
+  from split
+), pages_ as (
+  select *, host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end as address from named
+), revisits as (
+  select page_id, address, seconds + ((page_id * 31) % 5 - 1) * 3600 as at, page_id % 50 as day,
+    case when page_id % 5 = 0 then null when page_id % 7 = 0 then 'changed' else tag end as tag, page_id % 35 <> 0 as dated
+  from pages_ where page_id % 2 = 0
+), matched as (
+  select v.page_id, v.address, v.tag as vtag, v.day as vday, v.dated, r.page_id as rid, r.tag, r.page_id % 50 as rday, r.html,
+    row_number() over (partition by v.page_id order by r.seconds desc nulls last, 'r' || r.page_id desc) as k
+  from revisits v left join pages_ r on r.address = v.address and r.seconds < v.at
+), judged as (
+  select *, case when rid is null then 'no_response' when vtag is not null then case when vtag = tag then 'resolved' else 'mismatch' end
+      when dated then case when vday = rday then 'resolved' else 'mismatch' end else 'unchecked' end as status,
+    '"' || vtag || '"' as shown
+  from matched where k = 1
+)
+select page_id, address, status, case when status in ('resolved', 'unchecked') then 'r' || rid end as response_id,
+  case when status in ('resolved', 'unchecked') then
+    'cache-control=max-age=' || page_id % 10 || ';content-length=' || octet_length(encode(html)) || ';content-type=text/html;etag=' ||
+    case when vtag is not null then 'W/"' || vtag || '"' else '"' || tag || '"' end || ';last-modified=day ' || case when dated then vday else rday end || ';server=s9'
+  else 'cache-control=max-age=' || page_id % 10 || ';connection=close;content-length=0' ||
+    case when vtag is null then '' when vtag = 'changed' then ';etag="changed"' else ';etag=W/"' || vtag || '"' end ||
+    case when dated then ';last-modified=day ' || vday else '' end || ';server=s9' end as headers,
+  case when status in ('resolved', 'unchecked') then sha256(html) end as payload_sha256
+from judged
+"""
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.materialise(spark, table(spark, sf_dir, "documents"))
 
@@ -53,9 +101,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
     "op2_personal_data": (op2_personal_data, None),
     "op3_mixing": (op3_mixing, None),
     "op4_minhash_join": (op4_minhash_join, None),
+    "op5_warc_revisits": (op5_warc_revisits, OP5_SQL),
     "op6_token_store": (op6_token_store, None),
     "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_piece_sampling": (op8_piece_sampling, None),

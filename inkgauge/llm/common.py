@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,14 @@ def word_count(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """Adds a key of each row that stays the same whenever the table is read again.
+
+    For tables in files that is the file and the place in it; any other frame is written first.
+    """
+    try:
+        return docs.withColumn(name, F.concat_ws(":", F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException:
+        return stage(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "numbered")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import stage, whole_text
+from inkgauge.llm.common import stage, whole_text, with_row_id
 
 LEAST, MOST = 512, 8192
 #: A chunk ends after these characters: about one place in two hundred of running text.
@@ -44,12 +44,13 @@ def shared_ids(parts: DataFrame) -> DataFrame:
     )
 
 
-def recipes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row: row_id, doc_id, text_sha256 and recipe, the ordered chunk identifiers; and the shared identifiers."""
-    texts = docs.select(F.col("doc_id"), whole_text().alias("text"))
+def recipes(docs: DataFrame, row_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per row: row_id (numbers given here, if none are), doc_id, text_sha256 and recipe, the ordered chunk identifiers; and the shared identifiers."""
+    number = F.monotonically_increasing_id() if row_id is None else row_id
+    texts = docs.select(number.alias("row_id"), F.col("doc_id"), whole_text().alias("text"))
     listed = stage(
         texts.withColumn("parts", chunks(F.col("text"))).select(
-            F.monotonically_increasing_id().alias("row_id"), "doc_id",
+            "row_id", "doc_id",
             F.sha2(F.col("text"), 256).alias("text_sha256"),
             F.transform("parts", chunk_id).alias("recipe"),
         ),
@@ -59,9 +60,9 @@ def recipes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return listed, shared_ids(parts)
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
+def duplicate_groups(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: row_id, doc_id, keep_id, group_size, kept, text_sha256."""
-    listed, shared = recipes(docs)
+    listed, shared = recipes(docs, row_id)
     # A list with a shared identifier cannot stand for its text alone: there the digest of the whole text joins it.
     unsure = (
         listed.select("row_id", F.explode("recipe").alias("id")).join(shared, "id", "left_semi")
@@ -90,3 +91,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     return duplicate_groups(docs).drop("row_id")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``."""
+    rows = with_row_id(docs)
+    kept = duplicate_groups(rows, F.col("__row")).where("kept").select(F.col("row_id").alias("__row"))
+    return rows.join(stage(kept, "kept"), "__row", "left_semi").select(*docs.columns)

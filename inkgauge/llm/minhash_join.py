@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import stage, whole_text
+from inkgauge.llm.common import stage, whole_text, with_row_id
 from inkgauge.llm.components import components
 from inkgauge.llm.lattice import scramble
 from inkgauge.llm.text_slices import lower_words
@@ -86,9 +86,9 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(7), text).alias("key2")]
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, key1, key2, n_shingles, digest of the shingle set, signature (null without shingles)."""
-    rows = docs.select("doc_id", whole_text().alias("text")).select("doc_id", *_text_key(F.col("text")), F.col("text").cast("binary").alias("text"))
+def _sketched(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Per row: the columns to keep, doc_id, key1, key2, n_shingles, digest of the shingle set, signature (null without shingles)."""
+    rows = docs.select(*keep, "doc_id", whole_text().alias("text")).select(*keep, "doc_id", *_text_key(F.col("text")), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -107,15 +107,15 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 own = batch.slice(begin, len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc_id"), own.column("key1"), own.column("key2"), pa.array([len(s) for s in sets], pa.int64()),
+                    [*[own.column(c) for c in keep], own.column("doc_id"), own.column("key1"), own.column("key2"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
-                    names=["doc_id", "key1", "key2", "n_shingles", "digest", "signature"],
+                    names=[*keep, "doc_id", "key1", "key2", "n_shingles", "digest", "signature"],
                 )
                 begin += len(sets)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"doc_id {kind}, key1 bigint, key2 bigint, n_shingles bigint, digest binary, signature binary"
+        run, "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep) + f"doc_id {kind}, key1 bigint, key2 bigint, n_shingles bigint, digest binary, signature binary"
     )
 
 
@@ -275,9 +275,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicate_classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, n_shingles, digest; per class: digest, component, component_id."""
-    sketched = stage(_sketched(docs), "sketched")
+def near_duplicate_classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES, rounds: int = ROUNDS,
+                           keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per row: ``keep``, doc_id, n_shingles, digest; per class: digest, component, component_id."""
+    sketched = stage(_sketched(docs, keep or []), "sketched")
     classes = stage(
         sketched.where("n_shingles > 0").groupBy("digest")
         .agg(F.min("doc_id").alias("least"), F.first(F.struct("doc_id", "key1", "key2", "n_shingles", "signature")).alias("one"))
@@ -325,3 +326,15 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     alone = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = sketched.where("n_shingles > 0").join(members, "digest").select("doc_id", "n_shingles", "component_id")
     return alone.unionByName(grouped).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, and all without words; columns of ``docs``."""
+    rows = with_row_id(docs)
+    sketched, members = near_duplicate_classes(rows, keep=["__row"], **options)
+    grouped = sketched.where("n_shingles > 0").join(members, "digest").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Repeated rows, or texts that differ in white space alone, may share the smallest id.
+    kept = grouped.groupBy("component").agg(F.min("__row").alias("__row")).select("__row").union(
+        sketched.where("n_shingles = 0").select("__row")
+    )
+    return rows.join(stage(kept, "kept"), "__row", "left_semi").select(*docs.columns)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import WORD, SPACE, stage, whole_text, word_count
+from inkgauge.llm.common import SPACE, WORD, stage, whole_text, with_row_id, word_count
 from inkgauge.llm.feistel import permute
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -197,7 +197,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A whole pass keeps the text as it is; at the end of a quota the text is cut after a word, and n_chars follows.
     """
-    kept = stage(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-docs")
+    kept = with_row_id(docs, "__mix_row")
     rows = stage(_sized(kept, "__mix_row").withColumnRenamed("__mix_row", "row_id"), "mix-sized")
     sources = targets(rows)
     parts = segments(rows, sources).groupBy("row_id", "pass").agg(F.min("from_word").alias("low"), F.max("to_word").alias("high"))
