@@ -189,7 +189,7 @@ def _words_between(text: Column, low: Column, high: Column) -> Column:
     """Words ``low`` to ``high`` (exclusive) with the white space between them."""
     word = f"(?:{SPACE}*+{WORD}++)"
     pattern = F.concat(F.lit(f"^{word}{{"), low, F.lit(f"}}+{SPACE}*+({WORD}++{word}{{"), high - low - 1, F.lit("}+)"))
-    return F.regexp_extract(text, pattern, 1)
+    return F.call_function("regexp_extract", text, pattern, F.lit(1))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

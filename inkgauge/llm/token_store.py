@@ -47,6 +47,7 @@ class Tokeniser:
         if self.model.get_piece_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
         self.end = self.model.eos_id()
+        self.space = self.model.piece_to_id(lattice.SPACE_MARK)
         self._forget()
 
     def _forget(self) -> None:
@@ -60,7 +61,9 @@ class Tokeniser:
         number = self.numbers.__getitem__
         own = [np.fromiter(map(number, u), np.int64, len(u)) for u in units]
         if len(self.numbers) > self.known:
-            fresh = self.model.encode(list(self.numbers)[self.known :], num_threads=1)
+            new = list(self.numbers)[self.known :]
+            # The model puts a space before each unit, but not before nothing: that unit is one space.
+            fresh = [f if u else [self.space] for u, f in zip(new, self.model.encode(new, num_threads=1))]
             sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
             ids = np.fromiter((i for f in fresh for i in f), np.uint16, int(sizes.sum()))
             self.lengths, self.flat = np.concatenate([self.lengths, sizes]), np.concatenate([self.flat, ids])
