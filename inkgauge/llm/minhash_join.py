@@ -4,6 +4,9 @@ Every document has its set of five-word shingles (64-bit hashes) and a signature
 posted under (coordinate, value). Two sets of a similarity of 0.85 agree in 54 of 64 coordinates on average; a pair
 is looked at only if it agrees in ``MATCHES``, which a pair at the limit misses less than once in ten thousand times.
 
+Before that, documents that cannot reach MATCHES with anybody go: cut into COORDINATES - MATCHES + 1 runs, two
+signatures with that many agreements agree in all of at least one run, so whoever shares no whole run is left alone.
+
 Prefix: pairs that agree in MATCHES of COORDINATES meet in at least one of the COORDINATES - MATCHES + 1 rarest
 coordinate-value pairs of each, under any one order of rareness, so only those are posted. Rareness is counted in a
 table of fixed size (``BUCKETS``). Skip: the long lists that are left out are never merged; the collisions in them are
@@ -127,6 +130,35 @@ def _elements(signed: np.ndarray) -> np.ndarray:
     return (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | signed.astype(np.uint64)
 
 
+def _runs(classes: DataFrame, matches: int) -> DataFrame:
+    """run (hash of the values of one run of coordinates) and id: COORDINATES - matches + 1 rows per class."""
+    bounds = [part[0] for part in np.array_split(np.arange(COORDINATES), COORDINATES - matches + 1)] + [COORDINATES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            elements, keys = _elements(_matrix(batch.column("signature"))), []
+            for low, high in zip(bounds, bounds[1:]):
+                key = scramble(elements[:, low])
+                for k in range(low + 1, high):
+                    key = scramble(key ^ elements[:, k])
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).astype(np.int64), pa.int64()), pa.array(np.tile(batch.column("id").to_numpy(), len(keys)), pa.int64())],
+                names=["run", "id"],
+            )
+
+    return classes.select("id", "signature").mapInArrow(run, "run bigint, id bigint")
+
+
+def _in_company(classes: DataFrame, matches: int) -> DataFrame:
+    """The classes that share a whole run of coordinates with another one."""
+    runs = stage(_runs(classes, matches), "runs")
+    shared = runs.groupBy("run").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("run")
+    return classes.join(stage(runs.join(shared, "run").select("id").distinct(), "company"), "id")
+
+
 def _rareness(classes: DataFrame) -> np.ndarray:
     """How many classes are posted in each bucket: BUCKETS numbers, however large the corpus."""
 
@@ -285,13 +317,14 @@ def near_duplicate_classes(docs: DataFrame, similar: int = SIMILAR, matches: int
         .select(F.monotonically_increasing_id().alias("id"), "digest", "least", "one.*"),
         "classes",
     )
-    signed = classes.select("id", "signature")
-    posted = stage(_postings(classes, COORDINATES - matches + 1), "postings")
+    near = stage(_in_company(classes, matches), "near")
+    signed = near.select("id", "signature")
+    posted = stage(_postings(near, COORDINATES - matches + 1), "postings")
     # Only lists with company; n is the set's size, which already rules out many pairs.
     live = stage(posted.join(posted.groupBy("element").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("element"), "element"), "lists")
     like = lambda x, y: (F.col(x) * 100 >= F.col(y) * similar) & (F.col(y) * 100 >= F.col(x) * similar)
     # Full sets of all that meet anybody, from one pass over the texts.
-    sets = stage(_full_sets(docs, classes.join(live.select("id").distinct(), "id")), "sets")
+    sets = stage(_full_sets(docs, near.join(live.select("id").distinct(), "id")), "sets")
     links = signed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     labels = signed.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     for step in range(rounds + 1):
