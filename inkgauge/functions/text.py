@@ -6,6 +6,7 @@ Collapsing once lets every later pattern use a plain space, which is far cheaper
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
@@ -22,7 +23,7 @@ B0 = r"(?<![A-Za-z0-9_])"
 B1 = r"(?![A-Za-z0-9_])"
 
 TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<![^>]*>"""
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\z)"
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\z)"
 SENTENCE_GAP = r"(?<=[.!?]) (?=[A-Z])"
 
 # Fixed patterns.
@@ -51,9 +52,19 @@ def collapse(text: Column) -> Column:
     return F.trim(F.when(text.rlike(HIGH_WS_RANGE), wide).otherwise(plain))
 
 
+def strip_tags(html: Column) -> Column:
+    """A space for every tag. Behind the last ">" no tag can end, so nothing is tried there."""
+
+    def stripped(page: Column) -> Column:
+        rest = F.substring_index(page, ">", -1)
+        return F.concat(F.regexp_replace(F.left(page, F.length(page) - F.length(rest)), TAG, " "), rest)
+
+    return let(html, stripped)
+
+
 def visible_text(html: Column, max_chars: int | None = None) -> Column:
     """What a reader sees, entities left as written. ``max_chars`` cuts it; by default it is whole."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "), TAG, " ")
+    bare = strip_tags(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "))
     text = collapse(bare)
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
@@ -152,9 +163,25 @@ def question_marks(text: Column) -> Column:
     return substring_count(text, F.lit("?"))
 
 
-def sanitize_key(value: Column) -> Column:
+def sanitize_key(value: Column, limit: int | None = 80) -> Column:
+    """Fit for a path. Cut at ``limit`` it is for display; whole it also tells long values apart."""
     dashed = F.regexp_replace(F.lower(value), r"[^a-z0-9._-]+", "-")
-    return F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, 80)
+    clean = F.regexp_replace(dashed, r"^-+|-+$", "")
+    return clean if limit is None else F.substring(clean, 1, limit)
+
+
+def path_key(value: Column, limit: int = 80) -> Column:
+    """The readable key; where it had to be cut, a digest of the whole value follows, so two long values never meet."""
+    clean = sanitize_key(value, None)
+    return F.when(F.length(clean) <= limit, clean).otherwise(
+        F.concat(F.substring(clean, 1, limit), F.lit("-"), F.substring(F.sha2(value, 256), 1, 16))
+    )
+
+
+def path_key_of(value: str, limit: int = 80) -> str:
+    """``path_key`` of one value, on the driver."""
+    clean = re.sub(r"[^a-z0-9._-]+", "-", value.lower()).strip("-")
+    return clean if len(clean) <= limit else f"{clean[:limit]}-{hashlib.sha256(value.encode()).hexdigest()[:16]}"
 
 
 def truncate_snippet(text: Column, limit: int) -> Column:

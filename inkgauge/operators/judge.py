@@ -36,7 +36,7 @@ def axis_findings(layer: str) -> Column:
     human = layer == "humanization"
 
     def check(a: Column) -> Column:
-        slug = F.substring(F.lower(F.regexp_replace(a["name"], X.WS + "+", "_")), 1, 40)
+        slug = F.lower(F.regexp_replace(a["name"], X.WS + "+", "_"))
         check_id = F.concat(F.lit("H_judge_"), slug) if human else F.concat(F.lit("Q_"), a["name"])
         kind = F.lit("replace_span") if human else F.when(a["name"] == "intro_hook", "rewrite_intro").otherwise("replace_span")
         shown = F.concat(X.number_text(a["score"]), F.lit("/10"))

@@ -115,14 +115,18 @@ def final_iteration_findings(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.join(last, [*keys, "iteration"])
 
 
-def reconcile_preflight(findings: DataFrame, preflight: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+def reconcile_preflight(
+    findings: DataFrame, preflight: DataFrame, keys: list[str], source: str = "writer",
+) -> dict[str, DataFrame]:
     """Two-witness check of findings reported from outside.
 
+    Codes are read as "source:code"; only those of ``source`` have equivalents, all others pass through.
     ``adjudication`` holds the mapped ones: confirmed when any own equivalent was raised, else rejected
     with the reason. ``findings`` turns every outside finding into a ``preflight`` row.
     """
     witness = dims.dim_witness(findings.sparkSession)
-    mapped = preflight.withColumn("code", F.substring_index("check_id", ":", -1))
+    named = F.startswith("check_id", F.lit(source + ":"))
+    mapped = preflight.withColumn("code", F.when(named, F.substring("check_id", len(source) + 2, 1000)))
     own_names = witness.groupBy("code").agg(F.sort_array(F.collect_list("own_check")).alias("own_checks"))
     # Only findings that can witness something are kept, one per key and check.
     seen = (
@@ -187,6 +191,7 @@ def stop_rule(
     )
 
 
+#: What a stop reason means for the post.
 STATUS = {
     "target_reached": "shipped",
     "unfixable_critical": "escalated",
@@ -197,6 +202,13 @@ STATUS = {
     "all_rejected": "stalled",
 }
 
+
+def status_of(stop_reason: Column) -> Column:
+    """shipped, escalated, budget_exceeded or stalled; open while there is no reason to stop."""
+    names = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return F.coalesce(names[stop_reason], F.lit("open"))
+
+
 # --- ordering and top-k -----------------------------------------------------------------------
 
 
@@ -228,7 +240,7 @@ def flagged_paragraphs(paragraphs: DataFrame, keys: list[str], fallback: int = 1
 
 def run_key(brand: Column, slug: Column, started_at: Column) -> Column:
     """brand/slug/time, fit for a path. ``started_at`` is ISO text."""
-    return F.concat_ws("/", X.sanitize_key(brand), X.sanitize_key(slug), F.translate(started_at, ":.", "--"))
+    return F.concat_ws("/", X.path_key(brand), X.path_key(slug), F.translate(started_at, ":.", "--"))
 
 
 def run_index(reports: DataFrame) -> DataFrame:

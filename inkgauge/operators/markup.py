@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from html.parser import HTMLParser
 
 VOID = frozenset(
@@ -27,6 +28,7 @@ ENDS_SIBLING = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+UNENDED = re.compile("<[a-zA-Z/!?]")
 P_BARRIER = frozenset("table td th caption button object template".split())
 
 
@@ -46,10 +48,26 @@ class ElementWalk(HTMLParser):
         while at >= 0:
             self._line_start.append(at + 1)
             at = html.find("\n", at + 1)
-        self.feed(html)
+        # Behind the last ">" no tag can end: what opens there is dropped, once.
+        tail = UNENDED.search(html, html.rfind(">") + 1)
+        self.feed(html[: tail.start()] if tail else html)
         self.close()
         self._close_to(0, len(html))
 
+    def parse_marked_section(self, i, report=1):
+        # "<![x[ ... ]]>" is no HTML: like a browser, a comment up to the next ">".
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        # One that is never closed hides the rest; looking again from every later opener would take the square.
+        end = self.rawdata.find("-->", i + 4)
+        return end + 3 if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        end = super().parse_starttag(i)
+        return end if end >= 0 else len(self.rawdata)
+
     def texts_of(self, tag: str) -> list[str]:
         return ["".join(self.texts[r[6]:r[7]]) for r in self.rows if r[4] == tag]
 
@@ -119,12 +137,38 @@ def _no_constant(name):
     raise ValueError(name)
 
 
-def parse_json(text: str):
-    """(ok, value): strict JSON where the last of two equal keys wins."""
+#: Escapes that may leave half of a character.
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _integer(digits: str):
+    """Integers of any length: beyond what a double holds, the largest double."""
+    if len(digits) < 400:
+        return int(digits)
+    return -sys.float_info.max if digits.startswith("-") else sys.float_info.max
+
+
+def read_json(text: str):
+    """(status, value): "ok", "invalid", or "deep" for a text nested beyond what can be read.
+
+    Strict JSON where the last of two equal keys wins; half characters become the replacement character.
+    """
     try:
-        return True, json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return False, None
+        value = json.loads(text, parse_constant=_no_constant, parse_int=_integer)
+        if SURROGATE.search(text):
+            whole = json.dumps(value, ensure_ascii=False).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+            value = json.loads(whole)
+        return "ok", value
+    except RecursionError:
+        return "deep", None
+    except ValueError:
+        return "invalid", None
+
+
+def parse_json(text: str):
+    """(readable, value)."""
+    status, value = read_json(text)
+    return status == "ok", value
 
 
 def _falsy(value) -> bool:
@@ -265,80 +309,103 @@ def unwrap_envelope(item):
 
 # --- editing JSON-LD in a page ----------------------------------------------------------------
 
-LD_SCRIPT = re.compile(r"""(<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>)(.*?)(</script\s*>)""", re.I | re.S)
+LD_OPEN = re.compile(r"<script\b[^>]*>", re.I)
+LD_TYPE = re.compile(r"""\stype\s*=\s*["']?application/ld\+json["'\s>]""", re.I)
+LD_CLOSE = re.compile(r"</script\s*>", re.I)
 
 
-def _value_of(text: str):
-    text = (text or "").strip()
-    ok, value = parse_json(text) if text else (True, "")
-    return value if ok else text
+class LdPage:
+    """The JSON-LD blocks of a page, each read once; edits change the blocks, ``source`` writes changed ones back."""
 
+    def __init__(self, html: str):
+        self.html = html
+        self.spans: list[tuple[int, int]] = []
+        self.roots: list = []
+        self.changed: set[int] = set()
+        self.unreadable = False
+        at = 0
+        while opening := LD_OPEN.search(html, at):
+            closing = LD_CLOSE.search(html, opening.end())
+            if closing is None:
+                break
+            if LD_TYPE.search(opening.group()):
+                content = html[opening.end() : closing.start()].strip()
+                readable, root = parse_json(content) if content else (True, None)
+                self.unreadable |= not readable
+                self.spans.append((opening.end(), closing.start()))
+                self.roots.append(root)
+            at = closing.end()
+        # The first node of every type of every block, in the order nodes are met.
+        self.nodes = [self._by_type(root) for root in self.roots]
+
+    @staticmethod
+    def _by_type(root) -> dict[str, dict]:
+        nodes: dict[str, dict] = {}
+        waiting = [root]
+        while waiting:
+            item = waiting.pop()
+            if isinstance(item, list):
+                waiting += item[::-1]
+            elif isinstance(item, dict):
+                for name in type_names(item):
+                    nodes.setdefault(name, item)
+                graph = item.get("@graph")
+                if isinstance(graph, list):
+                    waiting += graph[::-1]
+        return nodes
+
+    def add(self, kind: str, node: dict) -> bool:
+        """Append a node to the first block that is a list or has one as "@graph"."""
+        for block, root in enumerate(self.roots):
+            nodes = root.get("@graph") if isinstance(root, dict) else root
+            if isinstance(nodes, list):
+                nodes.append({"@type": kind} | node if "@type" not in node else node)
+                for name in type_names(nodes[-1]):
+                    self.nodes[block].setdefault(name, nodes[-1])
+                self.changed.add(block)
+                return True
+        return False
 
-def _first_of_type(root, wanted: str):
-    """First node of a type, looking through arrays and "@graph" in document order."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, list):
-            stack.extend(reversed(node))
-        elif isinstance(node, dict):
-            types = node.get("@type")
-            if types == wanted or (isinstance(types, list) and wanted in types):
-                return node
-            graph = node.get("@graph")
-            if isinstance(graph, list):
-                stack.extend(reversed(graph))
-    return None
-
-
-def _edit_block(root, target: str, value) -> bool:
-    """Change one parsed block in place; False when the target is not in it."""
-    if target.startswith("add:"):
-        value.setdefault("@type", target[4:].strip())
-        home = root if isinstance(root, list) else root.get("@graph") if isinstance(root, dict) else None
-        if not isinstance(home, list):
-            return False
-        home.append(value)
-        return True
-    kind, *steps = target.split(".")
-    node = _first_of_type(root, kind)
-    if node is None:
+    def put(self, kind: str, path: list[str], value) -> bool:
+        """Set a field, and objects on the way to it, in the first node of a type."""
+        for block, nodes in enumerate(self.nodes):
+            if kind in nodes:
+                place = nodes[kind]
+                for field in path[:-1]:
+                    inner = place.get(field)
+                    place[field] = place = inner if isinstance(inner, dict) else {}
+                place[path[-1]] = value
+                self.changed.add(block)
+                return True
         return False
-    for step in steps[:-1]:
-        if not isinstance(node.get(step), dict):
-            node[step] = {}
-        node = node[step]
-    node[steps[-1]] = value
-    return True
+
+    def source(self) -> str:
+        parts, done = [], 0
+        for block in sorted(self.changed):
+            start, end = self.spans[block]
+            parts += [self.html[done:start], json.dumps(self.roots[block], ensure_ascii=False, indent=2)]
+            done = end
+        return "".join([*parts, self.html[done:]])
 
 
 def insert_schema(html: str, patches: list[dict]) -> tuple[str, list[tuple]]:
     """Apply JSON-LD patches in order; returns the page and (target, type, ok, reason) per patch."""
-    log = []
+    page, log = LdPage(html), []
     for patch in patches:
-        target, value = patch["target"] or "", _value_of(patch["after"])
-        reason = None
-        if not target.startswith("add:") and (not target.partition(".")[0] or not target.partition(".")[2]):
-            reason = "invalid target"
-        elif target.startswith("add:") and not isinstance(value, dict):
-            reason = "value must be a JSON object"
-        blocks = [] if reason else list(LD_SCRIPT.finditer(html))
-        if not reason and not blocks:
-            reason = "no JSON-LD block to change"
-        done, broken = False, False
-        for block in blocks:
-            raw = block.group(2).strip()
-            if not raw:
-                continue
-            ok, root = parse_json(raw)
-            if not ok:
-                broken = True
-            elif _edit_block(root, target, value):
-                text = json.dumps(root, ensure_ascii=False, indent=2)
-                html = html[: block.start(2)] + text + html[block.end(2):]
-                done = True
-                break
-        if not done and not reason:
-            reason = "JSON-LD block did not parse" if broken else "target not found in any JSON-LD block"
-        log.append((target, patch["type"], done, None if done else reason))
-    return html, log
+        target, text = patch["target"] or "", (patch["after"] or "").strip()
+        readable, value = parse_json(text)
+        value = value if readable else text
+        adding = target.startswith("add:")
+        kind, *path = [target[4:].strip()] if adding else target.split(".")
+        if adding and not isinstance(value, dict):
+            reason = "not a JSON object"
+        elif not adding and not (kind and path and all(path)):
+            reason = "target names no field of a type"
+        elif not page.roots:
+            reason = "page without JSON-LD"
+        elif page.add(kind, value) if adding else page.put(kind, path, value):
+            reason = None
+        else:
+            reason = "a JSON-LD block cannot be read" if page.unreadable else "no block has the target"
+        log.append((target, patch["type"], reason is None, reason))
+    return page.source(), log

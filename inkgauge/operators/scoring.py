@@ -81,7 +81,7 @@ def weighted_overall(df: DataFrame, weights: DataFrame) -> DataFrame:
         ],
     )
     mixed = sum(F.col(k) * F.col(f"w_{k}") for k in dims.SCORE_WEIGHTS)
-    return df.join(F.broadcast(usable), "weights_id").withColumn(
+    return df.join(usable, "weights_id").withColumn(
         "overall", X.round_half_up(F.round(mixed, 10)).cast("int")
     )
 
@@ -144,7 +144,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame, keys: list[str]) -> DataFram
         F.col("input_tokens") / 1e6 * F.coalesce("in_per_m", F.lit(0.0))
         + F.col("output_tokens") / 1e6 * F.coalesce("out_per_m", F.lit(0.0))
     )
-    return usage.join(F.broadcast(prices), "model", "left").groupBy(*keys).agg(F.sum(cost).alias("cost"))
+    return usage.join(prices, "model", "left").groupBy(*keys).agg(F.sum(cost).alias("cost"))
 
 
 def corpus_rollup(reports: DataFrame) -> DataFrame:

@@ -59,15 +59,21 @@ def _list_array(rows: list[list], typ: pa.ListType) -> pa.Array:
 def _walk_page(html: str | None, own: str | None, body: str | None) -> dict:
     walk = markup.ElementWalk(html or "")
     body_walk = walk if not body or body == html else markup.ElementWalk(body)
+    return {
+        "texts": walk.texts, "paragraphs": body_walk.texts_of("p"), "elements": walk.rows, **_walk_blocks(walk.ld_scripts, own),
+    }
+
+
+def _walk_blocks(blocks: list[str], own: str | None) -> dict:
     scripts, parsed = [], []
-    for i, raw in enumerate(walk.ld_scripts):
+    for i, raw in enumerate(blocks):
         text = raw.strip()
         if not text:
             scripts.append((i, text, "empty"))
             continue
-        ok, value = markup.parse_json(text)
-        scripts.append((i, text, "ok" if ok else "invalid"))
-        if ok:
+        status, value = markup.read_json(text)
+        scripts.append((i, text, status))
+        if status == "ok":
             parsed.append((i, value))
     nodes = [row for i, value in parsed for row in markup.walk_objects(i, value)]
     if own:
@@ -76,9 +82,6 @@ def _walk_page(html: str | None, own: str | None, body: str | None) -> dict:
             parsed = [(i, markup.unwrap_envelope(item)) for i, item in enumerate(value)]
     entities = markup.flatten_entities(parsed)
     return {
-        "texts": walk.texts,
-        "paragraphs": body_walk.texts_of("p"),
-        "elements": walk.rows,
         "ld_scripts": scripts,
         "ld_nodes": nodes,
         "ld_block_count": len(parsed),
@@ -87,6 +90,35 @@ def _walk_page(html: str | None, own: str | None, body: str | None) -> dict:
     }
 
 
+def _arrow_columns(docs: list[dict], types: dict[str, pa.DataType]) -> list[pa.Array]:
+    columns = []
+    for name, typ in types.items():
+        values = [d[name] for d in docs]
+        if pa.types.is_list(typ) and pa.types.is_struct(typ.value_type):
+            columns.append(_list_array(values, typ))
+        else:
+            columns.append(pa.array(values, type=typ))
+    return columns
+
+
+def _walked(df: DataFrame, kept: list[T.StructField], inputs: list[str | None], walk, fields: dict[str, str]) -> DataFrame:
+    """Rows of ``df`` with what ``walk`` makes of the input columns of each; None stands for a column that is not there."""
+    out_schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
+    names = [f.name for f in kept]
+    types = {n: _arrow_type(t) for n, t in fields.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Small slices keep the output of big pages from piling up in one batch.
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                read = [part.column(c).to_pylist() if c else [None] * part.num_rows for c in inputs]
+                docs = [walk(*values) for values in zip(*read)]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *_arrow_columns(docs, types)], names=names + list(types))
+
+    return df.mapInArrow(run, out_schema)
+
+
 def shred(
     posts: DataFrame, html: str = "html", schemas: str | None = None, keep_html: bool = False,
 ) -> DataFrame:
@@ -95,37 +127,13 @@ def shred(
         schemas = "schemas_json"
     body = "article_body_html" if "article_body_html" in posts.columns else None
     kept = [f for f in posts.schema.fields if keep_html or f.name not in (html, "article_body_html")]
-    out_schema = T.StructType(
-        kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in SHRED_FIELDS.items()]
-    )
-    names = [f.name for f in kept]
-    arrow_types = {n: _arrow_type(t) for n, t in SHRED_FIELDS.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # Small slices keep the output of big pages from piling up in one batch.
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                pages = part.column(html).to_pylist()
-                own = part.column(schemas).to_pylist() if schemas else [None] * len(pages)
-                bodies = part.column(body).to_pylist() if body else [None] * len(pages)
-                docs = [_walk_page(*page) for page in zip(pages, own, bodies)]
-                columns = [part.column(n) for n in names]
-                for name, typ in arrow_types.items():
-                    values = [d[name] for d in docs]
-                    if pa.types.is_list(typ) and pa.types.is_struct(typ.value_type):
-                        columns.append(_list_array(values, typ))
-                    else:
-                        columns.append(pa.array(values, type=typ))
-                yield pa.RecordBatch.from_arrays(columns, names=names + list(arrow_types))
-
-    return posts.mapInArrow(run, out_schema)
+    return _walked(posts, kept, [html, schemas, body], _walk_page, SHRED_FIELDS)
 
 
 def walk_jsonld(df: DataFrame, column: str) -> DataFrame:
     """JSON-LD arrays for a table that holds one JSON-LD text per row instead of a page."""
-    script = F.concat(F.lit('<script type="application/ld+json">'), F.col(column), F.lit("</script>"))
-    return shred(df.withColumn("html", script)).drop("texts", "paragraphs", "elements")
+    fields = {n: t for n, t in SHRED_FIELDS.items() if n.startswith("ld_")}
+    return _walked(df, df.schema.fields, [column], lambda text: _walk_blocks([] if text is None else [text], None), fields)
 
 
 # --- expressions over the arrays of one row ---------------------------------------------------

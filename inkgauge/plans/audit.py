@@ -129,13 +129,14 @@ def audit(
     weights: dict[str, float] | None = None,
     target: int = dims.TARGET_SCORE,
     key: str = "doc_id",
+    families: list[fnd.Family] | None = None,
 ) -> DataFrame:
-    """One report row per post: findings array, scores and verdict.
+    """One report row per post: findings array, scores and verdict. ``families`` adds or leaves out checks.
 
     Without side tables there is no shuffle at all. Side tables join on ``key`` after the page source
     has been reduced to findings, so only small rows move.
     """
-    df = detect(prepare(posts), key=key, keep=["brand", "slug", "post_type"])
+    df = detect(prepare(posts), FAMILIES if families is None else families, key, keep=["brand", "slug", "post_type"])
     if judgements is not None:
         df = judged(df, judgements, key).withColumn(
             "found", F.concat("found", _or_empty("human_found"), _or_empty("quality_found"))
@@ -144,7 +145,7 @@ def audit(
     if preflight is not None:
         # Outside findings never change scores; their criticals block. Only a count and three ids per
         # post are carried over, so a post with very many outside findings stays a small row.
-        outside = preflight.withColumn("ord", F.xxhash64("check_id", "evidence"))
+        outside = preflight if "ord" in preflight.columns else preflight.withColumn("ord", F.xxhash64("check_id", "evidence"))
         df = (
             df.join(scoring.count_critical(outside, [key]).withColumnRenamed("critical_count", "more"), key, "left")
             .join(scoring.first_criticals(outside, [key]), key, "left")

@@ -367,7 +367,7 @@ QUERIES["detect_word_band"] = (
 
 QUERIES["detect_byline"] = (
     lambda spark, sf: rows(with_text(spark, sf), trust.BYLINE),
-    over(f"WITH {BARE} SELECT doc_id, 'E_visible_byline_missing' AS check_id, 'fail' AS severity FROM p WHERE NOT (contains(bare, 'class=\"meta byline\"') OR regexp_matches(substr(text, 1, 3000), {D.q(D.BYLINE)}))"),
+    over(f"WITH {BARE} SELECT doc_id, 'E_visible_byline_missing' AS check_id, 'fail' AS severity FROM p WHERE NOT (contains(bare, 'class=\"meta byline\"') OR regexp_matches(text, {D.q(D.BYLINE)}))"),
 )
 TRUST_CTE = f"""tr AS (SELECT *, {D.found('text', D.FIRST_PARTY)} AS first_party,
   contains(bare, '/pic/shot.png') OR contains(bare, '<figcaption>') AS visual,
@@ -452,7 +452,7 @@ QUERIES["schema_validity"] = (
 def quick_slice(spark, sf) -> DataFrame:
     """Title, h1, links and head tags by pattern only: a first verdict without shredding."""
     html = F.col("html")
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
+    bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)", "")
     df = table(spark, sf, "pages").withColumn("bare", bare)
     title = F.length(F.trim(F.regexp_extract("bare", "(?i)<title>([^<]*)", 1)))
     df = df.withColumns(

@@ -153,7 +153,7 @@ _SPANS_DUCK = "[substr(body_text, 40, 2), substr(body_text, 40, 12), substr(body
 
 
 def fragments(spark, sf) -> DataFrame:
-    df = texts(spark, sf).filter(F.length("body_text") > 300)
+    df = texts(spark, sf)
     wide = rm.unique_fragment(F.substring("body_text", 40, 8), F.col("body_text"))
     return df.select("doc_id", wide.alias("w")).select("doc_id", F.col("w.before").alias("before"), F.length("w.prefix").alias("n_prefix"))
 
@@ -169,7 +169,7 @@ QUERIES["unique_fragment"] = (
     fragments,
     with_fixtures(
         "synth_text",
-        f"WITH {_TEXTS_CTE}, f0 AS (SELECT doc_id, body_text, substr(body_text, 40, 8) AS f FROM t WHERE length(body_text) > 300), "
+        f"WITH {_TEXTS_CTE}, f0 AS (SELECT doc_id, body_text, nullif(substr(body_text, 40, 8), '') AS f FROM t), "
         f"f1 AS (SELECT *, list_filter([f, {', '.join(_wide(k) for k in range(1, 6))}], lambda w: (length(body_text) - length(replace(body_text, w, ''))) / length(w) = 1)[1] AS w FROM f0) "
         "SELECT doc_id, w AS before, case when w is not null then strpos(w, f) - 1 end AS n_prefix FROM f1",
     ),

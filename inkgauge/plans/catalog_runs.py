@@ -293,7 +293,7 @@ QUERIES["reconcile_preflight"] = (
     with_fixtures(
         "synth_preflight",
         f"WITH own AS ({_own_sql()}) SELECT doc_id, check_id, exists(SELECT 1 FROM own o WHERE o.doc_id = p.doc_id AND o.check_id = w.own) AS confirmed FROM synth_preflight p "
-        "JOIN (VALUES ('B2', 'S_h2_question_ratio_low'), ('F7', 'S_visible_last_updated_missing'), ('F2', 'E_no_first_party_data')) w(code, own) ON string_split(p.check_id, ':')[2] = w.code",
+        "JOIN (VALUES ('B2', 'S_h2_question_ratio_low'), ('F7', 'S_visible_last_updated_missing'), ('F2', 'E_no_first_party_data')) w(code, own) ON p.check_id = 'writer:' || w.code",
     ),
 )
 QUERIES["load_preflight"] = (
@@ -303,8 +303,10 @@ QUERIES["load_preflight"] = (
 
 # --- keys, index, summary, sinks --------------------------------------------------------------
 
-_CLEAN = "substr(regexp_replace(regexp_replace(lower({}), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)"
-_KEY = f"{_CLEAN.format('brand')} || '/' || {_CLEAN.format('slug')} || '/' || replace(replace(started_at, ':', '-'), '.', '-')"
+_CLEAN = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_PATH = "case when length({c}) <= 80 then {c} else substr({c}, 1, 80) || '-' || substr(sha256({0}), 1, 16) end"
+_BRAND, _SLUG = (_PATH.format(v, c=_CLEAN.format(v)) for v in ("brand", "slug"))
+_KEY = f"{_BRAND} || '/' || {_SLUG} || '/' || replace(replace(started_at, ':', '-'), '.', '-')"
 QUERIES["run_key"] = (
     lambda spark, sf: runs(spark, sf).select("run_id", li.run_key(F.col("brand"), F.col("slug"), F.col("started_at")).alias("run_key")),
     over(f"SELECT run_id, {_KEY} AS run_key FROM synth_runs", "synth_runs"),

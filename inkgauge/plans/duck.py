@@ -11,7 +11,7 @@ def q(text: str) -> str:
 
 
 SPACES = r"[\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-HIDDEN = r"(?is)<!--.*?-->" + "".join(
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(
     rf"|<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "head")
 )
 TAG = r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|<![^>]*>"""

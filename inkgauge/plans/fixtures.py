@@ -174,7 +174,7 @@ FROM events
 
 SYNTH_PREFLIGHT = """
 SELECT page_id AS doc_id,
-  case page_id % 4 when 0 then 'writer:B2' when 1 then 'writer:F7' when 2 then 'writer:F2' else 'writer:Z9' end AS check_id,
+  case page_id % 4 when 0 then 'writer:B2' when 1 then 'writer:F7' when 2 then 'writer:F2' else case when page_id % 8 = 3 then 'other:B2' else 'writer:Z9' end end AS check_id,
   case when page_id % 25 = 0 then 'critical' else 'warn' end AS severity, 'seen before' AS evidence
 FROM pages
 """

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from inkgauge import dims
-from inkgauge.operators import lineage as li, remedy
+from inkgauge.operators import lineage as li, remedy, scoring
 from inkgauge.plans import audit as au
 from inkgauge.session import ensure_checkpoint_dir
 
@@ -31,29 +31,33 @@ def plan(df: DataFrame) -> DataFrame:
 def apply(df: DataFrame) -> DataFrame:
     """Apply the planned patches in order; ``applied`` counts the accepted ones.
 
-    A source without a body is no whole page: nothing is applied to it.
+    A source without a body element is no whole page: every patch of it is rejected, with that reason in ``patch_log``.
     """
-    whole = F.col("html").rlike(r"(?i)<body[\s>]")
+    shown = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", "")
     kinds = ("word_patches", "span_patches", "meta_patches", "schema_patches")
-    df = df.withColumns({k: F.when(whole, F.col(k)).otherwise(remedy.no_patches()) for k in kinds})
-    df = df.withColumn("w", remedy.apply_rewrites(F.col("word_patches"), F.col("rewrites"), F.col("html")))
-    df = df.withColumn(
-        "s", remedy.apply_spans(F.col("span_patches"), F.col("w.html"), F.coalesce("article_body_html", F.lit("")))
-    )
+    df = df.withColumn("whole", F.coalesce(shown.rlike(r"(?i)<body[\s>]"), F.lit(False)))
+    refused = F.flatten(F.array(*[remedy.rejected(F.col(k), "page without a body element") for k in kinds]))
+    df = df.withColumn("refused", F.when(F.col("whole"), F.array().cast(f"array<{remedy.OUTCOME}>")).otherwise(refused))
+    df = df.withColumns({k: F.when(F.col("whole"), F.col(k)).otherwise(remedy.no_patches()) for k in kinds})
+    df = df.withColumn("w", remedy.apply_rewrites(
+        F.col("word_patches"), F.col("rewrites"), F.col("html"), F.coalesce("article_body_html", F.lit(""))
+    ))
+    df = df.withColumn("s", remedy.apply_spans(F.col("span_patches"), F.col("w.html"), F.col("w.body")))
     df = df.withColumn("m", remedy.apply_meta(F.col("meta_patches"), F.col("s.html")))
     df = df.withColumn("html", F.col("m.html")).withColumn(
         "article_body_html", F.when(F.col("article_body_html").isNotNull(), F.col("s.body"))
     )
     df = remedy.apply_schema_inserts(df)
-    log = F.concat("w.log", "s.log", "m.log", "schema_log")
+    log = F.concat("refused", "w.log", "s.log", "m.log", "schema_log")
     changed_head = F.exists(F.concat("m.log", "schema_log"), lambda e: e["ok"])
     return df.withColumns(
         {
             "applied": F.size(F.filter(log, lambda e: e["ok"])),
+            "patch_log": log,
             # After a head edit the JSON-LD of the page counts, no longer the one supplied with the post.
             "schemas_json": F.when(~changed_head, F.col("schemas_json")),
         }
-    ).drop("w", "s", "m", "schema_log")
+    ).drop("w", "s", "m", "schema_log", "refused", "whole")
 
 
 def audit_rounds(
@@ -65,11 +69,15 @@ def audit_rounds(
     target: int = dims.TARGET_SCORE,
     max_rounds: int = dims.MAX_ROUNDS,
     today: str | None = None,
+    preflight: DataFrame | None = None,
+    families: list | None = None,
 ) -> DataFrame:
-    """Iterations of every post, the last one with its stop reason.
+    """Iterations of every post, the last one with its stop reason, status and verdict.
 
     ``rewrites``: (doc_id, kind, before, after) with kind title, description or sentence.
     ``judgements``: (doc_id, round, judge, answer). ``costs``: (doc_id, round, cost).
+    ``preflight``: findings from outside (doc_id, severity, …); nothing here can patch them, so a critical one
+    escalates its post. ``families``: the checks to run, all by default.
     Each round is written to the checkpoint folder, so neither the plan nor the work grows with the
     number of rounds, and a lost executor does not repeat earlier rounds.
     """
@@ -90,6 +98,12 @@ def audit_rounds(
     else:
         df = df.withColumns({"new_title": F.lit(None).cast("string"), "new_description": F.lit(None).cast("string")})
     none = F.array().cast("array<struct<before:string,after:string>>")
+    if preflight is not None:
+        outside = preflight.groupBy("doc_id").agg(F.count_if(F.col("severity") == "critical").cast("int").alias("outside_critical"))
+        df = df.join(outside, "doc_id", "left").withColumn("outside_critical", F.coalesce("outside_critical", F.lit(0)))
+    else:
+        df = df.withColumn("outside_critical", F.lit(0))
+    families = au.FAMILIES if families is None else families
     df = df.withColumn("rewrites", F.coalesce("rewrites", none) if "rewrites" in df.columns else none)
     carried = df.columns
     df = df.withColumns(
@@ -101,9 +115,9 @@ def audit_rounds(
     closed = []
     for i in range(max_rounds + 1):
         ready = au.prepare(df, keep_html=True)
-        for family in au.FAMILIES:
+        for family in families:
             ready = family.measures(ready)
-        ready = ready.withColumn("found", F.concat(*[f.findings() for f in au.FAMILIES]))
+        ready = ready.withColumn("found", F.concat(*[f.findings() for f in families]))
         if judgements is not None:
             ready = au.judged(ready, judgements.filter(F.col("round") == i)).withColumn(
                 "found", F.concat("found", au._or_empty("human_found"), au._or_empty("quality_found"))
@@ -123,7 +137,8 @@ def audit_rounds(
                 "stalled": (F.lit(i) >= 2) & (delta < 2) & (F.coalesce("last_delta", F.lit(0)) < 2),
                 "unfixable": F.size(
                     F.filter("found", lambda f: (f["severity"] == "critical") & f["patch"].isNull())
-                ),
+                ) + F.col("outside_critical"),
+                "critical_count": F.col("critical_count") + F.col("outside_critical"),
             }
         )
         ready = plan(ready).withColumn(
@@ -142,11 +157,14 @@ def audit_rounds(
                 target, max_rounds,
             ),
         )
-        done = done.checkpoint()
+        # The source is kept only where another round follows.
+        on = c("stop_reason").isNull()
+        done = done.withColumns({n: F.when(on, c(n)) for n in ("html", "article_body_html")}).checkpoint()
         closed.append(
             done.select(
                 *KEPT, "iteration", "technical", "humanization", "quality", "overall", "delta", "critical_count", "planned",
-                "applied", "running_cost", "stop_reason", "found",
+                "applied", "running_cost", "stop_reason", "found", "patch_log",
+                li.status_of(c("stop_reason")).alias("status"), scoring.verdict(c("critical_count"), c("overall"), target).alias("verdict"),
             )
         )
         still = done.filter(F.col("stop_reason").isNull())

@@ -37,8 +37,7 @@ def load_run_history(spark: SparkSession, root: str, brand: str | None = None, s
     for part in (brand, slug):
         if part is None:
             break
-        key = spark.range(1).select(X.sanitize_key(F.lit(part)).alias("k")).first()["k"]
-        path = f"{path}/{key}"
+        path = f"{path}/{X.path_key_of(part)}"
     return assemble_history(read_files(spark, path, "report.json"))
 
 

@@ -23,7 +23,13 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
 # --- audit ------------------------------------------------------------------------------------
 
 
-def stream_audit(posts: DataFrame, out: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+#: Work off what is there and stop. Jobs that run on take another trigger, such as {"processingTime": "1 minute"}.
+DRAIN = {"availableNow": True}
+
+
+def stream_audit(
+    posts: DataFrame, out: str, checkpoint: str, key: str = "doc_id", trigger: dict = DRAIN, families: list | None = None,
+) -> StreamingQuery:
     """Reports and findings of arriving posts, written below ``out``.
 
     The audit is stateless per post. Each micro-batch overwrites its own folder, so a batch that is
@@ -33,12 +39,12 @@ def stream_audit(posts: DataFrame, out: str, checkpoint: str, key: str = "doc_id
     def write(batch: DataFrame, batch_id: int) -> None:
         # Written first and read back: both tables come from one pass over the pages.
         reports = f"{out}/reports/batch={batch_id}"
-        audit(batch, key=key).write.mode("overwrite").parquet(reports)
+        audit(batch, key=key, families=families).write.mode("overwrite").parquet(reports)
         done = batch.sparkSession.read.parquet(reports)
         findings_table(done, key=key).write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
 
     return (
-        posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
@@ -154,10 +160,14 @@ def revision_sessions(rows: DataFrame, delay: str, gap: str) -> DataFrame:
     )
 
 
-def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain what is available into parquet and stop."""
-    query = (
+def start_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", trigger: dict = DRAIN) -> StreamingQuery:
+    """A stream written to parquet."""
+    return (
         stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
-    query.awaitTermination()
+
+
+def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    """Drain what is available into parquet and stop."""
+    start_to_parquet(stream, out, checkpoint, mode).awaitTermination()

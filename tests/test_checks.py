@@ -202,3 +202,60 @@ def test_no_shuffle_in_the_audit(spark):
 def test_families_have_own_names():
     names = [f.name for f in FAMILIES]
     assert len(names) == len(set(names))
+
+
+# --- pages that must not stop or stall a job ----------------------------------------------------
+
+
+def test_odd_markup_is_read(spark):
+    odd = [
+        "<p>a</p><![x[ foo ]]><p>b</p>", "<p>a<![endif]>b", "<![CDATA[x]]><p>c", "<![", "<!", "<p>a</p><!-- open <p>b", "<a href=\"x <p>y", "&#xD800;<p>z",
+    ]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id int, html string")
+    rows = {r["doc_id"]: r for r in sh.shred(df).select("doc_id", "texts").collect()}
+    assert len(rows) == len(odd) and "".join(rows[0]["texts"]).replace(" ", "") == "ab"
+    shown = [r["t"] for r in spark.createDataFrame([("a<!-- b <p>c",), ("a<!-- b -->c",)], "h string").select(X.visible_text(F.col("h")).alias("t")).collect()]
+    assert shown == ["a", "a c"]
+
+
+def test_odd_json_is_read(spark):
+    odd = ['{"@type": "A", "v": "\\ud800x"}', '{"@type": "A", "v": ' + "7" * 5000 + "}", "[" * 50_000 + "]" * 50_000, '{"headline": "a </script> b", "@type": "A"}',
+           '{"@type": "A", "v": "\\ud83d\\ude00"}', "{bad", "", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id int, j string")
+    rows = {r["doc_id"]: r for r in sh.walk_jsonld(df, "j").collect()}
+    assert [rows[i]["ld_scripts"][0]["status"] for i in range(7)] == ["ok", "ok", "deep", "ok", "ok", "invalid", "empty"] and rows[7]["ld_scripts"] == []
+    assert "\ufffdx" in rows[0]["ld_entities"][0]["json"] and "\U0001f600" in rows[4]["ld_entities"][0]["json"]
+    assert rows[3]["ld_entities"][0]["fields"] == ["headline", "@type"]
+    page_ = f'<script type="application/ld+json">{odd[2]}</script>'
+    assert "V_schema_invalid_json" not in checks(spark, page_, jsonld.VALIDITY)
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<![x[", "<script>", "<p ", "</p ", "&#xD800;"])
+def test_long_odd_pages_take_seconds(spark, unit):
+    import time
+
+    df = spark.createDataFrame([(1, unit * (1_000_000 // len(unit)))], "doc_id int, html string")
+    start = time.time()
+    df.select(X.visible_text(F.col("html")).alias("t")).collect()
+    sh.shred(df).select(F.size("elements")).collect()
+    assert time.time() - start < 60
+
+
+def test_byline_anywhere_in_the_page(spark):
+    text = "word " * 2000 + "by Ada Lovelace"
+    assert checks(spark, page(body=f"<p>{text}</p>"), trust.BYLINE) == set()
+
+
+def test_schema_patches_change_values(spark):
+    from inkgauge.operators.markup import insert_schema
+
+    html = '<script type="application/ld+json">{"@graph": [{"@type": ["Article", "X"], "a": {"b": 1}}]}</script>t<script TYPE=application/ld+json>{"@type": "Person"}</script>'
+    patches = [("Article.a.c.d", "2"), ("Person.name", "Ada"), ("add:Page", '{"n": 1}'), ("Page.n", "3"), ("Nobody.x", "1"), ("add:Page", "no object"), ("Article", "1")]
+    out, log = insert_schema(html, [{"target": t, "after": a, "type": "insert_schema"} for t, a in patches])
+    assert [ok for _, _, ok, _ in log] == [True, True, True, True, False, False, False]
+    import json
+    import re
+
+    blocks = [json.loads(b) for b in re.findall(r"(?is)<script[^>]*>(.*?)</script>", out)]
+    assert blocks == [{"@graph": [{"@type": ["Article", "X"], "a": {"b": 1, "c": {"d": 2}}}, {"@type": "Page", "n": 3}]}, {"@type": "Person", "name": "Ada"}]
+    assert "</script>t<script TYPE" in out and insert_schema("<p>", [{"target": "A.b", "after": "1", "type": "t"}])[0] == "<p>"

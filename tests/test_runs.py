@@ -2,11 +2,13 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkgauge import dims
+from inkgauge.functions import text as X
 from inkgauge.operators import lineage as li, remedy as rm, scoring as sc
 from inkgauge.plans.audit import audit, judged, prepare, detect, score
 from inkgauge.plans.rounds import audit_rounds
@@ -158,6 +160,29 @@ def test_rounds_patch_until_nothing_is_left(spark):
     assert "H_banned_vocabulary" not in [f["check_id"] for f in one[-1]["found"]]
 
 
+def test_rounds_change_page_and_body_and_heed_outside_criticals(spark):
+    body = "<p>We measured it. A robust plan held.</p>"
+    posts = spark.createDataFrame([(1, SOUND, body), (2, SOUND, body), (3, "<!-- <body> --><p>A robust plan held.</p>", None)], "doc_id int, html string, article_body_html string")
+    rewrites = spark.createDataFrame([(i, "sentence", "A robust plan held.", "The plan held up well.") for i in (1, 2, 3)], "doc_id int, kind string, before string, after string")
+    outside = spark.createDataFrame([(2, "other:X", "critical", "e"), (1, "other:Y", "warn", "e")], "doc_id int, check_id string, severity string, evidence string")
+    rows = audit_rounds(posts, rewrites=rewrites, preflight=outside, today="2026-04-30").orderBy("doc_id", "iteration").collect()
+    one, two, three = ([r for r in rows if r["doc_id"] == i] for i in (1, 2, 3))
+    assert "H_banned_vocabulary" in [f["check_id"] for f in one[0]["found"]]
+    assert "H_banned_vocabulary" not in [f["check_id"] for f in one[-1]["found"]] and one[-1]["stop_reason"] == "no_patches"
+    assert (one[-1]["status"], one[0]["status"]) == ("stalled", "open")
+    assert [(r["stop_reason"], r["status"], r["verdict"]) for r in two] == [("unfixable_critical", "escalated", "block")]
+    assert three[0]["applied"] == 0 and {e["reason"] for e in three[0]["patch_log"]} == {"page without a body element"}
+
+
+def test_sentence_search_reads_long_runs_once(spark):
+    text = "x" * 1_000_000 + " A robust plan held. Next one."
+    df = spark.createDataFrame([(text,), ("No. It is robust\nstill. Very ROBUST now! End",), ("none",)], "t string")
+    start = time.time()
+    got = [r["s"] for r in df.select(rm.sentence_around(F.col("t"), F.lit(r"\brobust\b")).alias("s")).collect()]
+    assert time.time() - start < 30
+    assert got[0] == "x" * 1_000_000 + " A robust plan held." and got[1:] == ["Very ROBUST now!", ""]
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
@@ -187,11 +212,25 @@ def test_stream_lineage_over_batches(spark, tmp_path):
     assert [r["run_id"] for r in spark.read.parquet(f"{out}/late").collect()] == [3]
 
 
+def test_outside_codes_of_other_sources_pass_through(spark):
+    own = spark.createDataFrame([(1, "S_h2_question_ratio_low")], "doc_id int, check_id string")
+    outside = spark.createDataFrame([(1, "other:B2", "warn", "e")], "doc_id int, check_id string, severity string, evidence string")
+    assert li.reconcile_preflight(own, outside, ["doc_id"])["adjudication"].count() == 0
+    assert li.reconcile_preflight(own, outside, ["doc_id"], source="other")["adjudication"].count() == 1
+
+
+def test_long_keys_stay_apart(spark):
+    long = "a" * 90
+    df = spark.createDataFrame([(long + "1",), (long + "2",), ("Short Key",)], "k string")
+    keys = [r["p"] for r in df.select(X.path_key(F.col("k")).alias("p")).collect()]
+    assert len(set(keys)) == 3 and keys[2] == "short-key" and keys == [X.path_key_of(k) for k in (long + "1", long + "2", "Short Key")]
+
+
 @pytest.mark.parametrize("code,confirmed", [("tool:B2", True), ("tool:F7", False)])
 def test_witnesses(spark, code, confirmed):
     own = spark.createDataFrame([(1, "S_h2_question_ratio_low")], "doc_id int, check_id string")
     outside = spark.createDataFrame([(1, code, "warn", "e"), (1, "tool:X1", "warn", "e")], "doc_id int, check_id string, severity string, evidence string")
-    made = li.reconcile_preflight(own, outside, ["doc_id"])
+    made = li.reconcile_preflight(own, outside, ["doc_id"], source="tool")
     rows = made["adjudication"].collect()
     assert [(r["check_id"], r["confirmed"]) for r in rows] == [(code, confirmed)]
     assert made["findings"].count() == 2
