@@ -54,7 +54,7 @@ def axis_findings(layer: str) -> Column:
         )
 
     unreadable = finding(
-        "H_judge_parse_error" if human else "Q_parse_error", layer, "info", "model", "Judge returned unparseable JSON"
+        "H_judge_parse_error" if human else "Q_parse_error", layer, "info", "model", "the judge's answer cannot be read"
     )
     return F.when(F.col("axes").isNull(), F.array(unreadable)).otherwise(
         F.array_compact(F.transform("axes", check))

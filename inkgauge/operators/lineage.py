@@ -144,8 +144,8 @@ def reconcile_preflight(
             F.when(
                 F.col("seen").isNull(),
                 F.concat(
-                    F.lit("equivalents ["), F.array_join("own_checks", ", "),
-                    F.lit("] did not flag; detector scope or thresholds differ"),
+                    F.lit("own checks ["), F.array_join("own_checks", ", "),
+                    F.lit("] saw nothing; scope or limits may differ"),
                 ),
             ).alias("reason"),
         )
