@@ -196,14 +196,24 @@ QUERIES["substring_count"] = (
 
 
 def rules_in_use(spark, sf) -> DataFrame:
-    """The rule tables as rows, each with how often the corpus triggers it (lexicon terms only)."""
-    seen = style.lexicon_hits(texts(spark, sf)).groupBy(F.col("term").alias("value")).agg(F.sum("n").alias("uses"))
-    return (
-        F.broadcast(dims.rule_rows(spark)).filter("kind = 'lexicon' and key <> 'banned_phrase'")
-        .join(seen, "value", "left").select("kind", "key", "value", F.coalesce("uses", F.lit(0)).alias("uses"))
+    """All rule tables as rows, each with how often the corpus triggers it: terms by hits, phrases by documents."""
+    df = texts(spark, sf)
+    terms = style.lexicon_hits(df).groupBy(F.col("list").alias("key"), F.col("term").alias("value")).agg(F.sum("n").alias("uses"))
+    phrases = style.phrase_hits(df).groupBy(F.lit("banned_phrase").alias("key"), F.col("phrase").alias("value")).agg(F.count("*").alias("uses"))
+    seen = terms.unionByName(phrases).withColumn("kind", F.lit("lexicon"))
+    return dims.rule_rows(spark).join(seen, ["kind", "key", "value"], "left").select(
+        "kind", "key", "value", F.coalesce("uses", F.lit(0)).alias("uses")
     )
 
 
+def _other_rules() -> list[tuple[str, str, str]]:
+    rows = [("format", k, v) for k, v in dims.FORMAT_SYNONYMS.items()]
+    rows += [("entity_field", f"{t}.{tier}", f) for t, tiers in dims.ENTITY_FIELDS.items() for tier, fields in zip(dims.FIELD_TIERS, tiers) for f in fields.split()]
+    rows += [(kind, k, str(v[i])) for k, v in dims.BANDS.items() for kind, i in (("band_min", 0), ("band_max", 2))]
+    rows += [("rubric_weight", k, str(v[3])) for k, v in dims.RUBRIC.items()]
+    return rows + [("witness", code, own) for code, owns in dims.WITNESSES.items() for own in owns]
+
+
 QUERIES["rule_dimensions"] = (
     rules_in_use,
     with_fixtures(
@@ -214,7 +224,11 @@ QUERIES["rule_dimensions"] = (
             f"cast(coalesce(sum({D.found('lower(body_text)', D.any_of([term]))}), 0) as bigint) AS uses FROM t"
             for name, terms in style.LISTS.items()
             for term in terms
-        ),
+        )
+        + "".join(
+            f" UNION ALL SELECT 'lexicon', 'banned_phrase', {D.q(p)}, count_if(contains(lower(body_text), {D.q(p)})) FROM t" for p in dims.BANNED_PHRASES
+        )
+        + " UNION ALL SELECT *, 0 FROM (VALUES " + ", ".join(f"({D.q(a)}, {D.q(b)}, {D.q(c)})" for a, b, c in _other_rules()) + ") v(kind, key, value)",
     ),
 )
 
