@@ -55,7 +55,7 @@ _SPECS = "specs(type, tier, field, nth) AS (VALUES " + ", ".join(
     f"({D.q(t)}, {D.q(tier)}, {D.q(f)}, {i})"
     for t, tiers in dims.ENTITY_FIELDS.items()
     for tier, fields in zip(dims.FIELD_TIERS, tiers)
-    for i, f in enumerate(fields.split())
+    for i, f in enumerate(fields)
 ) + ")"
 MISSING = f"""{LD}, {_SPECS}, miss AS (SELECT e.doc_id, e.nth, e.type, s.tier, string_agg(s.field, ', ' order by s.nth) AS missing FROM etypes e JOIN specs s USING (type)
   WHERE NOT list_contains(json_keys(e.n), s.field) GROUP BY e.doc_id, e.nth, e.type, s.tier)"""

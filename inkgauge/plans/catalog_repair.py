@@ -87,7 +87,7 @@ def schema_plan(spark, sf) -> DataFrame:
 
 
 _SPEC_ROWS = ", ".join(
-    f"({D.q(t)}, {D.q(tier)}, {D.q(f)})" for t, tiers in dims.ENTITY_FIELDS.items() if t in ("Article", "BlogPosting", "NewsArticle", "WebPage", "Organization") for tier, fs in zip(dims.FIELD_TIERS, tiers) for f in fs.split()
+    f"({D.q(t)}, {D.q(tier)}, {D.q(f)})" for t, tiers in dims.ENTITY_FIELDS.items() if t in ("Article", "BlogPosting", "NewsArticle", "WebPage", "Organization") for tier, fs in zip(dims.FIELD_TIERS, tiers) for f in fs
 )
 _ART = "('BlogPosting', 'Article', 'NewsArticle')"
 QUERIES["plan_schema_patches"] = (
@@ -272,7 +272,7 @@ def instructed(spark, sf) -> DataFrame:
 def _instruction_sql() -> str:
     rank = "case severity when 'critical' then 4 when 'fail' then 3 when 'warn' then 2 else 1 end"
     plain = f"SELECT doc_id, check_id, severity FROM ({PAGES['detect_structure'][1]}) UNION ALL SELECT doc_id, check_id, severity FROM ({PAGES['detect_meta'][1]})"
-    return f"""WITH {BARE}, {LD}, {BLOCKS}, spec(type, tier, field) AS (VALUES {', '.join(f"({D.q(t)}, {D.q(tier)}, {D.q(f)})" for t, tiers in dims.ENTITY_FIELDS.items() for tier, fs in zip(dims.FIELD_TIERS, tiers) for f in fs.split())}),
+    return f"""WITH {BARE}, {LD}, {BLOCKS}, spec(type, tier, field) AS (VALUES {', '.join(f"({D.q(t)}, {D.q(tier)}, {D.q(f)})" for t, tiers in dims.ENTITY_FIELDS.items() for tier, fs in zip(dims.FIELD_TIERS, tiers) for f in fs)}),
       ids AS (SELECT row_number() over () AS eid, * FROM etypes),
       fields AS (SELECT doc_id, 'D_' || type || '_missing_' || tier AS check_id, case tier when 'recommended' then 'warn' else 'fail' end AS severity FROM ids JOIN spec USING (type) WHERE NOT list_contains(json_keys(n), field) GROUP BY eid, doc_id, type, tier),
       noart AS (SELECT doc_id, 'D_no_article_entity' AS check_id, 'critical' AS severity FROM ld WHERE doc_id NOT IN (SELECT doc_id FROM etypes WHERE type IN {_ART})),

@@ -208,7 +208,7 @@ def rules_in_use(spark, sf) -> DataFrame:
 
 def _other_rules() -> list[tuple[str, str, str]]:
     rows = [("format", k, v) for k, v in dims.FORMAT_SYNONYMS.items()]
-    rows += [("entity_field", f"{t}.{tier}", f) for t, tiers in dims.ENTITY_FIELDS.items() for tier, fields in zip(dims.FIELD_TIERS, tiers) for f in fields.split()]
+    rows += [("entity_field", f"{t}.{tier}", f) for t, tiers in dims.ENTITY_FIELDS.items() for tier, fields in zip(dims.FIELD_TIERS, tiers) for f in fields]
     rows += [(kind, k, str(v[i])) for k, v in dims.BANDS.items() for kind, i in (("band_min", 0), ("band_max", 2))]
     rows += [("rubric_weight", k, str(v[3])) for k, v in dims.RUBRIC.items()]
     return rows + [("witness", code, own) for code, owns in dims.WITNESSES.items() for own in owns]
