@@ -1,13 +1,19 @@
-"""Personal data: fixed patterns, and the words near them that the corpus shows to give the person away.
+"""Personal data: fixed patterns, and the words in the same documents that the corpus shows to give the person away.
 
 Base: addresses of mail and machines, card and phone numbers are found in every whole text; each pattern runs once
 from the left, in time linear in the text (all loops are possessive), and matches that fail their test are dropped.
 
-Information-theoretic part: a valid match is a protected entity e. A term t is a word of letters that stands within
-``REACH`` characters of it. Over all documents, PMI(e, t) = log2(N n(e,t) / (n(e) n(t))) says how much t tells about
-e, and IC(e) = log2(N / n(e)) how much there is to tell; n counts documents. Their ratio is 1 when t occurs nowhere
-but beside e. From ``GENERALISE`` on the term is replaced by its class, from ``REMOVE`` on it is removed. A term must
-be seen in ``SUPPORT`` documents, as one document is no statistic. Base spans always stay.
+Information-theoretic part: a valid match is a protected entity e. A term t is a word (``TERM``) of the same document,
+at any distance; what lies within a valid match belongs to the entity and is no term. Over all documents,
+PMI(e, t) = log2(N n(e,t) / (n(e) n(t))) says how much t tells about e, and IC(e) = log2(N / n(e)) how much there is to
+tell; n counts documents. Their ratio is 1 when t occurs nowhere but beside e. From ``GENERALISE`` on the term is
+replaced by its class, from ``REMOVE`` on it is removed: the highest ratio of the term counts, and every occurrence in
+every text is marked, also where the entity is not mentioned. A term must be seen in ``SUPPORT`` documents, as one
+document is no statistic. Base spans always stay.
+
+Bounds: pairs are only made of entities and terms that both have the support, and of terms rare enough for the ratio
+(n(e,t) <= n(e), hence n(t) <= N (n(e) / N)^ratio), which loses none. Texts without a match are searched for risky
+terms through a bit table of at most ``SIEVE`` bits; what passes is compared with the terms themselves.
 
 Defined cases: a null text is empty and has no spans; repeated rows are rows of their own and count as documents;
 ties in start are ordered email, ip, card, phone, term. An empty table gives an empty result. Only doc_id and text
@@ -16,12 +22,15 @@ are read. All steps are DataFrame operations; a text is never cut.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import stage, whole_text
 
-REACH, SUPPORT, GENERALISE, REMOVE = 96, 2, 0.8, 0.95
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
+SIEVE = 1 << 22
 KINDS = ["email", "ip", "card", "phone", "term"]
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -38,11 +47,13 @@ PATTERNS = {
 _BREAK = "[\\x20\\x09-\\x0D]"
 #: A word of three letters or more between white space, perhaps with punctuation behind it.
 TERM = f"(?<![^\\x20\\x09-\\x0D])\\p{{L}}{{3,}}+(?=[.,;:!?)]*+(?:{_BREAK}|\\z))"
+#: What may lie before a term.
+SKIP = "(?s:.)*?"
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 
 
 def _pieces(text: Column, kind: str) -> Column:
-    """The matches of a kind, each with what lies before it; the last element holds the rest of the text."""
+    """The matches of a kind, each with the length of what lies before it; the last element stands for the rest of the text."""
     gap, match = PATTERNS[kind]
     whole = f"\\G({gap})({match}|\\z)"
     found = F.arrays_zip(
@@ -51,8 +62,7 @@ def _pieces(text: Column, kind: str) -> Column:
     listed = F.transform(
         found,
         lambda x: F.struct(
-            F.lit(kind).alias("kind"), F.length(x["gap"]).alias("skip"), F.left(x["gap"], F.lit(REACH)).alias("head"),
-            F.right(x["gap"], F.lit(REACH)).alias("tail"), x["match"].alias("value"),
+            F.lit(kind).alias("kind"), F.length(x["gap"]).alias("skip"), x["match"].alias("value"),
         ),
     )
     # Most texts have none: then nothing is kept, the rest of the text neither.
@@ -85,98 +95,161 @@ def _holds(kind: Column, value: Column) -> Column:
     )
 
 
-def _listed(docs: DataFrame, keep_text: bool) -> DataFrame:
-    kept = ["text"] if keep_text else []
+def _listed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("row_id", F.monotonically_increasing_id())
     found = F.concat(*[F.coalesce(_pieces(F.col("text"), kind), F.expr(
-        "cast(array() as array<struct<kind:string,skip:int,head:string,tail:string,value:string>>)"
+        "cast(array() as array<struct<kind:string,skip:int,value:string>>)"
     )) for kind in PATTERNS])
-    return stage(rows.select("row_id", "doc_id", *kept, found.alias("pieces")), "pii-pieces")
+    return stage(rows.select("row_id", "doc_id", "text", found.alias("pieces")), "pii-pieces")
 
 
 def base_mentions(listed: DataFrame) -> DataFrame:
-    """Valid matches: row_id, kind, start, end (code points), entity, and the whole words around: before, after."""
+    """Valid matches: row_id, kind, start, end (code points), entity."""
     one = listed.select("row_id", F.posexplode("pieces").alias("i", "p")).select("row_id", "i", "p.*")
     order = Window.partitionBy("row_id", "kind").orderBy("i")
     end = F.sum(F.col("skip") + F.length("value")).over(order)
-    placed = one.select(
-        "row_id", "kind", "value", "skip", "tail", end.alias("end"), F.lead("head").over(order).alias("head"),
-        F.lead("skip").over(order).alias("rest"),
-    ).where((F.col("value") != "") & _holds(F.col("kind"), F.col("value")))
-    word = "[^\\x20\\x09-\\x0D]++"
+    placed = one.select("row_id", "kind", "value", end.alias("end")).where(
+        (F.col("value") != "") & _holds(F.col("kind"), F.col("value")))
     return placed.select(
         "row_id", "kind", (F.col("end") - F.length("value")).alias("start"), "end",
         F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).when(
             F.col("kind") == "ip", F.col("value")).otherwise(_digits(F.col("value")))).alias("entity"),
-        # A word that the window cuts through is left out.
-        F.when(F.col("skip") > REACH, F.regexp_replace("tail", f"^{word}", "")).otherwise(F.col("tail")).alias("before"),
-        F.when(F.col("rest") > REACH, F.regexp_replace("head", f"{word}$", "")).otherwise(F.coalesce("head", F.lit(""))).alias("after"),
     )
 
 
-def _terms_near(mentions: DataFrame) -> DataFrame:
-    """row_id, entity, term, start, end for every word around a mention."""
+def _tokens(text: Column) -> Column:
+    """The terms of a text as written, each with the length of what lies before it."""
+    whole = F.lit(f"\\G({SKIP})({TERM})")
+    found = F.arrays_zip(F.regexp_extract_all(text, whole, 1).alias("gap"), F.regexp_extract_all(text, whole, 2).alias("word"))
+    return F.transform(found, lambda x: F.struct(F.length(x["gap"]).alias("skip"), x["word"].alias("word")))
 
-    def placed(context: str, origin: Column) -> DataFrame:
-        text = F.col(context)
-        marked = f"(?s)\\G(.*?)({TERM})"
-        found = F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(marked), 1).alias("gap"), F.regexp_extract_all(text, F.lit(marked), 2).alias("word")
-        )
-        # At most REACH characters: the sum over what stands before is short.
-        spans = F.transform(found, lambda x, i: F.struct(
-            x["word"].alias("word"),
-            F.aggregate(F.slice(found, F.lit(1), i), F.length(x["gap"]), lambda s, y: s + F.length(y["gap"]) + F.length(y["word"])).alias("at"),
-        ))
-        return mentions.select("row_id", "entity", origin.alias("origin"), F.explode(spans).alias("t")).select(
-            "row_id", "entity", F.lower("t.word").alias("term"), (F.col("origin") + F.col("t.at")).alias("start"),
-            (F.col("origin") + F.col("t.at") + F.length("t.word")).alias("end"),
-        )
 
-    return placed("before", F.col("start") - F.length("before")).unionByName(placed("after", F.col("end")))
+def _terms_beside(matched: DataFrame, mentions: DataFrame) -> DataFrame:
+    """row_id, term, start, end for every term of the rows with matches that no valid match touches."""
+    order = Window.partitionBy("row_id").orderBy("i")
+    end = F.sum(F.col("skip") + F.length("word")).over(order)
+    terms = (
+        matched.select("row_id", F.posexplode(_tokens(F.col("text"))).alias("i", "t")).select("row_id", "i", "t.*")
+        .select("row_id", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
+    )
+    both = terms.unionByName(mentions.select("row_id", F.lit(None).cast("string").alias("term"), "start", "end"))
+    taken = F.when(F.col("term").isNull(), F.struct("start", "end"))
+    # Both frames run: one from the start of the text, one from its end. Matches that start with a term come before it.
+    along = Window.partitionBy("row_id").orderBy("start", F.col("term").isNotNull())
+    back = Window.partitionBy("row_id").orderBy(F.desc("start"), F.col("term").isNull())
+    before = F.max(taken["end"]).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.min(taken["start"]).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        both.select("row_id", "term", "start", "end", before.alias("before"), behind.alias("behind")).where(
+            F.col("term").isNotNull() & (F.coalesce("before", F.col("start")) <= F.col("start"))
+            & (F.coalesce("behind", F.col("end")) >= F.col("end")))
+        .select("row_id", "term", "start", "end")
+    )
 
 
-def term_documents(docs: DataFrame) -> DataFrame:
+def term_documents(plain: DataFrame, beside: DataFrame) -> DataFrame:
     """In how many documents each term occurs, over all whole texts: term, n_t."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(TERM), 0))
-    return docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))
+    every = plain.select(F.explode(found).alias("term")).unionByName(beside.select("term"))
+    return every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosure(docs: DataFrame, near: DataFrame, mentions: DataFrame, n_docs: int, support: int = SUPPORT) -> DataFrame:
-    """entity, term and ratio: the share of what there is to tell about an entity that a term tells."""
-    n_e = mentions.select("entity", "row_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_et = (
-        near.select("entity", "term", "row_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-        .where(F.col("n_et") >= support)
-    )
-    pairs = stage(n_et, "pii-pairs").join(stage(n_e, "pii-entities"), "entity").join(stage(term_documents(docs), "pii-terms"), "term")
+def disclosure(plain: DataFrame, near: DataFrame, mentions: DataFrame, n_docs: int, support: int = SUPPORT,
+               least: float = GENERALISE) -> DataFrame:
+    """entity, term and ratio from ``least`` on: the share of what there is to tell about an entity that a term tells."""
+    beside = stage(near.select("row_id", "term").distinct(), "pii-beside")
     n = F.lit(float(max(n_docs, 2)))
+    # No pair with a term of more documents reaches the least ratio; the margin is for rounding.
+    most = n * F.pow(F.col("n_e") / n, F.lit(least)) * 1.000001
+    held = mentions.select("entity", "row_id").distinct()
+    n_e = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(
+        (F.col("n_e") >= support) & (F.col("n_e") < n_docs)).select("entity", "n_e", most.alias("most"))
+    held = stage(held.join(stage(n_e, "pii-entities"), "entity"), "pii-held")
+    row_most = held.groupBy("row_id").agg(F.max("most").alias("row_most"))
+    n_t = stage(term_documents(plain, beside).where(F.col("n_t") >= support), "pii-terms")
+    terms = stage(
+        beside.join(row_most, "row_id").join(n_t, "term").where(F.col("n_t") <= F.col("row_most"))
+        .select("row_id", "term", "n_t"), "pii-rare",
+    )
+    pairs = (
+        held.join(terms, "row_id").where(F.col("n_t") <= F.col("most"))
+        .groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    )
     told = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
     there = F.log2(n / F.col("n_e"))
-    return pairs.where(F.col("n_e") < n_docs).select("entity", "term", (told / there).alias("ratio"))
+    return pairs.select("entity", "term", (told / there).alias("ratio")).where(F.col("ratio") >= least)
+
+
+def _sieve(risky: DataFrame):
+    """A test of words that holds for every risky term, and for few others; None if there is no risky term."""
+    total = risky.count()
+    if not total:
+        return None
+    bits = min(SIEVE, max(64, 1 << (16 * total).bit_length()))
+
+    def places(term: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(term, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+    set_bits = (
+        risky.select(F.explode(F.array(*places(F.col("term")))).alias("at"))
+        .groupBy(F.expr("cast(at div 64 as int)").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    )
+    table = [0] * (bits // 64)
+    for row in set_bits.toLocalIterator():
+        table[row["word"]] = row["mask"]
+    masks = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>")
+
+    def holds(term: Column) -> Column:
+        one, two = [
+            F.getbit(F.get(masks, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in places(term)
+        ]
+        return one & two
+
+    return holds
+
+
+def _terms_elsewhere(plain: DataFrame, holds) -> DataFrame:
+    """row_id, term, start, end for the words of rows without matches that pass the sieve."""
+    none = F.expr("cast(array() as array<struct<term:string,start:bigint,end:bigint>>)")
+
+    def walk(done: Column, t: Column) -> Column:
+        start = done["at"] + t["skip"]
+        end = start + F.length(t["word"])
+        term = F.lower(t["word"])
+        hit = F.array(F.struct(term.alias("term"), start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(holds(term), F.concat(done["hits"], hit)).otherwise(done["hits"]).alias("hits"))
+
+    walked = F.aggregate(
+        _tokens(F.col("text")), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("hits")), walk, lambda done: done["hits"]
+    )
+    return plain.select("row_id", F.explode(walked).alias("t")).select("row_id", "t.*")
 
 
 def found_spans(docs: DataFrame, keep_text: bool = False, generalise: float = GENERALISE, remove: float = REMOVE,
                 support: int = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans: array of (start, rank, end, kind, action), in order."""
-    listed = _listed(docs, keep_text)
+    listed = _listed(docs)
+    matched, plain = listed.where(F.size("pieces") > 0), listed.where(F.size("pieces") == 0)
     mentions = stage(base_mentions(listed), "pii-mentions")
-    near = stage(_terms_near(mentions), "pii-near")
+    near = stage(_terms_beside(matched, mentions), "pii-near")
     risky = stage(
-        disclosure(docs, near, mentions, listed.count(), support).where(F.col("ratio") >= generalise), "pii-risky"
-    )
-    added = (
-        near.join(risky, ["entity", "term"]).groupBy("row_id", "start", "end").agg(F.max("ratio").alias("ratio"))
-        .select("row_id", "start", "end", F.lit("term").alias("kind"),
-                F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
+        disclosure(plain, near, mentions, listed.count(), support, generalise)
+        .groupBy("term").agg(F.max("ratio").alias("ratio")), "pii-risky"
     )
-    every = mentions.select("row_id", "start", "end", "kind", F.lit("replace").alias("action")).unionByName(added)
+    every = mentions.select("row_id", "start", "end", "kind", F.lit("replace").alias("action"))
+    if holds := _sieve(risky):
+        seen = near.unionByName(stage(_terms_elsewhere(plain, holds), "pii-elsewhere"))
+        every = every.unionByName(seen.join(risky, "term").select(
+            "row_id", "start", "end", F.lit("term").alias("kind"),
+            F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     spans = every.groupBy("row_id").agg(
         F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "action"))).alias("spans")
     )
     empty = F.expr("cast(array() as array<struct<start:bigint,rank:bigint,end:bigint,kind:string,action:string>>)")
-    return listed.drop("pieces").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
+    kept = listed.drop("pieces") if keep_text else listed.select("row_id", "doc_id")
+    return kept.join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
 def spans_text(spans: Column) -> Column:

@@ -71,6 +71,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[0] == "the report of 0 was sent by  [EMAIL] to the office" and clean[10] == rows[3][1]
 
 
+def test_terms_count_at_any_distance_and_are_marked_everywhere(spark):
+    far = prose(7, 120)
+    rows = [(i, f"Zanzibar {far} in 2024 {far} 4111 1111 1111 1111 {far}") for i in range(4)]
+    rows += [(10 + i, f"{far} {prose(i, 20)}") for i in range(200)] + [(999, f"ask zanzibar, {far} and Zanzibar")]
+    found = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    for i in range(4):
+        assert "term:0:8" in found[i].spans.split(",") and found[i].n_card == 1
+    at = len(f"ask zanzibar, {far} and ")
+    assert found[999].spans == f"term:4:12,term:{at}:{at + 8}"
+    assert all(found[10 + i].spans == "" for i in range(200))
+
+
 def test_personal_data_of_no_rows_and_repeated_rows(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
     twice = documents(spark, [(1, "a@b.cd"), (1, "a@b.cd"), (None, "1.2.3.4")])
