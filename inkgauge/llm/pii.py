@@ -4,9 +4,10 @@ Base: addresses of mail and machines, card and phone numbers are found in every
 from the left, in time linear in the text (all loops are possessive), and matches that fail their test are dropped.
 
 Information-theoretic part: a valid match is a protected entity e. A term t is a word (``TERM``) of the same document,
-at any distance; what lies within a valid match belongs to the entity and is no term. Over all documents,
-PMI(e, t) = log2(N n(e,t) / (n(e) n(t))) says how much t tells about e, and IC(e) = log2(N / n(e)) how much there is to
-tell; n counts documents. Their ratio is 1 when t occurs nowhere but beside e. From ``GENERALISE`` on the term is
+at any distance; what lies within a valid match belongs to the entity and is no term; terms are compared in lower
+case, and in scripts without spaces a run of letters is one term. Over all documents, PMI(e, t) =
+log2(N n(e,t) / (n(e) n(t))) says how much t tells about e, and IC(e) = log2(N / n(e)) how much there is to tell; n
+counts documents. Their ratio is 1 when t occurs nowhere but beside e. From ``GENERALISE`` on the term is
 replaced by its class, from ``REMOVE`` on it is removed: the highest ratio of the term counts, and every occurrence in
 every text is marked, also where the entity is not mentioned. A term must be seen in ``SUPPORT`` documents, as one
 document is no statistic. Base spans always stay.
@@ -44,11 +45,14 @@ PATTERNS = {
     "card": ("(?:[^0-9]++|[0-9](?![ -]?[0-9]))*+", "[0-9](?:[ -]?[0-9])++"),
     "phone": (f"(?:[^+]++|\\+(?![0-9][ ().0-9-]+[0-9]))*+", _TELEPHONE),
 }
-_BREAK = "[\\x20\\x09-\\x0D]"
-#: A word of three letters or more between white space, perhaps with punctuation behind it.
-TERM = f"(?<![^\\x20\\x09-\\x0D])\\p{{L}}{{3,}}+(?=[.,;:!?)]*+(?:{_BREAK}|\\z))"
+_ALNUM, _APOSTROPHE, _JOIN = "[\\p{L}\\p{M}\\p{N}]", "['\u2019]", "['\u2019_\u2010-]"
+_POSSESSIVE = f"{_APOSTROPHE}[sS](?!{_ALNUM})"
+_SMALL = f"\\p{{Ll}}{{1,2}}+(?:(?={_POSSESSIVE})|(?!{_JOIN}?{_ALNUM}))"
+#: A word, name or code: letters and digits, joined by single hyphens, apostrophes or underscores; a possessive s is no part.
+#: One or two small letters alone are no term ("of"); short names and codes with a capital, a digit or letters without case are.
+TERM = f"(?<!{_ALNUM})(?!{_SMALL}){_ALNUM}++(?:(?!{_POSSESSIVE}){_JOIN}{_ALNUM}++)*+"
 #: What may lie before a term.
-SKIP = "(?s:.)*?"
+SKIP = f"(?:[^\\p{{L}}\\p{{M}}\\p{{N}}'\u2019]++|(?<={_ALNUM}){_POSSESSIVE}|{_APOSTROPHE}|(?<!{_ALNUM}){_SMALL})*+"
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 
 
@@ -149,7 +153,7 @@ def _terms_beside(matched: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def term_documents(plain: DataFrame, beside: DataFrame) -> DataFrame:
     """In how many documents each term occurs, over all whole texts: term, n_t."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"\\G{SKIP}({TERM})"), 1), F.lower))
     every = plain.select(F.explode(found).alias("term")).unionByName(beside.select("term"))
     return every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 

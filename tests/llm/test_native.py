@@ -83,6 +83,17 @@ def test_terms_count_at_any_distance_and_are_marked_everywhere(spark):
     assert all(found[10 + i].spans == "" for i in range(200))
 
 
+def test_terms_are_names_and_codes_of_any_form(spark):
+    names = ['"Smithy"', "(Weaver)", "name:Cooper", "Mueller-Lang", "O\u2019Brien", "[AB1234]", "Xu", "Zanzibar's", "Ga\u0308rtner/", "77-4711"]
+    text = "the mail of " + " and ".join(names) + " to bob.q@mail.example.com was sent to the office"
+    rows = [(i, text) for i in range(3)] + [(10 + i, f"the mail of the office was sent to and com {prose(i, 30)}") for i in range(80)]
+    found = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    spans = [s.split(":") for s in found[0].spans.split(",")]
+    assert [text[int(a):int(b)] for kind, a, b in spans if kind == "term"] == [
+        "Smithy", "Weaver", "name", "Cooper", "Mueller-Lang", "O\u2019Brien", "AB1234", "Xu", "Zanzibar", "Ga\u0308rtner", "77-4711"]
+    assert all(found[10 + i].spans == "" for i in range(80))
+
+
 def test_personal_data_of_no_rows_and_repeated_rows(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
     twice = documents(spark, [(1, "a@b.cd"), (1, "a@b.cd"), (None, "1.2.3.4")])
