@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import exact_dedup, lang_id, lm_scoring, minhash_join, mixing, pii, piece_sampling, token_store, warc, winnowing
+from inkgauge.llm import (
+    exact_dedup, lang_id, lm_scoring, minhash_join, mixing, packing, pii, piece_sampling, token_store, vector_codes, warc, winnowing, word_runs,
+)
 from inkgauge.llm.common import table
 
 
@@ -100,6 +102,53 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = vector_codes.ROUNDS, parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES) -> str:
+    """Components as rows; every round joins each part with every entry of its codebook."""
+    head = f"""
+with kept as (
+  select vec_id, label, embedding as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), flat as (
+  select vec_id, cast(floor({vector_codes.SCALE} * cast(u.x as double)) as bigint) as v, u.d, cast(u.d // (u.n // {parts}) as int) as part
+  from (select vec_id, unnest(list_transform(range(len(e)), lambda i: {{'x': e[i + 1], 'd': i, 'n': len(e)}})) as u from kept)
+), book0 as (
+  select part, d, k - 1 as entry, v from flat join (select vec_id, row_number() over (order by vec_id) as k from kept) using (vec_id) where k <= {entries}
+)"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} as (
+  select vec_id, part, min({{'far': far, 'entry': entry}}) as best from (
+    select f.vec_id, f.part, b.entry, sum((f.v - b.v) * (f.v - b.v)) as far from flat f join book{r} b on f.part = b.part and f.d = b.d group by all
+  ) group by all
+)""")
+        if r < rounds:
+            steps.append(f"""sums{r} as (
+  select f.part, f.d, n.best.entry as entry, cast(sum(f.v) as bigint) as s, count(*) as c from flat f join near{r} n on f.vec_id = n.vec_id and f.part = n.part group by all
+), book{r + 1} as (
+  select b.part, b.d, b.entry, coalesce((s - ((s % c) + c) % c) // c, b.v) as v from book{r} b left join sums{r} m on b.part = m.part and b.d = m.d and b.entry = m.entry
+)""")
+    return f"""{head}, {", ".join(steps)}, coded as (
+  select vec_id, label, string_agg(printf('%02x', cast(best.entry as int)), '' order by part) as code, cast(sum(best.far) as bigint) as error
+  from near{rounds} join kept using (vec_id) group by all
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(v as varchar), ',' order by part, entry, d)) from book{rounds}) as codebooks_sha256
+from coded
+"""
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.word_runs(table(spark, sf_dir, "documents"), stutter=True)
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_personal_data": (op2_personal_data, None),
@@ -111,4 +160,7 @@ QUERIES = {
     "op8_piece_sampling": (op8_piece_sampling, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_fingerprints": (op10_fingerprints, None),
+    "op11_packing": (op11_packing, None),
+    "op12_vector_codes": (op12_vector_codes, _op12_sql()),
+    "op13_word_runs": (op13_word_runs, None),
 }
