@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from inkgauge.llm.common import stage, whole_text
 
 LENGTH, END = 2048, 0
 #: Different units and their tokens that a task remembers; characters that are looked at together.
-UNITS_HELD, TOKENS_HELD, SLICE = 300_000, 8_000_000, 1 << 20
+UNITS_HELD, TOKENS_HELD, SLICE = 1_000_000, 8_000_000, 1 << 20
 #: A unit is white space and what follows it: no token of a byte-level vocabulary goes on from other characters into white space.
 _UNIT, _DOUBLE = re.compile(r"\s*\S+|\s+"), re.compile(r"\s\s")
 
@@ -44,6 +45,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Numbered(dict):
+    """Units by number, in order of appearance."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
 class UnitTokenizer:
     """Token ids of whole texts; each different unit is tokenised once and then remembered."""
 
@@ -52,52 +61,90 @@ class UnitTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         self.model = Tokenizer.from_str(definition)
+        # Bytes that a token stands for: one character of its name each.
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.widths[i] = len(name)
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.model.encode_batch(new, add_special_tokens=False)]
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32)])
-
-    def _numbered(self, units: list[str]) -> np.ndarray:
-        numbers = self.numbers
-        new = [u for u in dict.fromkeys(units) if u not in numbers]
-        for u in new:
-            numbers[u] = len(numbers)
-        if new:
-            self._learn(new)
-        return np.fromiter(map(numbers.__getitem__, units), np.int64, len(units))
-
-    def _of_slice(self, text: str) -> np.ndarray:
-        if len(self.lengths) > UNITS_HELD or len(self.flat) > TOKENS_HELD:
+        self.numbers = Numbered()
+        self.places, self.flat = np.zeros((0, 2), np.int64), np.zeros(0, np.uint32)  # of each unit: first token, number
+
+    def _learn(self) -> None:
+        """Tokenise the units that are new: one by one what cannot follow another unit, the others in texts of many units,
+        where the width of each token in bytes tells whose it is."""
+        new = list(islice(self.numbers, len(self.places), None))
+        if not new:
+            return
+        joined = [len(u) > 1 and u[0].isspace() and not u[-1].isspace() for u in new]
+        inner = [u for u, j in zip(new, joined) if j]
+        texts = ["".join(inner[k : k + 128]) for k in range(0, len(inner), 128)]
+        encoded = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(encoded), np.uint32, sum(map(len, encoded)))
+        unit_ends = np.cumsum(np.fromiter((len(u.encode()) for u in inner), np.int64, len(inner)))
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), unit_ends, side="right")
+        alone = [e.ids for e in self.model.encode_batch([u for u, j in zip(new, joined) if not j], add_special_tokens=False)]
+        joined = np.array(joined)
+        n, first = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        n[joined] = np.diff(ends, prepend=0)
+        n[~joined] = list(map(len, alone))
+        first[joined] = ends - n[joined]
+        first[~joined] = len(ids) + np.cumsum(n[~joined]) - n[~joined]
+        self.places = np.concatenate([self.places, np.stack([first + len(self.flat), n], axis=1)])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(alone), np.uint32, int(n[~joined].sum()))])
+
+    def _of_slices(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.numbers) > UNITS_HELD or len(self.flat) > TOKENS_HELD:
             self._forget()
-        if _DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
-            units = _UNIT.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + u for u in rest]]
-        own = self._numbered(units)
-        n = self.lengths[own]
-        starts = (np.cumsum(self.lengths) - self.lengths)[own]
-        return self.flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - starts, n)]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if len(text) <= SLICE:
-            return self._of_slice(text)
-        out, held, size = [], [], 0
-        for unit in _UNIT.finditer(text):
-            held.append(unit[0])
-            size += len(unit[0])
-            if size >= SLICE:
-                out.append(self._of_slice("".join(held)))
-                held, size = [], 0
-        return np.concatenate([*out, self._of_slice("".join(held))] if held else out)
+        number = self.numbers.__getitem__
+        numbered = [np.fromiter(map(number, u), np.int64, len(u)) for u in map(_units, texts)]
+        self._learn()
+        out = []
+        for own in numbered:
+            at, n = self.places[own].T
+            ends = np.cumsum(n)
+            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + n, n)])
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; together the texts should have about ``SLICE`` characters, but one may be longer."""
+        if max(map(len, texts), default=0) <= SLICE:
+            return self._of_slices(texts)
+        return [np.concatenate([self._of_slices([part])[0] for part in _slices(text)]) if len(text) > SLICE else self._of_slices([text])[0] for text in texts]
+
+
+def _units(text: str) -> list[str]:
+    if _DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
+        return _UNIT.findall(text)
+    # Every space stands alone between other characters.
+    first, *rest = text.split(" ")
+    return [first, *[" " + u for u in rest]] if text else []
+
+
+def _slices(text: str) -> Iterator[str]:
+    held, size = [], 0
+    for unit in _UNIT.finditer(text):
+        held.append(unit[0])
+        size += len(unit[0])
+        if size >= SLICE:
+            yield "".join(held)
+            held, size = [], 0
+    if held:
+        yield "".join(held)
+
+
+def _batched(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, tokenizer_file: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -109,8 +156,9 @@ def pieces(docs: DataFrame, tokenizer_file: str | None = None, length: int = LEN
         model = UnitTokenizer(shared.value)
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                ids = np.append(model.encode(text.as_py()), np.uint32(end)).astype("<u4")
+            texts = batch.column("text").to_pylist()
+            for k, own in enumerate(chain.from_iterable(map(model.encode, _batched(texts)))):
+                ids = np.append(own, np.uint32(end)).astype("<u4")
                 cuts = [0, *range((len(ids) - 1) % length + 1, len(ids) + 1, length)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     row.append(k)
