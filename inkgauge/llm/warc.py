@@ -3,7 +3,8 @@
 A revisit record says that a page was asked for again and had not changed. It is resolved by the latest earlier full
 response to the same address (an as-of join on the canonical URL), if the validators agree: entity tags when both
 have one (weak tags compare by their opaque part), else dates of last modification when both have one. Without a
-common validator nothing speaks against it: it is resolved as unchecked. The result has the response's payload and
+common validator nothing speaks against it: it is resolved as unchecked. A record whose profile says that the payload
+was identical is held against the payload digests instead. The result has the response's payload and
 headers, with those headers of the revisit that may update a stored response.
 
 The as-of join has two levels, so that one address with a large share of all captures is no single task: the
@@ -11,9 +12,10 @@ latest response of each (address, hour) is handed on through the hours of an add
 are put in order together.
 
 Defined cases: a null or unusable address matches nothing (``no_response``); a null date too; of responses at the
-same instant the one with the largest record id counts, and a response at the revisit's own instant is not earlier;
-header names are compared in lower case, a repeated name keeps its last value; repeated rows are rows of their own;
-empty tables give empty results.
+same instant the one with the largest record id counts (null is the smallest; among equal ids the contents decide), and
+a response at the revisit's own instant is not earlier; record ids are only handed through: repeated or null ones are
+captures of their own; header names are compared in lower case, a repeated name keeps its last value; repeated rows are
+rows of their own; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgauge.functions.binding import let
 from inkgauge.llm.common import stage
 
 #: Fields that an answer of "not modified" must not change in what is stored (hop by hop, or about the body).
@@ -45,22 +48,23 @@ def canonical_url(url: Column) -> Column:
 def header_map(block: Column) -> Column:
     """Lines of "Name: value" as a map with names in lower case; the last of a repeated name counts."""
     lines = F.filter(F.split(block, "\r?\n"), lambda x: F.instr(x, ":") > 1)
-    pairs = F.transform(lines, lambda x: F.struct(
-        F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1)["value"].alias("value")))
-    return F.map_from_entries(last)
+    pairs = F.transform(lines, lambda x, i: F.struct(
+        F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), i.alias("at"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    # In order of names, the last line of each name stands before another name or the end.
+    last = lambda p: F.filter(p, lambda x, i: ~x["name"].eqNullSafe(F.get(p, i + 1)["name"]))
+    entries = F.transform(let(F.array_sort(pairs), last), lambda x: F.struct(x["name"].alias("key"), x["value"].alias("value")))
+    return F.map_from_entries(entries)
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """Whole records as text: record_id, kind, url, date, headers (of the answer), payload."""
+    """Whole records as text: record_id, kind, url, date, profile, digest, headers (of the answer), payload."""
     text = F.col(column)
     envelope = header_map(F.regexp_extract(text, r"(?s)^WARC/[0-9.]+\r\n(.*?)\r\n\r\n", 1))
     content = F.regexp_extract(text, r"(?s)^WARC/[0-9.]+\r\n.*?\r\n\r\n(.*)$", 1)
     rows = records.select(envelope.alias("__e"), content.alias("__c"))
     return rows.select(
         F.col("__e")["warc-record-id"].alias("record_id"), F.col("__e")["warc-type"].alias("kind"), F.col("__e")["warc-target-uri"].alias("url"),
-        F.try_to_timestamp(F.col("__e")["warc-date"]).alias("date"),
+        F.try_to_timestamp(F.col("__e")["warc-date"]).alias("date"), F.col("__e")["warc-profile"].alias("profile"), F.col("__e")["warc-payload-digest"].alias("digest"),
         header_map(F.regexp_extract("__c", r"(?s)^HTTP/[0-9.]+ [^\r\n]*\r\n(.*?)(?:\r\n\r\n|$)", 1)).alias("headers"),
         F.regexp_extract("__c", r"(?s)^HTTP/.*?\r\n\r\n(.*)$", 1).alias("payload"),
     )
@@ -88,42 +92,51 @@ def merged_headers(stored: Column, later: Column) -> Column:
 def resolve_revisits(records: DataFrame, span: int = HOUR) -> DataFrame:
     """One row per revisit: record_id, address, status, response_id, headers, and what else responses carry.
 
-    ``records``: record_id, kind (response or revisit), url, date, headers; other columns are taken from the response.
+    ``records``: record_id, kind (response or revisit), url, date, headers, and if there are any profile and digest;
+    other columns are taken from the response, under the name ``response_``... where they would clash with these.
     A payload need not be among them: join it by response_id where it is wanted.
     """
-    carried = [c for c in records.columns if c not in ("record_id", "kind", "url", "date", "headers")]
+    for name in ("profile", "digest"):
+        if name not in records.columns:
+            records = records.withColumn(name, F.lit(None).cast("string"))
+    own = ["record_id", "kind", "url", "date", "headers", "profile", "digest"]
+    carried = [c for c in records.columns if c not in own]
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
-        canonical_url(F.col("url")).alias("address"), "date", "kind", "record_id", "headers", F.struct(F.lit(1).alias("there"), *carried).alias("more"),
-        F.floor(F.unix_micros("date") / (span * 1_000_000)).alias("span"),
+        canonical_url(F.col("url")).alias("address"), "date", "kind", "record_id", "headers", "profile", "digest",
+        F.struct(F.lit(1).alias("__there"), *carried).alias("more"), F.floor(F.unix_micros("date") / (span * 1_000_000)).alias("span"),
     )
-    rows = stage(rows, "captures")
-    answer = F.struct("date", "record_id", "headers", "more")
+    # Captures go by numbers of their own from here on: record ids may be null or repeated.
+    rows = stage(rows.withColumn("tie", F.xxhash64(F.to_json(F.struct("headers", "digest", "more")))).withColumn("capture", F.monotonically_increasing_id()), "captures")
     timed = rows.where(F.col("address").isNotNull() & F.col("date").isNotNull())
+    key = F.struct("date", "record_id", "tie", "capture")
     # The latest response of each span of an address, then of all spans before.
     full = timed.where("kind = 'response'")
-    latest = full.groupBy("address", "span").agg(F.max(F.struct("date", "record_id")).alias("at"))
+    latest = full.groupBy("address", "span").agg(F.max(key).alias("at"))
     spans = timed.where("kind = 'revisit'").select("address", "span").distinct()
     steps = spans.join(latest, ["address", "span"], "full_outer")
     before = F.last("at", ignorenulls=True).over(Window.partitionBy("address").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
     handed = steps.withColumn("before", before).where("before is not null").select("address", "span", "before")
     # Within a span: the latest response before each revisit; a response at the same instant comes after it.
-    order = Window.partitionBy("address", "span").orderBy("date", F.when(F.col("kind") == "revisit", 0).otherwise(1), "record_id")
-    here = F.last(F.when(F.col("kind") == "response", F.struct("date", "record_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = timed.select("address", "span", "date", "kind", "record_id").withColumn("here", here).where("kind = 'revisit'")
-    found = placed.join(handed, ["address", "span"], "left").select(
-        F.col("record_id").alias("revisit_id"), F.coalesce("here", "before").alias("at")
-    ).where("at is not null").dropDuplicates(["revisit_id"])
-    found = stage(found.select("revisit_id", F.col("at.record_id").alias("response_id")), "as-of")
-    stored = full.select(F.col("record_id").alias("response_id"), answer.alias("stored")).dropDuplicates(["response_id"])
-    matched = rows.where("kind = 'revisit'").join(found, F.col("record_id") == F.col("revisit_id"), "left").join(stored, "response_id", "left")
+    order = Window.partitionBy("address", "span").orderBy("date", F.when(F.col("kind") == "revisit", 0).otherwise(1), "record_id", "tie", "capture")
+    here = F.last(F.when(F.col("kind") == "response", key), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = timed.select("address", "span", "date", "kind", "record_id", "tie", "capture").withColumn("here", here).where("kind = 'revisit'")
+    found = placed.join(handed, ["address", "span"], "left").select("capture", F.coalesce("here", "before")["capture"].alias("response"))
+    found = stage(found.where("response is not null"), "as-of")
+    # One row per response; the side of the revisits can be split where one response answers for very many.
+    stored = full.select(F.col("capture").alias("response"), F.struct("record_id", "headers", "digest", "more").alias("stored"))
+    asked = stage(rows.where("kind = 'revisit'").drop("more", "tie").join(found, "capture", "left"), "asked")
+    matched = asked.join(stored, "response", "left")
     later = F.coalesce("headers", F.create_map().cast("map<string,string>"))
     had = F.coalesce(F.col("stored.headers"), F.create_map().cast("map<string,string>"))
-    status = F.when(F.col("response_id").isNull(), "no_response").otherwise(agreement(had, later))
+    same = F.col("stored.digest") == F.col("digest")
+    by_payload = F.when(same, "resolved").when(~same, "mismatch").otherwise("unchecked")
+    status = F.when(F.col("response").isNull(), "no_response").when(F.contains("profile", F.lit("identical-payload")), by_payload).otherwise(agreement(had, later))
     out = matched.withColumn("status", status)
     good = F.col("status").isin("resolved", "unchecked")
+    shown = {c: f"response_{c}" if c in ("address", "status", "response_id") else c for c in carried}
     return out.select(
-        "record_id", "address", "status", F.when(good, F.col("response_id")).alias("response_id"),
-        F.when(good, merged_headers(had, later)).otherwise(later).alias("headers"), *[F.when(good, F.col(f"stored.more.{c}")).alias(c) for c in carried],
+        "record_id", "address", "status", F.when(good, F.col("stored.record_id")).alias("response_id"),
+        F.when(good, merged_headers(had, later)).otherwise(later).alias("headers"), *[F.when(good, F.col(f"stored.more.`{c}`")).alias(n) for c, n in shown.items()],
     )
 
 
