@@ -10,8 +10,8 @@ For each language the log posterior is the sum of
     grouped counts of what the texts alone say; a row's own vote is taken out of its host's and suffix's counts.
 One more class, ``und``, holds texts that no language explains: each trigram equally likely.
 
-The trigram model is fitted on at most ``SAMPLE`` labelled rows (the smallest hashes of the id); everything else
-covers all rows. Tables: one row of trigram weights per language, one row of counts per host; nothing else gathers.
+The trigram model is fitted on at most ``SAMPLE`` labelled rows of each language (the smallest hashes), so a rare
+language is learnt in a corpus of any size; everything else covers all rows. Tables: one row of trigram weights per language, one row of counts per host; nothing else gathers.
 
 A row is accepted if the best class is a language and its posterior is ``ENOUGH``. Defined cases: a text without
 letters, empty or null has language und and is not accepted; null hosts, suffixes and declarations are no evidence;
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import stage, with_row_id
 
-SAMPLE, BUCKETS = 20_000, 1 << 16
+SAMPLE, BUCKETS = 5_000, 1 << 16
 EVIDENCE, PSEUDO, ENOUGH = 60.0, 10.0, 0.5
 UNKNOWN = "und"
 #: The language most pages of a country's suffix are in, where that is one of many.
@@ -78,10 +78,23 @@ def visible(html: str | None) -> str:
     return " ".join(out)
 
 
+def _bounded_sample(labelled: DataFrame, sample: int) -> DataFrame:
+    """text and label of at most ``sample`` rows of each label: those with the smallest hashes of the id.
+
+    A share of the hashes that holds a few more rows than that is cut out first, by the label's count, so the numbering
+    that follows sees a bounded number of rows of a label.
+    """
+    mixed = labelled.where(F.col("label").isNotNull()).withColumn("mixed", F.xxhash64(F.lit(3), F.col("id"), F.col("text")))
+    counts = mixed.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(1.25 * sample + 200) / F.col("n"))
+    cut = mixed.join(counts, "label").where((F.col("mixed") / F.lit(2.0**64) + 0.5) <= share)
+    first = Window.partitionBy("label").orderBy("mixed")
+    return cut.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("text", "label")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and log weights (bucket, language) from rows with id, text and label."""
-    labelled = labelled.where(F.col("label").isNotNull()).withColumn("mixed", F.xxhash64(F.lit(3), F.col("id")))
-    most = labelled.select("mixed").orderBy("mixed").limit(sample).agg(F.max("mixed").alias("m")).first()["m"]
+    chosen = _bounded_sample(labelled, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -95,7 +108,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
                 [pa.array([label] * len(real), pa.string()), pa.array(real, pa.int32()), pa.array(n[real], pa.int64())], names=["label", "bucket", "n"]
             )
 
-    chosen = labelled.where(F.col("mixed") <= most).select("text", "label") if most is not None else labelled.limit(0).select("text", "label")
     sums = chosen.mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(sums.column("label").to_pylist()))
     n = np.zeros((BUCKETS, len(languages)))
@@ -189,7 +201,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", 1))
     host = F.regexp_replace(host, r"^(?:www\.)", "")
     suffix = F.regexp_extract(host, r"\.([a-z]{2,})$", 1)
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html(?=\s)[^<>]*?\slang\s*+=\s*+[\"']?([A-Za-z]{2,3})", 1))
     some = lambda c: F.when(c != "", c)
     return pages.select("page_id", some(host).alias("__host"), some(suffix).alias("__suffix"), some(declared).alias("__declared"), F.col("html").alias("text"))
 
