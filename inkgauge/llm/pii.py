@@ -28,6 +28,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgauge.functions.binding import let
 from inkgauge.llm.common import stage, whole_text
 
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
@@ -45,6 +46,10 @@ PATTERNS = {
     "card": ("(?:[^0-9]++|[0-9](?![ -]?[0-9]))*+", "[0-9](?:[ -]?[0-9])++"),
     "phone": (f"(?:[^+]++|\\+(?![0-9][ ().0-9-]+[0-9]))*+", _TELEPHONE),
 }
+#: What stands somewhere in every text with a valid match of the kind.
+NEEDED = {
+    "email": f"@{_LABEL}++\\.{_LABEL}", "ip": "[0-9]\\.[0-9]++\\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": "\\+[0-9][ ().0-9-]{7}",
+}
 _ALNUM, _APOSTROPHE, _JOIN = "[\\p{L}\\p{M}\\p{N}]", "['\u2019]", "['\u2019_\u2010-]"
 _POSSESSIVE = f"{_APOSTROPHE}[sS](?!{_ALNUM})"
 _SMALL = f"\\p{{Ll}}{{1,2}}+(?:(?={_POSSESSIVE})|(?!{_JOIN}?{_ALNUM}))"
@@ -57,20 +62,18 @@ _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 
 
 def _pieces(text: Column, kind: str) -> Column:
-    """The matches of a kind, each with the length of what lies before it; the last element stands for the rest of the text."""
+    """The matches of a kind, each with the length of what lies before it; the last element stands for the rest of the text.
+
+    Most texts have nothing that could hold: one plain search finds that out, and the pattern does not run.
+    """
     gap, match = PATTERNS[kind]
     whole = f"\\G({gap})({match}|\\z)"
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(whole), 1).alias("gap"), F.regexp_extract_all(text, F.lit(whole), 2).alias("match")
     )
-    listed = F.transform(
-        found,
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"), F.length(x["gap"]).alias("skip"), x["match"].alias("value"),
-        ),
-    )
-    # Most texts have none: then nothing is kept, the rest of the text neither.
-    return F.when(F.get(found, F.lit(0))["match"] == "", F.lit(None)).otherwise(listed)
+    listed = lambda f: F.when(F.get(f, F.lit(0))["match"] != "", F.transform(f, lambda x: F.struct(
+        F.lit(kind).alias("kind"), F.length(x["gap"]).alias("skip"), x["match"].alias("value"))))
+    return F.when(text.rlike(NEEDED[kind]), let(found, listed))
 
 
 def _digits(value: Column) -> Column:
@@ -121,6 +124,11 @@ def base_mentions(listed: DataFrame) -> DataFrame:
     )
 
 
+def _words(text: Column) -> Column:
+    """The terms of a text as written."""
+    return F.regexp_extract_all(text, F.lit(f"\\G{SKIP}({TERM})"), 1)
+
+
 def _tokens(text: Column) -> Column:
     """The terms of a text as written, each with the length of what lies before it."""
     whole = F.lit(f"\\G({SKIP})({TERM})")
@@ -153,7 +161,7 @@ def _terms_beside(matched: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def term_documents(plain: DataFrame, beside: DataFrame) -> DataFrame:
     """In how many documents each term occurs, over all whole texts: term, n_t."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"\\G{SKIP}({TERM})"), 1), F.lower))
+    found = F.array_distinct(F.transform(_words(F.col("text")), F.lower))
     every = plain.select(F.explode(found).alias("term")).unionByName(beside.select("term"))
     return every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
@@ -214,7 +222,10 @@ def _sieve(risky: DataFrame):
 
 
 def _terms_elsewhere(plain: DataFrame, holds) -> DataFrame:
-    """row_id, term, start, end for the words of rows without matches that pass the sieve."""
+    """row_id, term, start, end for the words of rows without matches that pass the sieve.
+
+    The words alone are one pass; places are only counted in the few texts in which a word passes.
+    """
     none = F.expr("cast(array() as array<struct<term:string,start:bigint,end:bigint>>)")
 
     def walk(done: Column, t: Column) -> Column:
@@ -227,7 +238,9 @@ def _terms_elsewhere(plain: DataFrame, holds) -> DataFrame:
     walked = F.aggregate(
         _tokens(F.col("text")), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("hits")), walk, lambda done: done["hits"]
     )
-    return plain.select("row_id", F.explode(walked).alias("t")).select("row_id", "t.*")
+    some = F.exists(_words(F.col("text")), lambda word: holds(F.lower(word)))
+    # The outer form plus a filter on its output: the plain form would compute the places a second time in a filter.
+    return plain.select("row_id", F.explode_outer(F.when(some, walked)).alias("t")).where("t is not null").select("row_id", "t.*")
 
 
 def found_spans(docs: DataFrame, keep_text: bool = False, generalise: float = GENERALISE, remove: float = REMOVE,
