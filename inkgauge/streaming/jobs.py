@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from inkgauge.operators.scoring import rank
-from inkgauge.operators.structure import last_wins
+from inkgauge import dims
 from inkgauge.plans.audit import audit, findings_table
 
 # --- sources ----------------------------------------------------------------------------------
@@ -50,90 +52,71 @@ def stream_audit(
 
 # --- lineage ----------------------------------------------------------------------------------
 
-# Every so many batches the state folder holds all posts; in between only the touched ones.
-COMPACT_EVERY = 20
-STATE = "post string, version int, last_time timestamp, last_run long, findings array<struct<check_id:string,severity:string>>"
-
-
-def _known_state(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    """Last run of every post as of the batch before, read from the last full folder onwards."""
-    if batch_id == 0:
-        return spark.createDataFrame([], STATE)
-    full = (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY
-    rows = None
-    for b in range(full, batch_id):
-        part = spark.read.schema(STATE).parquet(f"{state}/batch={b}").withColumn("b", F.lit(b))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("post").agg(F.max_by(F.struct("version", "last_time", "last_run", "findings"), "b").alias("s")).select("post", "s.*")
-
+LINEAGE = "post string, run_id bigint, micros bigint, version int, late boolean, fixed int, unresolved int, regressed int"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A run without a time is older than all others.
+NO_TIME = -(2**63)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-def _diff_counts(previous: Column, current: Column) -> Column:
-    """fixed, unresolved, regressed of the previous findings; the finding raised last stands for its check."""
-    now = last_wins(F.transform(current, lambda f: F.struct(f["check_id"].alias("key"), f["severity"].alias("value"))))
-
-    def counted(name: str, test) -> Column:
-        return F.size(F.filter(previous, lambda p: test(F.try_element_at(now, p["check_id"]), p["severity"]))).alias(name)
-
-    return F.struct(
-        counted("fixed", lambda n, was: n.isNull()),
-        counted("unresolved", lambda n, was: n.isNotNull() & (rank(n) <= rank(was))),
-        counted("regressed", lambda n, was: n.isNotNull() & (rank(n) > rank(was))),
-    )
 
+class Lineage(StatefulProcessor):
+    """The last run of each post: its version, its place in time and its findings in the order raised.
 
-def lineage_batch(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Version and diff counts of a batch of runs, given what is known of their posts.
-
-    Runs older than the last known run of their post come out with ``late`` set and no version.
+    The engine keeps this by post and writes only what a batch touched, so a batch costs what arrives, not what is known.
     """
-    known = state.select(
-        "post", F.col("version").alias("base"), "last_time", "last_run", F.col("findings").alias("known_findings")
-    )
-    rows = batch.join(known, "post", "left")
-    late = (F.col("started") < F.col("last_time")) | (
-        (F.col("started") == F.col("last_time")) & (F.col("run_id") <= F.col("last_run"))
-    )
-    rows = rows.withColumn("late", F.coalesce(late, F.lit(False)))
-    w = Window.partitionBy("post", "late").orderBy("started", "run_id")
-    none = F.array().cast("array<struct<check_id:string,severity:string>>")
-    rows = rows.withColumns(
-        {
-            "version": F.when(~F.col("late"), F.coalesce("base", F.lit(0)) + F.row_number().over(w)),
-            "previous": F.coalesce(F.lag("findings").over(w), F.col("known_findings"), none),
-        }
-    )
-    counts = _diff_counts(F.col("previous"), F.col("findings"))
-    return rows.withColumn("d", F.when(~F.col("late"), counts)).select(
-        "post", "run_id", "started", "version", "late", "d.fixed", "d.unresolved", "d.regressed", "findings"
-    )
-
 
-def stream_lineage(runs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "version int, micros bigint, run_id bigint, checks array<string>, severities array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.last.get()
+        version, at, previous = (known[0], (known[1], known[2]), list(zip(known[3], known[4]))) if known else (0, None, [])
+        # Only the runs of one post in one batch; ``files_per_trigger`` of the source bounds a batch.
+        for row in sorted(rows, key=lambda r: (r["micros"], r["run_id"])):
+            place = (row["micros"], row["run_id"])
+            if at is not None and place <= at:
+                yield Row(post=key[0], run_id=row["run_id"], micros=row["micros"], version=None, late=True, fixed=None, unresolved=None, regressed=None)
+                continue
+            found = [(f["check_id"], f["severity"]) for f in row["findings"] or []]
+            now = dict(found)  # of a check raised repeatedly the last one counts
+            # Above zero where a check has become worse.
+            steps = [dims.SEVERITY_RANK[now[check]] - dims.SEVERITY_RANK[was] for check, was in previous if check in now]
+            worse = sum(step > 0 for step in steps)
+            version, at = version + 1, place
+            yield Row(
+                post=key[0], run_id=row["run_id"], micros=row["micros"], version=version, late=False, fixed=len(previous) - len(steps),
+                unresolved=len(steps) - worse, regressed=worse,
+            )
+            previous = found
+        if at is not None:
+            self.last.update((version, *at, [check for check, _ in previous], [severity for _, severity in previous]))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_lineage(runs: DataFrame, out: str, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
     """Version and prior-issue counts of each arriving run; late runs go to a folder of their own.
 
-    ``runs``: post, run_id, started, findings array<struct<check_id, severity>> in the order raised.
-    The last run of every post is kept as a table below ``out``. Windows order the runs inside a batch,
-    so a post with very many runs is sorted with spilling, never held in one worker's memory. Folders
-    carry the batch number: a repeated batch overwrites its own output and reads only older state.
+    ``runs``: post, run_id, started, findings array<struct<check_id, severity>> in the order raised. A run that is not
+    newer than the last known one of its post is late and has no version. Output folders carry the batch number: a
+    repeated batch overwrites its own.
     """
+    spark = runs.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _known_state(spark, f"{out}/state", batch_id)
         made = f"{out}/rows/batch={batch_id}"
-        lineage_batch(batch, known).write.mode("overwrite").parquet(made)
-        done = spark.read.parquet(made)
-        done.filter("late").drop("findings").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
-        latest = (
-            done.filter("not late").groupBy("post")
-            .agg(F.max_by(F.struct("version", F.col("started").alias("last_time"), F.col("run_id").alias("last_run"), "findings"), "version").alias("s"))
-            .select("post", "s.*")
-        )
-        if batch_id % COMPACT_EVERY == 0:
-            latest = latest.unionByName(known.join(latest.select("post"), "post", "left_anti"))
-        latest.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
-
-    return runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.withColumn("started", F.when(F.col("micros") != NO_TIME, F.timestamp_micros("micros"))).write.mode("overwrite").parquet(made)
+        batch.sparkSession.read.schema(LINEAGE).parquet(made).filter("late").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+
+    rows = runs.withColumn("micros", F.coalesce(F.unix_micros("started"), F.lit(NO_TIME))).groupBy("post").transformWithState(Lineage(), LINEAGE, "Append", "None")
+    # A query keeps the settings that hold when it starts: keyed state needs the RocksDB store, other queries need not.
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 # --- windows ----------------------------------------------------------------------------------
