@@ -12,11 +12,15 @@ coordinate-value pairs of each, under any one order of rareness, so only those a
 table of fixed size (``BUCKETS``). Skip: the long lists that are left out are never merged; the collisions in them are
 counted afterwards, by comparing the two signatures.
 
-A list is never multiplied out. In each of ``ROUNDS`` rounds a list's members meet one member of it, its pivot; what
-proves alike becomes one component. So a group of thousands of near copies costs a few pairs a member. What then
-still stands in lists with several components is joined exactly, by the rarest shingles of the full sets: sets of
+A list is never multiplied out. In each of ``ROUNDS`` rounds a list's members meet one of them, its pivot: first the one
+that stands in most lists, as what others were copied from does, then the first by a hash. Both orders are the same in
+all lists, so lists with the same members agree, and a group of thousands of near copies costs about a pair a member and
+round. What proves alike becomes one component; rounds end as soon as no list has members of several components. What
+then still stands in such lists is joined exactly, without the pairs tested before, by the rarest shingles of the full
+sets: sets of
 sizes n and m with the wanted overlap o share one of the rarest n - o + 1 and m - o + 1, and the places at which they
-share it bound the overlap. Near copies that differ by more than the limit do so by shingles of their own, which
+share it bound the overlap, as does a sketch of each set (parities of its shingles in ``PARITIES`` cells: two sets differ
+in as many shingles at least as their sketches differ in cells). Near copies that differ by more than the limit do so by shingles of their own, which
 stand first, so they don't meet. No pair that the coordinates find is given up.
 
 Links are confirmed on full shingle sets. Documents with equal sets are one class from the start.
@@ -47,11 +51,15 @@ COORDINATES, MATCHES = 64, 43
 BUCKETS = 1 << 18
 TOKEN_BUCKETS = 1 << 20
 ROUNDS = 2
+PARITIES = 256
 SIMILAR = 85
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MUL = scramble(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = scramble(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 _WORDS_HELD = 300_000
+#: Two classes and the components they are in so far.
+_PAIR = ["a", "b", "own_a", "own_b"]
+_SKETCH = [f"sketch{k}" for k in range(PARITIES // 64)]
 
 
 class WordHashes(dict):
@@ -200,7 +208,7 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
 
 
 def _enough_matches(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
-    """The pairs whose signatures agree in enough coordinates, counted over all of them."""
+    """Those of the pairs (a, b, own_a, own_b) whose signatures agree in enough coordinates, counted over all of them."""
     both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
         signed.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b"
     )
@@ -209,9 +217,9 @@ def _enough_matches(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFr
         for batch in batches:
             if batch.num_rows:
                 same = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).sum(axis=1) >= matches
-                yield batch.select(["a", "b"]).filter(pa.array(same))
+                yield batch.select(_PAIR).filter(pa.array(same))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select(*_PAIR, "sa", "sb").mapInArrow(run, ", ".join(f"{c} bigint" for c in _PAIR))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -268,26 +276,32 @@ def _rare_shingles(sets: DataFrame, similar: int) -> DataFrame:
                 places = np.concatenate([np.arange(len(o)) for o, _ in parts])
                 roles = np.concatenate([np.full(len(o), r) for o, r in parts])
                 size = len(chosen)
+                cells = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+                sketch = np.packbits(cells.astype(np.uint8)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tokens[chosen].astype(np.int64), pa.int64()), pa.array(np.full(size, batch.column("id")[k].as_py()), pa.int64()),
-                     pa.array(np.full(size, n), pa.int64()), pa.array(places, pa.int32()), pa.array(roles, pa.int32())],
-                    names=["token", "id", "n", "place", "role"],
+                     pa.array(np.full(size, n), pa.int64()), pa.array(places, pa.int32()), pa.array(roles, pa.int32()), *[pa.array(np.full(size, x), pa.int64()) for x in sketch]],
+                    names=["token", "id", "n", "place", "role", *_SKETCH],
                 )
 
-    return sets.select("id", "shingles").mapInArrow(post, "token bigint, id bigint, n bigint, place int, role int")
+    return sets.select("id", "shingles").mapInArrow(post, "token bigint, id bigint, n bigint, place int, role int" + "".join(f", {c} bigint" for c in _SKETCH))
 
 
 def _exact_pairs(sets: DataFrame, own: DataFrame, similar: int) -> DataFrame:
     """Pairs of different components that full sets leave possible; ``own``: id and component."""
     posted = stage(_rare_shingles(sets, similar).join(own, "id"), "rare-shingles")
-    small = posted.where("role = 0").select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("own").alias("other"))
-    large = posted.where("role = 1").select("token", F.col("id").alias("a"), "n", F.col("place").alias("i"), "own")
+    small = posted.where("role = 0").select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("own").alias("other"), *[F.col(c).alias(f"{c}_b") for c in _SKETCH])
+    large = posted.where("role = 1").select("token", F.col("id").alias("a"), "n", F.col("place").alias("i"), "own", *_SKETCH)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
     overlap = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     possible = (
         (F.col("own") != F.col("other")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b"))))
         & (F.col("m") * 100 >= F.col("n") * similar) & (overlap * (100 + similar) >= (F.col("n") + F.col("m")) * similar)
+        & (differ * (100 + similar) <= (F.col("n") + F.col("m")) * (100 - similar))
+    )
+    return large.join(small, "token").where(possible).select("a", "b", F.col("own").alias("own_a"), F.col("other").alias("own_b")).distinct().select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "own_a", "own_b"
     )
-    return large.join(small, "token").where(possible).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -302,9 +316,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= similar * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(*_PAIR, "sa", "sb").mapInArrow(run, ", ".join(f"{c} bigint" for c in _PAIR))
+
+
+def _pivot(step: int) -> Column:
+    """A member as pivot, by rank: even steps take the member of the most lists, odd ones any, both the same in all lists."""
+    order = -F.col("lists") if step % 2 == 0 else F.lit(0).cast("bigint")
+    return F.struct(order.alias("first"), F.xxhash64("id", F.lit(step)).alias("second"), "id", "n", "own")
+
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+def _pivoted(member: DataFrame, mixed: DataFrame, tested: DataFrame | None, similar: int) -> DataFrame:
+    """a, b, own_a, own_b: the members of each list with its pivot, every pair once and none that was tested before."""
+    # Sizes alone rule out many pairs.
+    like = (F.col("n") * 100 >= F.col("pivot.n") * similar) & (F.col("pivot.n") * 100 >= F.col("n") * similar)
+    pairs = member.join(mixed, "element").where((F.col("own") != F.col("pivot.own")) & like).select(
+        F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.col("own").alias("own_a"), F.col("pivot.own").alias("own_b")
+    ).dropDuplicates(["a", "b"])
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicate_classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES, rounds: int = ROUNDS,
@@ -320,35 +350,40 @@ def near_duplicate_classes(docs: DataFrame, similar: int = SIMILAR, matches: int
     near = stage(_in_company(classes, matches), "near")
     signed = near.select("id", "signature")
     posted = stage(_postings(near, COORDINATES - matches + 1), "postings")
-    # Only lists with company; n is the set's size, which already rules out many pairs.
+    # Only lists with company.
     live = stage(posted.join(posted.groupBy("element").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("element"), "element"), "lists")
-    like = lambda x, y: (F.col(x) * 100 >= F.col(y) * similar) & (F.col(y) * 100 >= F.col(x) * similar)
+    # In how many of them a class stands: what others were copied from stands in more than its copies do.
+    live = stage(live.join(live.groupBy("id").agg(F.count(F.lit(1)).alias("lists")), "id"), "ranked-lists")
     # Full sets of all that meet anybody, from one pass over the texts.
     sets = stage(_full_sets(docs, near.join(live.select("id").distinct(), "id")), "sets")
-    links = signed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    labels = signed.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    own = near.select("id", F.col("id").alias("own"))
+    tested = None
     for step in range(rounds + 1):
-        member = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("component", "id"))
-        member = stage(member.select("element", "id", "n", "own"), "members")
+        member = stage(live.join(own, "id").select("element", "id", "n", "lists", "own"), "members")
+        # The pivot depends on members alone, so lists with the same members agree on it.
         mixed = stage(member.groupBy("element").agg(
-            F.min("own").alias("low"), F.max("own").alias("high"),
-            F.min_by(F.struct("id", "n", "own"), F.xxhash64("element", "id", F.lit(step))).alias("pivot"),
-        ).where("low < high"), "mixed")
+            F.min("own").alias("low"), F.max("own").alias("high"), F.min(_pivot(step)).alias("pivot"),
+        ).where("low < high").select("element", "pivot"), "mixed")
+        if mixed.isEmpty():
+            break
         if step < rounds:
-            pairs = member.join(mixed.select("element", "pivot"), "element").where(
-                (F.col("own") != F.col("pivot.own")) & like("n", "pivot.n")
-            ).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-            pairs = stage(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).select("a", "b"), "met")
-            pairs = _enough_matches(pairs, signed, matches)
+            met = stage(_pivoted(member, mixed, tested, similar), "met")
+            pairs = stage(_enough_matches(met, signed, matches), "pairs")
         else:
             left = stage(member.join(mixed.select("element"), "element", "left_semi").select("id", "own").distinct(), "left")
             pairs = _exact_pairs(sets.join(left.select("id"), "id"), left, similar)
-        links = stage(links.unionByName(_confirmed(stage(pairs, "pairs"), sets, similar)), "confirmed")
-        labels = components(links)
-    found = classes.select("id", "digest", "least").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
+            met = pairs = stage(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
+        tested = met.select("a", "b") if tested is None else tested.unionByName(met.select("a", "b"))
+        links = stage(_confirmed(pairs, sets, similar), "confirmed")
+        if links.isEmpty():
+            continue
+        merged = components(links.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
+        own = stage(
+            own.join(merged.withColumnRenamed("node", "own"), "own", "left").select("id", F.coalesce("component", "own").alias("own")), "own"
+        )
+    found = stage(
+        classes.select("id", "digest", "least").join(own, "id", "left").select("digest", "least", F.coalesce("own", "id").alias("component")), "found"
     )
-    found = stage(found, "found")
     leasts = stage(found.groupBy("component").agg(F.min("least").alias("component_id")), "leasts")
     return sketched, stage(found.join(leasts, "component").select("digest", "component", "component_id"), "members")
 

@@ -222,6 +222,53 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_group_of_near_copies_costs_two_pairs_a_member(spark, monkeypatch):
+    met, looked = [], minhash_join._enough_matches
+
+    def counted(pairs, signed, matches):
+        met.append(pairs.count())
+        return looked(pairs, signed, matches)
+
+    monkeypatch.setattr(minhash_join, "_enough_matches", counted)
+    base = prose(1, 300).split()
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        words[i % 300] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    got = minhash_join.near_duplicates(documents(spark, rows)).collect()
+    assert all(r.component_id == 0 for r in got)
+    assert sum(met) <= 2000
+    # Copies that change at so many places that many pairs are refused: still a few for each.
+    met.clear()
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in range(3):
+            words[(i * 7 + k * 97) % 300] = f"w{i}-{k}"
+        rows.append((i, " ".join(words)))
+    expected = brute_components(rows)
+    got = minhash_join.near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert sum(met) <= 6 * 300
+
+
+def brute_components(rows, similar=85):
+    """doc_id -> smallest doc_id reachable, for different ids and texts of five words and more."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.lower().split()]}
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
 def test_near_duplicates_by_the_exact_remainder_alone(spark):
     """Without rounds of pivots everything goes through the join of rare shingles."""
     rows = near_rows()
@@ -369,3 +416,49 @@ def test_pipeline_end_to_end(spark):
     left = [(i, rows[i].text) for i in best.values()]
     kept = {i for i, (_, c) in jaccard_components(left).items() if i == c}
     assert {r.doc_id for r in out} <= kept
+
+
+def test_revisits_with_odd_record_ids(spark):
+    """Repeated and null record ids are captures of their own; names that clash are kept apart."""
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    tag = lambda t: {"etag": t}
+    rows = [
+        ("r", "response", "http://a/x", at(1), tag("1"), "ax", "s", None, None), ("r", "response", "http://b/y", at(1), tag("2"), "by", "s", None, None),
+        (None, "response", "http://c/", at(1), tag("3"), "c", "s", None, "sha1:C"),
+        ("v", "revisit", "http://a/x", at(2), tag("1"), None, None, None, None), ("v", "revisit", "http://b/none", at(2), tag("2"), None, None, None, None),
+        ("v", "revisit", "http://b/y", at(3), tag("9"), None, None, None, None), (None, "revisit", "http://a/x", at(4), tag("1"), None, None, None, None),
+        ("w", "revisit", "http://c/", at(5), tag("9"), None, None, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "sha1:C"),
+        ("w", "revisit", "http://c/", at(5), tag("3"), None, None, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "sha1:D"),
+        ("w", "revisit", "http://c/", at(5), tag("3"), None, None, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", None),
+        ("v", "revisit", "http://a/x", at(2), tag("1"), None, None, None, None),
+    ]
+    records = spark.createDataFrame(rows, "record_id string, kind string, url string, date timestamp, headers map<string,string>, address string, status string, profile string, digest string")
+    got = sorted((str(r.record_id), r.address, r.status, str(r.response_id), str(r.response_address)) for r in warc.resolve_revisits(records).collect())
+    assert got == sorted([
+        ("v", "a/x", "resolved", "r", "ax"), ("v", "a/x", "resolved", "r", "ax"), ("v", "b/none", "no_response", "None", "None"), ("v", "b/y", "mismatch", "None", "None"),
+        ("None", "a/x", "resolved", "r", "ax"), ("w", "c", "resolved", "None", "c"), ("w", "c", "mismatch", "None", "None"), ("w", "c", "unchecked", "None", "c"),
+    ])
+
+
+def test_no_pattern_takes_the_square(spark):
+    """Long headers and pages of a megabyte."""
+    import time
+
+    block = "".join(f"name-{i % 70_000}: {i}\r\n" for i in range(100_000))
+    pages = ["<html " * 170_000, "<html" + " lang" * 200_000, "<html " + "x " * 500_000, "<html lang" + " " * 1_000_000, "<HTML\n class=a LANG = 'de-AT'>", "<htmllang=fr>", "<html a=b><p lang=es>"]
+    start = time.time()
+    got = spark.createDataFrame([(block,)], "b string").select(warc.header_map(F.col("b")).alias("m")).select(F.size("m").alias("n"), F.col("m")["name-5"].alias("v")).first()
+    assert (got.n, got.v) == (70_000, "70005")
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").withColumn("url", F.lit(None).cast("string"))
+    said = {r.page_id: r.__getitem__("__declared") for r in lang_id.page_evidence(rows).collect()}
+    assert said == {0: None, 1: None, 2: None, 3: None, 4: "de", 5: None, 6: None}
+    assert time.time() - start < 30
+
+
+def test_every_language_is_fitted(spark):
+    """A rare language is learnt whatever the size of the others."""
+    rows = [(i, spoken("en", i, 30), "en", "a") for i in range(2000)] + [(5000 + i, spoken("de", i, 30), "de", "b") for i in range(3)]
+    languages, _ = lang_id.fit(documents(spark, rows).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")), 100)
+    assert languages == ["de", "en"]
+    sample = lang_id._bounded_sample(documents(spark, rows).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")), 100)
+    assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {"de": 3, "en": 100}

@@ -192,3 +192,17 @@ def test_edited_fingerprints_of_ties_and_of_nothing(spark):
     assert winnowing.edited_fingerprints(documents(spark, [])).count() == 0
     got = winnowing.edited_fingerprints(documents(spark, [(1, "a b"), (1, "a b"), (None, "c")])).collect()
     assert len(got) == 3 and {r.n_chars for r in got if r.doc_id == 1} == {3}
+
+
+def test_chunks_of_any_script_survive_a_shift(spark):
+    """One character in front leaves most chunks as they are."""
+    rng = random.Random(4)
+    texts = {
+        "han": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60_000)), "hangul": "".join(chr(rng.randrange(0xAC00, 0xD7A3)) for _ in range(60_000)),
+        "thai": "".join(chr(rng.randrange(0x0E01, 0x0E5B)) for _ in range(60_000)), "cyrillic": " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(1, 9))) for _ in range(10_000)),
+        "latin": prose(3, 12_000), "kana": "".join(chr(rng.randrange(0x3041, 0x30FF)) for _ in range(60_000)),
+    }
+    rows = spark.createDataFrame([(k, t, "x" + t) for k, t in texts.items()], "k string, a string, b string")
+    for r in rows.select("k", exact_dedup.chunks(F.col("a")).alias("a"), exact_dedup.chunks(F.col("b")).alias("b")).collect():
+        assert "".join(r.a) == texts[r.k] and len(r.a) > 20
+        assert len(set(r.a) & set(r.b)) >= 0.9 * len(r.a), r.k
