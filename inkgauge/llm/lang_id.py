@@ -79,17 +79,18 @@ def visible(html: str | None) -> str:
 
 
 def _bounded_sample(labelled: DataFrame, sample: int) -> DataFrame:
-    """text and label of at most ``sample`` rows of each label: those with the smallest hashes of the id.
+    """text and label of at most ``sample`` rows of each label: those with the smallest hashes of id and text.
 
-    A share of the hashes that holds a few more rows than that is cut out first, by the label's count, so the numbering
-    that follows sees a bounded number of rows of a label.
+    Only hashes are numbered, and of those only a share that by the label's count holds a few more than that; texts
+    are read where they are and compared with their label's last hash.
     """
     mixed = labelled.where(F.col("label").isNotNull()).withColumn("mixed", F.xxhash64(F.lit(3), F.col("id"), F.col("text")))
-    counts = mixed.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(mixed.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
     share = F.least(F.lit(1.0), F.lit(1.25 * sample + 200) / F.col("n"))
-    cut = mixed.join(counts, "label").where((F.col("mixed") / F.lit(2.0**64) + 0.5) <= share)
+    cut = mixed.select("label", "mixed").join(counts, "label").where((F.col("mixed") / F.lit(2.0**64) + 0.5) <= share)
     first = Window.partitionBy("label").orderBy("mixed")
-    return cut.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("text", "label")
+    last = cut.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).groupBy("label").agg(F.max("mixed").alias("last"))
+    return mixed.join(stage(last, "last-hashes"), "label").where(F.col("mixed") <= F.col("last")).select("text", "label")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:

@@ -36,6 +36,7 @@ LENGTH, END = 2048, 0
 #: Different units and their tokens that a task remembers; characters that are looked at together.
 UNITS_HELD, TOKENS_HELD, SLICE = 1_000_000, 8_000_000, 1 << 20
 #: A unit is white space and what follows it: no token of a byte-level vocabulary goes on from other characters into white space.
+_AS_IS = "\0"
 _UNIT, _DOUBLE = re.compile(r"\s*\S+|\s+"), re.compile(r"\s\s")
 
 
@@ -78,22 +79,21 @@ class UnitTokenizer:
         new = list(islice(self.numbers, len(self.places), None))
         if not new:
             return
-        joined = [len(u) > 1 and u[0].isspace() and not u[-1].isspace() for u in new]
-        inner = [u for u, j in zip(new, joined) if j]
-        texts = ["".join(inner[k : k + 128]) for k in range(0, len(inner), 128)]
+        spaced = np.array([u[0] != _AS_IS for u in new])
+        inner = new if spaced.all() else [u for u, s in zip(new, spaced) if s]
+        texts = [" " + " ".join(inner[k : k + 128]) for k in range(0, len(inner), 128)]
         encoded = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(encoded), np.uint32, sum(map(len, encoded)))
-        unit_ends = np.cumsum(np.fromiter((len(u.encode()) for u in inner), np.int64, len(inner)))
+        unit_ends = np.cumsum(np.fromiter(map(len, map(str.encode, inner)), np.int64, len(inner)) + 1)
         ends = np.searchsorted(np.cumsum(self.widths[ids]), unit_ends, side="right")
-        alone = [e.ids for e in self.model.encode_batch([u for u, j in zip(new, joined) if not j], add_special_tokens=False)]
-        joined = np.array(joined)
+        alone = [e.ids for e in self.model.encode_batch([u[1:] for u, s in zip(new, spaced) if not s], add_special_tokens=False)]
         n, first = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-        n[joined] = np.diff(ends, prepend=0)
-        n[~joined] = list(map(len, alone))
-        first[joined] = ends - n[joined]
-        first[~joined] = len(ids) + np.cumsum(n[~joined]) - n[~joined]
+        n[spaced] = np.diff(ends, prepend=0)
+        n[~spaced] = list(map(len, alone))
+        first[spaced] = ends - n[spaced]
+        first[~spaced] = len(ids) + np.cumsum(n[~spaced]) - n[~spaced]
         self.places = np.concatenate([self.places, np.stack([first + len(self.flat), n], axis=1)])
-        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(alone), np.uint32, int(n[~joined].sum()))])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(alone), np.uint32, int(n[~spaced].sum()))])
 
     def _of_slices(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > UNITS_HELD or len(self.flat) > TOKENS_HELD:
@@ -116,11 +116,17 @@ class UnitTokenizer:
 
 
 def _units(text: str) -> list[str]:
-    if _DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return _UNIT.findall(text)
+    """A unit that begins with a single space is named without it, any other with a mark in front."""
+    if not text:
+        return []
+    if _DOUBLE.search(text) or _AS_IS in text or text[0].isspace() or text[-1].isspace():
+        return [
+            u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() and u[1] != _AS_IS else _AS_IS + u for u in _UNIT.findall(text)
+        ]
     # Every space stands alone between other characters.
-    first, *rest = text.split(" ")
-    return [first, *[" " + u for u in rest]] if text else []
+    units = text.split(" ")
+    units[0] = _AS_IS + units[0]
+    return units
 
 
 def _slices(text: str) -> Iterator[str]:

@@ -78,7 +78,7 @@ ODD_TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a\n\n b", "it's we'l
 def test_units_give_the_ids_of_whole_texts():
     model = packing.UnitTokenizer(Path(packing.default_tokenizer()).read_text(encoding="utf-8"))
     rng = random.Random(5)
-    alphabet = ["a", "B", "'s", "'", " ", "  ", "\n", "\t", ".", "9", "é", "　", "\x1d", "字", "​", "word"]
+    alphabet = ["a", "B", "'s", "'", " ", "  ", "\n", "\t", ".", "9", "é", "　", "\x1d", "字", "​", "word", "\0", " \0"]
     for text in [t or "" for t in ODD_TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(3000)]:
         assert [*model.encode([text])[0].tolist(), 0] == plain_ids(text), repr(text)
     long = " ".join(prose(3, 200_000).split(" ")) + "\n\nend"
