@@ -87,13 +87,39 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def any_term(terms: list[str]) -> str:
-    return f"{B0}(?:{'|'.join(re.escape(t) for t in terms)}){B1}"
+def trie(terms: list[str]) -> str:
+    """A pattern for any of the terms that looks at each character once: common beginnings are written once.
+
+    Of terms that begin alike the longest that fits is taken.
+    """
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [re.escape(char) + written(below) for char, below in node.items() if char]
+        if "" in node:
+            ways.append("")
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return written(tree)
+
+
+def term_matches(low: Column, terms: list[str]) -> Column:
+    """Every whole-word occurrence of a listed term in lower-case text, in one pass over all lists together.
+
+    Whole words cannot overlap, and no term of these lists begins or ends with words that another one has there, so
+    the lists do not take hits from each other.
+    """
+    return F.regexp_extract_all(low, F.lit(f"{B0}{trie(terms)}{B1}"), F.lit(0))
 
 
-def term_matches(text: Column, terms: list[str]) -> Column:
-    """Every whole-word occurrence of a listed term, in one pass; no two terms of a list can overlap."""
-    return F.regexp_extract_all(F.lower(text), F.lit(any_term(terms)), F.lit(0))
+def of_list(matches: Column, terms: list[str]) -> Column:
+    """The matches that belong to one list."""
+    return F.filter(matches, lambda m: m.isin(*terms))
 
 
 def tally(matches: Column, terms: list[str]) -> Column:
@@ -105,11 +131,9 @@ def tally(matches: Column, terms: list[str]) -> Column:
     return F.filter(counted, lambda c: c["n"] > 0)
 
 
-def phrases_present(text: Column, phrases: list[str]) -> Column:
-    return let(
-        F.lower(text),
-        lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])),
-    )
+def phrases_present(low: Column, phrases: list[str]) -> Column:
+    """The phrases that stand somewhere in lower-case text, in list order."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]))
 
 
 def substring_count(haystack: Column, needle: Column) -> Column:
@@ -118,10 +142,15 @@ def substring_count(haystack: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, (gap / F.length(needle)).cast("int")).otherwise(F.lit(0))
 
 
-def substring_total(haystack: Column, terms: list[str]) -> Column:
-    return let(
-        F.lower(haystack), lambda low: reduce(lambda a, b: a + b, [substring_count(low, F.lit(t)) for t in terms])
-    )
+def substring_total(low: Column, terms: list[str]) -> Column:
+    """Occurrences of all terms in lower-case text, each counted for itself; only where one search finds any of them."""
+    total = reduce(lambda a, b: a + b, [substring_count(low, F.lit(t)) for t in terms])
+    return F.when(low.rlike(trie(terms)), total).otherwise(F.lit(0))
+
+
+def count_if_any(text: Column, low: Column, pattern: str, needed: str) -> Column:
+    """``count`` for a pattern whose matches all hold the lower-case ``needed``; most texts have none of it."""
+    return F.when(F.contains(low, F.lit(needed)), count(text, pattern)).otherwise(F.lit(0))
 
 
 def rate(n: Column, word_total: Column, per: int) -> Column:

@@ -41,6 +41,7 @@ class ElementWalk(HTMLParser):
         self.texts: list[str] = []
         self.ld_scripts: list[str] = []
         self._open: list[int] = []
+        self._depths: dict[str, list[int]] = {}  # of each tag: where it stands among the open elements
         self._raw: str | None = None
         self._ld: list[str] | None = None
         self._line_start = [0]
@@ -79,15 +80,16 @@ class ElementWalk(HTMLParser):
         while len(self._open) > depth:
             row = self.rows[self._open.pop()]
             row[1], row[7], row[9] = len(self.rows) - 1, len(self.texts), src
+            self._depths[row[4]].pop()
+
+    def _nearest(self, names) -> int:
+        """Depth of the innermost open element of these names, -1 if none is open."""
+        return max((self._depths[n][-1] for n in names if self._depths.get(n)), default=-1)
 
     def _close_open(self, names: frozenset, barrier: frozenset, src: int) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            tag = self.rows[self._open[depth]][4]
-            if tag in names:
-                self._close_to(depth, src)
-                return
-            if tag in barrier:
-                return
+        depth = self._nearest(names)
+        if depth > self._nearest(barrier):
+            self._close_to(depth, src)
 
     def handle_starttag(self, tag, attrs):
         src = self._at()
@@ -101,10 +103,11 @@ class ElementWalk(HTMLParser):
         pos, inner = len(self.rows), src + len(self.get_starttag_text() or "")
         parent = self._open[-1] if self._open else -1
         self.rows.append(
-            [pos, pos, parent, len(self._open), tag, list(first.items()), len(self.texts), len(self.texts), inner, inner]
+            [pos, pos, parent, len(self._open), tag, first, len(self.texts), len(self.texts), inner, inner]
         )
         if tag in VOID:
             return
+        self._depths.setdefault(tag, []).append(len(self._open))
         self._open.append(pos)
         if tag in ("script", "style"):
             self._raw = tag
@@ -121,10 +124,8 @@ class ElementWalk(HTMLParser):
             if self._ld is not None:
                 self.ld_scripts.append("".join(self._ld))
                 self._ld = None
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self.rows[self._open[depth]][4] == tag:
-                self._close_to(depth, self._at())
-                return
+        if self._depths.get(tag):
+            self._close_to(self._depths[tag][-1], self._at())
 
     def handle_data(self, data):
         if self._ld is not None:

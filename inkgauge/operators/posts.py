@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgauge import dims
@@ -37,10 +39,14 @@ def infer_post_type(raw_format: Column, topic: Column, word_count: Column, schem
 
 
 def with_band(df: DataFrame) -> DataFrame:
-    """Limits of each post's type; nine rows, always small enough to broadcast."""
-    if "min_words" in df.columns:
-        return df
-    return df.join(F.broadcast(dims.dim_band(df.sparkSession)), "post_type")
+    """Limits of each post's type: nine rows, so they are literals and nothing is joined."""
+    from inkgauge.operators.structure import once
+
+    names = dims.BAND_SCHEMA.replace("post_type string, ", "")
+    fields = [f.split()[0] for f in names.split(", ")]
+    rows = {k: json.dumps(dict(zip(fields, v))) for k, v in dims.BANDS.items()}
+    df = once(df, band=F.from_json(F.try_element_at(literal_map(rows), F.col("post_type")), names))
+    return once(df, **{f: F.col(f"band.{f}") for f in fields})
 
 
 def flatten_meta(nested: Column) -> Column:

@@ -12,23 +12,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from inkgauge.operators import markup
+from inkgauge.operators.picks import BLOCKS, PAGE, picked, style_blocks
 
 ELEMENT = (
     "struct<pos:int,end_pos:int,parent_pos:int,depth:int,tag:string,attrs:map<string,string>,"
     "t0:int,t1:int,src0:int,src1:int>"
 )
-SCRIPT = "struct<block:int,raw:string,status:string>"
+SCRIPT = "struct<block:int,raw:string,status:string,n0:int,n1:int>"
 NODE = "struct<block:int,path:string,key:string,role:string,kind:string,keys:array<string>,type_state:string>"
 ENTITY = (
     "struct<ord:int,block:int,path:string,types:array<string>,id:string,has_id:boolean,"
     "fields:array<string>,json:string>"
 )
-LINK = "struct<entity_ord:int,owner_type:string,field:string,ref_id:string,inline_type:string>"
+LINK = "struct<entity_ord:int,owner_type:string,field:string,ref_id:string,inline_type:string,declared:boolean>"
 
 SHRED_FIELDS = {
     "texts": "array<string>",
     "paragraphs": "array<string>",
     "elements": f"array<{ELEMENT}>",
+    "page": PAGE,
+    "style_blocks": BLOCKS,
     "ld_scripts": f"array<{SCRIPT}>",
     "ld_nodes": f"array<{NODE}>",
     "ld_block_count": "int",
@@ -56,37 +59,39 @@ def _list_array(rows: list[list], typ: pa.ListType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=typ)
 
 
-def _walk_page(html: str | None, own: str | None, body: str | None) -> dict:
+def _walk_page(html: str | None, own: str | None, body: str | None, elements: bool, blocks: bool) -> dict:
     walk = markup.ElementWalk(html or "")
     body_walk = walk if not body or body == html else markup.ElementWalk(body)
-    return {
-        "texts": walk.texts, "paragraphs": body_walk.texts_of("p"), "elements": walk.rows, **_walk_blocks(walk.ld_scripts, own),
-    }
+    out = {"paragraphs": body_walk.texts_of("p"), "page": picked(walk.rows, walk.texts), **_walk_blocks(walk.ld_scripts, own)}
+    if elements:
+        out |= {"texts": walk.texts, "elements": [(*row[:5], list(row[5].items()), *row[6:]) for row in walk.rows]}
+    if blocks:
+        out["style_blocks"] = style_blocks(walk.rows, walk.texts, html or "")
+    return out
 
 
 def _walk_blocks(blocks: list[str], own: str | None) -> dict:
-    scripts, parsed = [], []
+    scripts, parsed, nodes = [], [], []
     for i, raw in enumerate(blocks):
-        text = raw.strip()
-        if not text:
-            scripts.append((i, text, "empty"))
-            continue
-        status, value = markup.read_json(text)
-        scripts.append((i, text, status))
+        text, first = raw.strip(), len(nodes)
+        status, value = markup.read_json(text) if text else ("empty", None)
         if status == "ok":
             parsed.append((i, value))
-    nodes = [row for i, value in parsed for row in markup.walk_objects(i, value)]
+            nodes += markup.walk_objects(i, value)
+        scripts.append((i, text, status, first, len(nodes)))
     if own:
         ok, value = markup.parse_json(own)
         if ok and isinstance(value, list) and value:
             parsed = [(i, markup.unwrap_envelope(item)) for i, item in enumerate(value)]
     entities = markup.flatten_entities(parsed)
+    rows = markup.entity_rows(entities)
+    declared = {row[4] for row in rows}
     return {
         "ld_scripts": scripts,
         "ld_nodes": nodes,
         "ld_block_count": len(parsed),
-        "ld_entities": markup.entity_rows(entities),
-        "ld_links": markup.link_rows(entities),
+        "ld_entities": rows,
+        "ld_links": [(*link, link[3] in declared) for link in markup.link_rows(entities)],
     }
 
 
@@ -120,14 +125,20 @@ def _walked(df: DataFrame, kept: list[T.StructField], inputs: list[str | None],
 
 
 def shred(
-    posts: DataFrame, html: str = "html", schemas: str | None = None, keep_html: bool = False,
+    posts: DataFrame, html: str = "html", schemas: str | None = None, keep_html: bool = False, elements: bool = True,
 ) -> DataFrame:
-    """Add the shredded arrays to every post; the page source is dropped unless asked for."""
+    """Add the shredded arrays to every post; the page source is dropped unless asked for.
+
+    The checks read ``page``; without ``elements`` the arrays of all elements and text runs, the larger part, are left
+    out. With the source come ``style_blocks``, the paragraphs that patches can be applied to.
+    """
     if schemas is None and "schemas_json" in posts.columns:
         schemas = "schemas_json"
     body = "article_body_html" if "article_body_html" in posts.columns else None
     kept = [f for f in posts.schema.fields if keep_html or f.name not in (html, "article_body_html")]
-    return _walked(posts, kept, [html, schemas, body], _walk_page, SHRED_FIELDS)
+    left_out = {"elements": elements, "texts": elements, "style_blocks": keep_html}
+    fields = {n: t for n, t in SHRED_FIELDS.items() if left_out.get(n, True)}
+    return _walked(posts, kept, [html, schemas, body], lambda *row: _walk_page(*row, elements, keep_html), fields)
 
 
 def walk_jsonld(df: DataFrame, column: str) -> DataFrame:
@@ -156,19 +167,14 @@ def first(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
 
 
-def first_attr(selected: Column, name: str) -> Column:
-    """Trimmed attribute of the first selected element; NULL when absent or empty."""
+def first_value(selected: Column, name: str) -> Column:
+    """Trimmed field of the first selected entry; NULL when absent or empty."""
     from inkgauge.functions.text import js_trim
 
-    value = js_trim(attr(first(selected), name))
+    value = js_trim(first(selected)[name])
     return F.when(value != "", value)
 
 
-def inside(outer: Column) -> Column:
-    """All elements of a subtree: positions are array places, so this is a slice."""
-    return F.slice(F.col("elements"), outer["pos"] + 2, outer["end_pos"] - outer["pos"])
-
-
 def ancestors(e: Column) -> Column:
     """Elements around an element, nearest first: one step up per level, however large the page."""
     shape = "struct<at:int,out:array<struct<pos:int,tag:string>>>"

@@ -50,8 +50,11 @@ OPTIONAL = {
 }
 
 
-def prepare(posts: DataFrame, keep_html: bool = False) -> DataFrame:
-    """Posts with visible text, shredded arrays and post type. The only step that reads the source."""
+def prepare(posts: DataFrame, keep_html: bool = False, elements: bool = False) -> DataFrame:
+    """Posts with visible text, shredded arrays and post type. The only step that reads the source.
+
+    ``elements`` also keeps the arrays of all elements and text runs, for checks of one's own.
+    """
     df = posts.withColumns(
         {n: F.lit(None).cast(t) for n, t in OPTIONAL.items() if n not in posts.columns}
     )
@@ -62,7 +65,7 @@ def prepare(posts: DataFrame, keep_html: bool = False) -> DataFrame:
         df = df.withColumn("body_only", F.when(own.isNotNull(), X.visible_text(own)))
     else:
         df = df.withColumn("body_only", F.lit(None).cast("string"))
-    df = shred(df, keep_html=keep_html)
+    df = shred(df, keep_html=keep_html, elements=elements or keep_html)
     # Only JSON-LD supplied with the post takes part in guessing its type.
     supplied = F.when(
         F.coalesce("schemas_json", F.lit("")) != "", F.flatten(F.transform("ld_entities", lambda e: e["types"]))
@@ -136,7 +139,7 @@ def audit(
     Without side tables there is no shuffle at all. Side tables join on ``key`` after the page source
     has been reduced to findings, so only small rows move.
     """
-    df = detect(prepare(posts), FAMILIES if families is None else families, key, keep=["brand", "slug", "post_type"])
+    df = detect(prepare(posts, elements=families is not None), FAMILIES if families is None else families, key, keep=["brand", "slug", "post_type"])
     if judgements is not None:
         df = judged(df, judgements, key).withColumn(
             "found", F.concat("found", _or_empty("human_found"), _or_empty("quality_found"))

@@ -159,7 +159,7 @@ lead AS (SELECT doc_id, nth, heading, case when starts_with(rest, '<p') then
 
 def section_rows(spark, sf) -> DataFrame:
     df = st.sections(shredded(spark, sf))
-    return fnd.rows_of(df, ["doc_id"], "sections", "nth", "s").select(
+    return fnd.rows_of(df, ["doc_id"], "section_texts", "nth", "s").select(
         "doc_id", "nth", "s.heading", X.word_count(F.col("s.text")).alias("words"), F.col("s.h3_count").alias("h3_count")
     )
 

@@ -119,7 +119,7 @@ uniq AS (SELECT *, (length(html) - length(replace(html, b, ''))) / length(b) = 1
 
 
 def style_blocks(spark, sf) -> DataFrame:
-    return rm.style_paragraphs(sourced(spark, sf))
+    return sourced(spark, sf)
 
 
 QUERIES["plan_emdash_patches"] = (
@@ -263,7 +263,7 @@ _ROUTED = [st.STRUCTURE, jsonld.ARTICLE_PRESENCE, jsonld.FIELD_COMPLETENESS, st.
 
 
 def instructed(spark, sf) -> DataFrame:
-    df = rm.style_paragraphs(sourced(spark, sf, *_ROUTED))
+    df = sourced(spark, sf, *_ROUTED)
     dash = fnd.finding("H_em_dash_overuse", "humanization", "warn", "measured", "em dashes", F.contains("text", F.lit("—")))
     df = df.withColumn("found", F.concat("found", F.array_compact(F.array(dash))))
     return df.withColumn("instructions", rm.instructions())
