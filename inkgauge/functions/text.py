@@ -181,12 +181,6 @@ def looks_like_question(text: Column) -> Column:
     return (text != "") & (F.endswith(text, F.lit("?")) | opener.isin(*dims.QUESTION_OPENERS))
 
 
-def first_sentence(text: Column) -> Column:
-    """Up to the first ".", "!" or "?"; the whole text when there is none. For collapsed text."""
-    lead = F.regexp_extract(text, r"^[^.!?]+[.!?]", 0)
-    return F.when(lead != "", lead).otherwise(text)
-
-
 def question_marks(text: Column) -> Column:
     """Every question ends in exactly one "?", so counting the marks counts the questions."""
     return substring_count(text, F.lit("?"))

@@ -263,17 +263,27 @@ def run_index(reports: DataFrame) -> DataFrame:
     ).orderBy(F.desc("date"), "run_key")
 
 
-def final_summary(reports: DataFrame) -> DataFrame:
-    """One consolidated record per run that is final. ``version_history`` has the times of its versions."""
-    return reports.filter("is_final").select(
-        "brand", "slug", "version",
-        F.to_json(
-            F.struct(
-                "brand", "slug", "post_type", "version", "verdict", "verdict_reason", "final_score", "critical_count",
-                "started_at",
-            )
-        ).alias("summary"),
-    )
+def final_summary(reports: DataFrame, versions: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
+    """One consolidated record per run that is final.
+
+    ``versions``: (doc_id, started_at) of all runs of the posts, this one included. ``paragraphs``: their measures. Both
+    are gathered only for final posts; a post has few versions, and its paragraphs come from one page.
+    """
+    shown = ["brand", "slug", "post_type", "version", "verdict", "verdict_reason", "final_score", "critical_count", "started_at"]
+    final = reports.filter("is_final")
+    ids = final.select("doc_id") if versions is not None or paragraphs is not None else None
+    if versions is not None:
+        times = versions.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list("started_at")).alias("version_history"))
+        final, shown = final.join(times, "doc_id", "left"), [*shown, "version_history"]
+    if paragraphs is not None:
+        fields = [c for c in paragraphs.columns if c not in ("doc_id", "index")]
+        rows = paragraphs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.array_sort(F.collect_list(F.struct("index", *fields))).alias("paragraph_metrics")
+        )
+        empty = F.array().cast(rows.schema["paragraph_metrics"].dataType)
+        final = final.join(rows, "doc_id", "left").withColumn("paragraph_metrics", F.coalesce("paragraph_metrics", empty))
+        shown = [*shown, "paragraph_metrics"]
+    return final.select("brand", "slug", "version", F.to_json(F.struct(*shown)).alias("summary"))
 
 
 def version_history(reports: DataFrame) -> DataFrame:

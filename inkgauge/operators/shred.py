@@ -209,5 +209,3 @@ def nodes_table(shredded: DataFrame, key: str = "doc_id") -> DataFrame:
     return shredded.select(key, F.inline("ld_nodes"))
 
 
-def links_table(shredded: DataFrame, key: str = "doc_id") -> DataFrame:
-    return shredded.select(key, F.inline("ld_links"))

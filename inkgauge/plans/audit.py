@@ -144,6 +144,13 @@ def audit(
         df = judged(df, judgements, key).withColumn(
             "found", F.concat("found", _or_empty("human_found"), _or_empty("quality_found"))
         )
+    return verdicts(df, preflight, weights, target, key)
+
+
+def verdicts(
+    df: DataFrame, preflight: DataFrame | None = None, weights: dict[str, float] | None = None, target: int = dims.TARGET_SCORE, key: str = "doc_id",
+) -> DataFrame:
+    """Scores and verdict of posts that have their findings."""
     df = score(df, weights)
     if preflight is not None:
         # Outside findings never change scores; their criticals block. Only a count and three ids per

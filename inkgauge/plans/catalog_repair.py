@@ -8,7 +8,7 @@ from inkgauge import dims
 from inkgauge.functions import text as X
 from inkgauge.operators import findings as fnd, jsonld, remedy as rm, shred as sh, structure as st, style
 from inkgauge.plans import duck as D
-from inkgauge.plans.catalog_pages import BARE, CANON, HEAD_META, LD, META_CTE, QUERIES as PAGES, over
+from inkgauge.plans.catalog_pages import BARE, CANON, HEAD_META, LD, META_CTE, over
 from inkgauge.plans.catalog_text import QUERIES as TEXTS_Q, texts
 from inkgauge.plans.fixtures import fixture, with_fixtures
 from inkgauge.plans.rounds import audit_rounds
@@ -257,62 +257,6 @@ QUERIES["apply_schema_inserts"] = (
       coalesce(string_agg(type, ',' order by type), '') AS types FROM shape s LEFT JOIN tl ON tl.doc_id = s.doc_id GROUP BY ALL"""),
 )
 
-# --- instructions -----------------------------------------------------------------------------
-
-_ROUTED = [st.STRUCTURE, jsonld.ARTICLE_PRESENCE, jsonld.FIELD_COMPLETENESS, st.META]
-
-
-def instructed(spark, sf) -> DataFrame:
-    df = sourced(spark, sf, *_ROUTED)
-    dash = fnd.finding("H_em_dash_overuse", "humanization", "warn", "measured", "em dashes", F.contains("text", F.lit("—")))
-    df = df.withColumn("found", F.concat("found", F.array_compact(F.array(dash))))
-    return df.withColumn("instructions", rm.instructions())
-
-
-def _instruction_sql() -> str:
-    rank = "case severity when 'critical' then 4 when 'fail' then 3 when 'warn' then 2 else 1 end"
-    plain = f"SELECT doc_id, check_id, severity FROM ({PAGES['detect_structure'][1]}) UNION ALL SELECT doc_id, check_id, severity FROM ({PAGES['detect_meta'][1]})"
-    return f"""WITH {BARE}, {LD}, {BLOCKS}, spec(type, tier, field) AS (VALUES {', '.join(f"({D.q(t)}, {D.q(tier)}, {D.q(f)})" for t, tiers in dims.ENTITY_FIELDS.items() for tier, fs in zip(dims.FIELD_TIERS, tiers) for f in fs)}),
-      ids AS (SELECT row_number() over () AS eid, * FROM etypes),
-      fields AS (SELECT doc_id, 'D_' || type || '_missing_' || tier AS check_id, case tier when 'recommended' then 'warn' else 'fail' end AS severity FROM ids JOIN spec USING (type) WHERE NOT list_contains(json_keys(n), field) GROUP BY eid, doc_id, type, tier),
-      noart AS (SELECT doc_id, 'D_no_article_entity' AS check_id, 'critical' AS severity FROM ld WHERE doc_id NOT IN (SELECT doc_id FROM etypes WHERE type IN {_ART})),
-      dash AS (SELECT doc_id, count(*) FILTER (WHERE once AND contains(b, '—')) AS n FROM uniq GROUP BY doc_id),
-      allf AS ({plain} UNION ALL SELECT * FROM fields UNION ALL SELECT * FROM noart),
-      ins AS (SELECT doc_id, check_id, severity, case when severity = 'critical' then 'human_fix_required' when starts_with(check_id, 'D_') then 'insert_missing' when starts_with(check_id, 'M_') then 'edit_schema' else 'attempt_rewrite' end AS action, 1 AS times FROM allf
-        UNION ALL SELECT p.doc_id, 'H_em_dash_overuse', 'warn', case when coalesce(n, 0) > 0 then 'apply_patch' else 'attempt_rewrite' end, greatest(coalesce(n, 0), 1) FROM p LEFT JOIN dash USING (doc_id) WHERE contains(text, '—'))
-      SELECT doc_id, check_id, severity, action, cast(sum(times) as bigint) AS n FROM ins GROUP BY 1, 2, 3, 4"""
-
-
-QUERIES["instructions"] = (
-    lambda spark, sf: fnd.rows_of(instructed(spark, sf), ["doc_id"], "instructions", "nth", "x")
-    .groupBy("doc_id", "x.check_id", "x.severity", "x.action").agg(F.count("*").alias("n")),
-    over(_instruction_sql()),
-)
-
-
-def payloads(spark, sf) -> DataFrame:
-    df = instructed(spark, sf).withColumns(
-        {
-            "version": (F.col("doc_id") % 4 + 1).cast("int"), "post_type": F.lit("general"), "verdict": F.lit("edit"), "overall": F.lit(70),
-            "critical_count": F.size(F.filter("found", lambda f: f["severity"] == "critical")),
-            "regressions": F.array().cast("array<struct<check_id:string,status:string>>"),
-        }
-    )
-    made = rm.instruction_payload(df)
-    path = F.from_json("payload", "meta struct<next_version:int,is_final:boolean,is_final_pending:boolean,critical_count:int>, fix_order array<string>, instructions array<struct<severity:string>>")
-    return made.select("doc_id", path.alias("p")).select(
-        "doc_id", "p.meta.*", F.size("p.fix_order").alias("n_order"), F.get("p.instructions", F.lit(0))["severity"].alias("first_severity")
-    )
-
-
-QUERIES["instruction_payload"] = (
-    payloads,
-    f"""WITH i AS ({over(_instruction_sql())}), g AS (SELECT doc_id, cast(sum(n) as int) AS n_order, cast(coalesce(sum(n) FILTER (WHERE severity = 'critical'), 0) as int) AS critical_count,
-      max(case severity when 'critical' then 4 when 'fail' then 3 when 'warn' then 2 else 1 end) AS r FROM i GROUP BY doc_id)
-      SELECT page_id AS doc_id, cast(page_id % 4 + 2 as int) AS next_version, page_id % 4 + 1 >= 3 AS is_final, page_id % 4 + 1 = 2 AS is_final_pending, coalesce(critical_count, 0) AS critical_count, coalesce(n_order, 0) AS n_order,
-      case r when 4 then 'critical' when 3 then 'fail' when 2 then 'warn' when 1 then 'info' end AS first_severity FROM pages LEFT JOIN g ON g.doc_id = page_id""",
-)
-
 # --- rounds -----------------------------------------------------------------------------------
 
 

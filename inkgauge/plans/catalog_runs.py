@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inkgauge import dims
-from inkgauge.functions import text as X
-from inkgauge.operators import findings as fnd, judge, lineage as li, scoring as sc, style
+from inkgauge.operators import judge, lineage as li, scoring as sc, style
 from inkgauge.plans import duck as D
 from inkgauge.plans.catalog_text import SIGNALS_CTE, _AXES, _SIGNAL_HITS, texts
 from inkgauge.plans.fixtures import fixture, table, with_fixtures
-from inkgauge.session import fresh_path
 from inkgauge.sources import posts as src_posts, runs as src_runs
 
 QUERIES: dict = {}
@@ -253,54 +251,6 @@ QUERIES["fix_order"] = (
 # --- joins with rules and witnesses -----------------------------------------------------------
 
 
-def rubric(spark, sf) -> DataFrame:
-    from inkgauge.plans.catalog_pages import shredded
-    from inkgauge.operators import structure as st
-
-    return sc.rubric_join(fnd.run_family(shredded(spark, sf), st.STRUCTURE)).select("doc_id", "check_id", "category", "weight", "auto_fixable")
-
-
-def _rubric_sql() -> str:
-    from inkgauge.plans.catalog_pages import QUERIES as PAGES
-
-    values = ", ".join(f"({D.q(k)}, {D.q(v[0])}, {v[3]}, {str(v[4]).lower()})" for k, v in dims.RUBRIC.items())
-    return f"SELECT doc_id, check_id, category, weight, auto_fixable FROM ({PAGES['detect_structure'][1]}) LEFT JOIN (VALUES {values}) r(check_id, category, weight, auto_fixable) USING (check_id) WHERE severity = 'critical'"
-
-
-QUERIES["rubric_join"] = (rubric, _rubric_sql())
-
-
-def own_findings(spark, sf) -> DataFrame:
-    from inkgauge.operators import structure as st, trust
-    from inkgauge.plans.catalog_pages import with_text
-
-    df = with_text(spark, sf).withColumn("body_text", F.col("text"))
-    found = df
-    for family in (st.H2_QUESTIONS, st.LAST_UPDATED, trust.FIRST_PARTY):
-        found = family.measures(found)
-    array = F.concat(st.H2_QUESTIONS.findings(), st.LAST_UPDATED.findings(), trust.FIRST_PARTY.findings())
-    return fnd.explode_findings(found.select("doc_id", array.alias("found")))
-
-
-def _own_sql() -> str:
-    from inkgauge.plans.catalog_pages import QUERIES as PAGES
-
-    return " UNION ALL ".join(f"SELECT * FROM ({PAGES[n][1]})" for n in ("detect_h2_questions", "detect_last_updated", "detect_first_party"))
-
-
-QUERIES["reconcile_preflight"] = (
-    lambda spark, sf: li.reconcile_preflight(own_findings(spark, sf), fixture(spark, sf, "synth_preflight"), ["doc_id"])["adjudication"].select("doc_id", "check_id", "confirmed"),
-    with_fixtures(
-        "synth_preflight",
-        f"WITH own AS ({_own_sql()}) SELECT doc_id, check_id, exists(SELECT 1 FROM own o WHERE o.doc_id = p.doc_id AND o.check_id = w.own) AS confirmed FROM synth_preflight p "
-        "JOIN (VALUES ('B2', 'S_h2_question_ratio_low'), ('F7', 'S_visible_last_updated_missing'), ('F2', 'E_no_first_party_data')) w(code, own) ON p.check_id = 'writer:' || w.code",
-    ),
-)
-QUERIES["load_preflight"] = (
-    lambda spark, sf: li.reconcile_preflight(own_findings(spark, sf), fixture(spark, sf, "synth_preflight"), ["doc_id"])["findings"],
-    with_fixtures("synth_preflight", "SELECT doc_id, check_id, 'preflight' AS layer, severity, evidence, 'static' AS truth_badge FROM synth_preflight"),
-)
-
 # --- keys, index, summary, sinks --------------------------------------------------------------
 
 _CLEAN = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -313,25 +263,6 @@ QUERIES["run_key"] = (
 )
 
 
-def index(spark, sf) -> DataFrame:
-    df = reports(spark, sf).withColumns({"iterations": F.lit(1), "total_cost": F.lit(0.0)})
-    return li.run_index(df)
-
-
-QUERIES["run_index"] = (
-    index,
-    over(f"""WITH {REPORTS} SELECT substr(started_at, 1, 19) || 'Z' AS date, brand, slug, post_type, 'v' || version || case when version >= 3 then ' · FINAL' else '' end AS version_label,
-      upper(verdict) AS verdict_label, final_score || case when critical_count > 0 then ' · ' || critical_count || ' critical' else '' end AS score_label,
-      case when fixed + unresolved + regressed > 0 then fixed || ' fixed / ' || unresolved || ' open / ' || regressed || ' regressed' else '—' end AS prior_label,
-      1 AS iterations, 0.0 AS total_cost, {_KEY} AS run_key FROM rep"""),
-)
-QUERIES["final_summary"] = (
-    lambda spark, sf: li.final_summary(reports(spark, sf)).select(
-        "brand", "slug", "version", F.get_json_object("summary", "$.verdict").alias("verdict"),
-        F.get_json_object("summary", "$.final_score").cast("int").alias("final_score"), F.get_json_object("summary", "$.started_at").alias("started_at"),
-    ),
-    over(f"WITH {REPORTS} SELECT brand, slug, version, verdict, final_score, started_at FROM rep WHERE version >= 3"),
-)
 QUERIES["version_history"] = (
     lambda spark, sf: li.version_history(li.version_lineage(runs(spark, sf), ["brand", "slug"], "started", "run_id")),
     over("WITH v AS (SELECT brand, slug, row_number() over (partition by brand, slug order by started, run_id) AS version, count(*) over (partition by brand, slug) AS n, started_at FROM synth_runs) "
@@ -339,19 +270,6 @@ QUERIES["version_history"] = (
 )
 
 
-def written(spark, sf) -> DataFrame:
-    """Findings written by brand and date, then read back and counted."""
-    path = fresh_path(spark, "run-tables")
-    f = findings(spark, sf).drop("started").join(runs(spark, sf).select("run_id", "brand", F.substring("started_at", 1, 7).alias("run_date")), "run_id")
-    src_runs.write_run_table(f, path)
-    return spark.read.parquet(path).groupBy("brand", "run_date").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"))
-
-
-QUERIES["write_run_tables"] = (
-    written,
-    over("SELECT brand, substr(started_at, 1, 7) AS run_date, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS criticals FROM synth_findings f JOIN synth_runs r ON r.run_id = f.run_id GROUP BY 1, 2"),
-)
-
 # --- sources ----------------------------------------------------------------------------------
 
 _FILES = [

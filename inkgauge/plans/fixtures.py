@@ -179,6 +179,18 @@ SELECT page_id AS doc_id,
 FROM pages
 """
 
+# Earlier runs of the pages, up to three of them, and what the last one found.
+SYNTH_HISTORY = " UNION ALL ".join(
+    f"SELECT page_id AS doc_id, '2026-0{k}-01T00:00:00.000Z' AS started_at FROM pages WHERE page_id % 4 >= {k}" for k in (1, 2, 3)
+)
+SYNTH_PRIOR = " UNION ALL ".join(
+    f"SELECT page_id AS doc_id, {n} AS ord, '{check}' AS check_id, '{severity}' AS severity FROM pages WHERE page_id % 4 > 0 AND page_id % {every} <> 0"
+    for n, (check, severity, every) in enumerate([
+        ("A4_canonical_tag", "critical", 5), ("M_description_missing", "warn", 7), ("S_tldr_missing", "info", 2), ("X_gone", "fail", 3), ("E_no_first_party_data", "fail", 11),
+        ("S_tldr_missing", "fail", 3),
+    ])
+)
+
 # Pages without unfixable problems: rounds of patching have something to do.
 SOUND_PAGES = """
 SELECT page_id AS doc_id, 'Brand ' || cast(page_id % 7 as string) AS brand, 'post-' || cast(page_id as string) AS slug,
@@ -204,6 +216,8 @@ FIXTURES = {
     "synth_iterations": SYNTH_ITERATIONS,
     "synth_usage": SYNTH_USAGE,
     "synth_preflight": SYNTH_PREFLIGHT,
+    "synth_history": SYNTH_HISTORY,
+    "synth_prior": SYNTH_PRIOR,
 }
 
 

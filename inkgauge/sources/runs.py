@@ -48,11 +48,12 @@ def load_preflight(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return reader.format(fmt).load(path)
 
 
-def write_run_table(df: DataFrame, path: str, brand: str = "brand", run_date: str = "run_date") -> None:
-    """Append run rows by brand and date.
+def write_run_table(df: DataFrame, path: str, batch: str, brand: str = "brand", run_date: str = "run_date") -> None:
+    """Write the rows of one batch of runs by brand and date; the same batch written again replaces what it wrote.
 
-    The rebalance hint lets the adaptive planner split a brand that holds much of the data and merge
+    Only the partitions of this batch are overwritten, so a job that is tried again leaves one copy and other batches
+    are not touched. The rebalance hint lets the adaptive planner split a brand that holds much of the data and merge
     small ones, so file sizes stay even and no task writes a whole brand alone.
     """
-    balanced = df.hint("rebalance", brand, run_date)
-    balanced.write.mode("append").partitionBy(brand, run_date).parquet(path)
+    rows = df.withColumn("batch", F.lit(batch)).hint("rebalance", brand, run_date)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", brand, run_date).parquet(path)
