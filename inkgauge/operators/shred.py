@@ -40,7 +40,7 @@ SHRED_FIELDS = {
 }
 
 
-def _arrow_type(ddl: str) -> pa.DataType:
+def arrow_type(ddl: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(T._parse_datatype_string(ddl))
@@ -110,7 +110,7 @@ def _walked(df: DataFrame, kept: list[T.StructField], inputs: list[str | None],
     """Rows of ``df`` with what ``walk`` makes of the input columns of each; None stands for a column that is not there."""
     out_schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
     names = [f.name for f in kept]
-    types = {n: _arrow_type(t) for n, t in fields.items()}
+    types = {n: arrow_type(t) for n, t in fields.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkgauge import dims
 from inkgauge.functions import text as X
-from inkgauge.operators import findings as fnd, jsonld, shred as sh, structure as st, style, trust
+from inkgauge.operators import findings as fnd, jsonld, selectors, shred as sh, structure as st, style, trust
 from inkgauge.plans import duck as D
 from inkgauge.plans.audit import prepare
 from inkgauge.plans.catalog_text import duck_normal_url
@@ -55,43 +55,47 @@ QUERIES["shred_elements"] = (
 )
 
 
-def nav_links(spark, sf) -> DataFrame:
-    """nav li a[href^="/"]: the elements around each link decide."""
-    df = shredded(spark, sf)
+#: name -> selector, comparison pattern (its group is the text of the element; no group: elements without text).
+_SELECTED = {
+    "nav links": ("nav li a[href^='/']", None),
+    "canonical": ('link[rel="canonical"]', '<link rel="canonical"'),
+    "open graph": ("meta[property^=og:]", '<meta property="og:'),
+    "no alt": ("img[alt='']", '<img [^>]*alt=""'),
+    "headings": ("h1, h2,h3", "<h[1-3]>([^<]*)"),
+    "captions": ("figure figcaption", "<figcaption>([^<]*)"),
+    "marked": ("p[data-tldr]", "<p data-tldr>([^<]*)"),
+    "references": ('a[href*="REF.example.ORG" i]', '<a href="https://ref.example.org[^>]*>([^<]*)'),
+    "byline": (".byline", '<div class="meta byline">([^<]*)'),
+    "gifs": ("article img[src$=.gif], #none", '<img src="[^"]*\\.gif"'),
+}
 
-    def chosen(a):
-        around = F.transform(sh.ancestors(a), lambda x: x["tag"])
-        li = F.array_position(around, "li").cast("int")
-        return F.startswith(sh.attr(a, "href"), F.lit("/")) & (li > 0) & F.array_contains(F.slice(around, F.greatest(li, F.lit(1)), F.size(around)), "nav")
 
-    found = F.transform(
-        F.filter(sh.by_tag("a"), chosen), lambda a: F.struct(sh.attr(a, "href").alias("href"), sh.text_of(a).alias("label"))
+def selected(spark, sf) -> DataFrame:
+    found = selectors.select_elements(fixture(spark, sf, "synth_pages"), {name: selector for name, (selector, _) in _SELECTED.items()})
+    return found.groupBy("doc_id", "name").agg(
+        F.count("*").alias("n"), F.min_by(X.collapse(F.col("text")), "nth").alias("first_text"), F.max(F.col("attrs")["href"]).alias("last_href")
     )
-    return fnd.rows_of(df, ["doc_id"], found, "nth", "a").select("doc_id", "nth", "a.*")
 
 
-QUERIES["select_elements"] = (
-    nav_links,
-    over(f"""WITH {BARE}, n AS (SELECT doc_id, regexp_extract_all(regexp_extract(bare, '(?s)<nav>(.*?)</nav>', 1), '<li><a href="/[^"]*">[^<]*</a></li>') AS l FROM p)
-      SELECT doc_id, i - 1 AS nth, regexp_extract(l[i], 'href="([^"]*)"', 1) AS href, regexp_extract(l[i], '>([^<]*)</a>', 1) AS label
-      FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM n)"""),
-)
+def _selected_sql() -> str:
+    links = """SELECT doc_id, 'nav links' AS name, len(l) AS n, regexp_extract(l[1], '>([^<]*)</a>', 1) AS first_text, list_max(list_transform(l, lambda x: regexp_extract(x, 'href="([^"]*)"', 1))) AS last_href FROM n WHERE len(l) > 0"""
+    parts = [links]
+    for name, (_, pattern) in _SELECTED.items():
+        if pattern:
+            text = f"{D.decode(D.collapse(f'regexp_extract(bare, {D.q(pattern)}, 1)'))}" if "(" in pattern else "''"
+            href = {"canonical": "regexp_extract(bare, '<link rel=\"canonical\" href=\"([^\"]*)\"', 1)", "references": "'https://ref.example.org/paper'"}.get(name, "null")
+            parts.append(f"SELECT doc_id, '{name}', {tags(pattern)}, {text}, {href} FROM p WHERE {tags(pattern)} > 0")
+    return (
+        f"""WITH {BARE}, n AS (SELECT doc_id, regexp_extract_all(regexp_extract(bare, '(?s)<nav>(.*?)</nav>', 1), '<li><a href="/[^"]*">[^<]*</a></li>') AS l FROM p) """
+        + " UNION ALL ".join(parts)
+    )
+
+
+QUERIES["select_elements"] = (selected, over(_selected_sql()))
 
 
 def containment(spark, sf) -> DataFrame:
-    """How many elements of one kind lie inside another kind: every element names those around it."""
-    inner = F.filter("elements", lambda e: e["tag"].isin("li", "h2", "figcaption", "img"))
-    pairs = F.flatten(
-        F.transform(
-            inner,
-            lambda e: F.transform(
-                F.filter(sh.ancestors(e), lambda x: x["tag"].isin("article", "nav", "figure", "ul", "ol")),
-                lambda x: F.struct(x["tag"].alias("outer_tag"), e["tag"].alias("inner_tag")),
-            ),
-        )
-    )
-    rows = fnd.rows_of(shredded(spark, sf), ["doc_id"], pairs, "nth", "x")
-    return rows.groupBy("doc_id", "x.outer_tag", "x.inner_tag").agg(F.count("*").alias("n"))
+    return selectors.containment(fixture(spark, sf, "synth_pages"), ["article", "nav", "figure", "ul", "ol"], ["li", "h2", "figcaption", "img"])
 
 
 _NEST = " UNION ALL ".join(

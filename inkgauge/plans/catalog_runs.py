@@ -8,7 +8,8 @@ from inkgauge import dims
 from inkgauge.operators import judge, lineage as li, scoring as sc, style
 from inkgauge.plans import duck as D
 from inkgauge.plans.catalog_text import SIGNALS_CTE, _AXES, _SIGNAL_HITS, texts
-from inkgauge.plans.fixtures import fixture, table, with_fixtures
+from inkgauge.plans.fixtures import fixture, put_files, table, with_fixtures
+from inkgauge.session import fresh_path
 from inkgauge.sources import posts as src_posts, runs as src_runs
 
 QUERIES: dict = {}
@@ -284,7 +285,7 @@ _FILES = [
 def post_files(spark, sf) -> DataFrame:
     pages = table(spark, sf, "pages")
     parts = [
-        pages.filter(F.expr(cond)).select(F.expr(f"'/store/post-' || cast(page_id as string) || '/{name}'").alias("path"), F.expr(content).alias("content"))
+        pages.filter(F.expr(cond)).select(F.expr(f"'post-' || cast(page_id as string) || '/{name}'").alias("path"), F.expr(content).alias("content"))
         for name, cond, content in _FILES
     ]
     out = parts[0]
@@ -293,13 +294,20 @@ def post_files(spark, sf) -> DataFrame:
     return out
 
 
+def post_dirs(spark, sf) -> DataFrame:
+    """Folders of files in the shared folder, read by the loader."""
+    root = fresh_path(spark, "posts")
+    put_files(post_files(spark, sf), root)
+    return src_posts.load_post_dirs(spark, root).select(
+        F.regexp_extract("source_dir", "[^/]*$", 0).alias("folder"), "slug", "brand", "topic", "word_count", F.sha2("html", 256).alias("page"),
+        F.length("article_body_html").alias("n_body"), F.coalesce(F.size("meta"), F.lit(0)).alias("n_meta"),
+    )
+
+
 QUERIES["load_post_dirs"] = (
-    lambda spark, sf: src_posts.assemble_posts(post_files(spark, sf)).select(
-        "source_dir", "slug", "brand", "topic", "word_count", F.length("html").alias("n_html"), F.length("article_body_html").alias("n_body"),
-        F.coalesce(F.size("meta"), F.lit(0)).alias("n_meta"),
-    ),
-    "SELECT '/store/post-' || page_id AS source_dir, case when page_id % 2 = 0 then 's' || page_id else 'post-' || page_id end AS slug, case when page_id % 3 = 0 then 'unknown' else 'Acme' end AS brand, "
-    "'How to test' AS topic, cast(page_id * 10 as int) AS word_count, length(html) AS n_html, case when page_id % 4 = 0 then 11 else length(html) end AS n_body, case when page_id % 5 = 0 then 2 else 0 end AS n_meta "
+    post_dirs,
+    "SELECT 'post-' || page_id AS folder, case when page_id % 2 = 0 then 's' || page_id else 'post-' || page_id end AS slug, case when page_id % 3 = 0 then 'unknown' else 'Acme' end AS brand, "
+    "'How to test' AS topic, cast(page_id * 10 as int) AS word_count, sha256(html) AS page, case when page_id % 4 = 0 then 11 else length(html) end AS n_body, case when page_id % 5 = 0 then 2 else 0 end AS n_meta "
     "FROM pages WHERE page_id % 10 <> 9 AND page_id % 13 <> 5",
 )
 
@@ -318,10 +326,17 @@ def record_lines(spark, sf) -> DataFrame:
     )
 
 
-QUERIES["load_post_records"] = (
-    lambda spark, sf: src_posts.parse_post_records(record_lines(spark, sf)).select(
+def post_records(spark, sf) -> DataFrame:
+    """Records written as JSON lines and read by the loader."""
+    path = fresh_path(spark, "records")
+    record_lines(spark, sf).write.text(path)
+    return src_posts.load_post_records(spark, path).select(
         "doc_id", "slug", "brand", "brand_website", "format", "word_count", F.length("html").alias("n_html"), F.length("article_body_html").alias("n_body")
-    ),
+    )
+
+
+QUERIES["load_post_records"] = (
+    post_records,
     "SELECT 'Acme/s' || page_id AS doc_id, 's' || page_id AS slug, 'Acme' AS brand, url AS brand_website, case when page_id % 3 = 0 then 'guide' end AS format, cast(page_id as int) AS word_count, "
     "length(html) AS n_html, case when page_id % 2 = 0 then 8 else length(html) end AS n_body FROM pages",
 )
@@ -346,12 +361,20 @@ _REPORT = "'{\"version\": ' || cast(run_id % 5 + 1 as string) || ', \"iterations
 
 
 def history(spark, sf) -> DataFrame:
-    r = runs(spark, sf)
-    files = r.select(F.expr(f"'/audits/brand-' || cast(slug_id % 7 as string) || '/post-' || cast(slug_id as string) || '/' || {_TS} || '/report.json'").alias("path"), F.expr(_REPORT).alias("content"))
-    return src_runs.assemble_history(files).select("brand_key", "slug_key", "run_time", "version", F.get("findings", F.lit(0))["checkId"].alias("check_id"))
+    """Reports written as partitioned lines and read by the loader; every other brand is left to the partition filter."""
+    root, r = fresh_path(spark, "audits"), runs(spark, sf)
+    lines = r.select(
+        F.expr(_REPORT).alias("value"), F.expr("'brand-' || cast(slug_id % 7 as string)").alias("brand_key"), F.expr("'post-' || cast(slug_id % 10 as string)").alias("slug_key"), F.expr(_TS).alias("run_time"),
+    )
+    lines.repartition("brand_key", "slug_key", F.substring("run_time", 1, 4)).withColumn("run_time", F.substring("run_time", 1, 10)).withColumn(
+        "run_time", F.when(F.col("run_time") != "draft", F.concat(F.substring("run_time", 1, 7), F.lit("-01T00"))).otherwise("draft")
+    ).write.partitionBy("brand_key", "slug_key", "run_time").text(root)
+    out = src_runs.load_run_history(spark, root, brand="Brand 3").unionByName(src_runs.load_run_history(spark, root, brand="brand-5", slug="post-1"))
+    return out.groupBy("brand_key", "slug_key", "run_time", "version", F.get("findings", F.lit(0))["checkId"].alias("check_id")).agg(F.count("*").alias("n"))
 
 
 QUERIES["load_run_history"] = (
     history,
-    over("SELECT 'brand-' || slug_id % 7 AS brand_key, 'post-' || slug_id AS slug_key, replace(replace(started_at, ':', '-'), '.', '-') AS run_time, cast(run_id % 5 + 1 as int) AS version, 'C1' AS check_id FROM synth_runs WHERE run_id % 19 <> 0 AND run_id % 17 <> 0", "synth_runs"),
+    over("SELECT 'brand-' || slug_id % 7 AS brand_key, 'post-' || slug_id % 10 AS slug_key, substr(started_at, 1, 7) || '-01T00' AS run_time, cast(run_id % 5 + 1 as int) AS version, 'C1' AS check_id, count(*) AS n "
+         "FROM synth_runs WHERE run_id % 19 <> 0 AND run_id % 17 <> 0 AND (slug_id % 7 = 3 OR slug_id % 7 = 5 AND slug_id % 10 = 1) GROUP BY 1, 2, 3, 4", "synth_runs"),
 )

@@ -257,3 +257,21 @@ def with_fixtures(names: str, select: str) -> str:
     if recursive:
         return "WITH " + ", ".join(parts) + ", " + body[recursive.end():]
     return "WITH " + ", ".join(parts) + " " + body
+
+
+def put_files(rows: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below a folder that all executors share; returns their number."""
+    import pyarrow as pa
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                store.create_dir(f"{top}/{path.rpartition('/')[0]}", recursive=True)
+                with store.open_output_stream(f"{top}/{path}", compression=None) as f:
+                    f.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n bigint").groupBy().sum("n").first()[0] or 0

@@ -8,7 +8,7 @@ import pytest
 
 from inkgauge import dims
 from inkgauge.functions import text as X
-from inkgauge.operators import markup, picks
+from inkgauge.operators import markup, picks, selectors
 from inkgauge.operators.occurrences import occur_once
 
 
@@ -102,3 +102,36 @@ def test_trie_finds_what_the_lists_name():
         for b in words:
             assert a is b or not any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + 1))
             assert a is b or not any(b[i : i + len(a)] == a for i in range(len(b)))
+
+
+PAGE = """<nav id=toc class='main  menu'><ul><li><a href="/a">A</a><li><a href="http://x">B</a></ul></nav><article><p class="x byline">me</p>
+<ul><li><a href='/in, here' Title="Big Word">C<ul><li>d</ul></a></ul><div class=x><div class=x><em>deep</em></div></div></article><a href=/out>out</a>"""
+
+
+@pytest.mark.parametrize("selector,texts", [
+    ("a", ["A", "B", "C\nd".replace("\n", ""), "out"]), ("nav a", ["A", "B"]), ("nav li a[href^=\"/\"]", ["A"]), ("A[HREF^='/'] , em", ["A", "Cd", "deep", "out"]),
+    ("#toc a[href*=HTTP i]", ["B"]), ("[title='big word' i]", ["Cd"]), ("[title='big word']", []), (".byline", ["me"]), ("p.x.byline", ["me"]), (".by", []),
+    (".x .x", ["deep"]), (".x .x em", ["deep"]), (".x em", ["deep"]), ("li li", ["d"]), ("ul ul li", ["d"]), ("a[href='/in, here']", ["Cd"]), ("*[href$=out]", ["out"]), ("a[href^='']", []),
+    ("div *", ["deep", "deep"]), ("nav nav", []),
+])
+def test_selectors(selector, texts):
+    walk = markup.ElementWalk(PAGE)
+    got = selectors.chosen(walk.rows, selectors.compiled(selector))
+    assert ["".join(walk.texts[r[6]:r[7]]) for r in got] == texts
+
+
+@pytest.mark.parametrize("selector", ["", "a >", "a,", "[", "a:hover"])
+def test_selectors_that_are_not_understood(selector):
+    with pytest.raises(ValueError):
+        selectors.compiled(selector)
+
+
+def test_selection_and_containment_of_deep_pages(spark):
+    deep = "<div class=a>" * 50_000 + "<ul><li>" * 20_000 + "<em>x</em>"
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "")], "doc_id bigint, html string")
+    start = time.time()
+    rows = selectors.select_elements(df, {"em": "div.a li em", "first": "div"}).groupBy("doc_id", "name").count().collect()
+    assert sorted((r.doc_id, r.name, r["count"]) for r in rows) == [(1, "em", 1), (1, "first", 50_000)]
+    inside = {(r.outer_tag, r.inner_tag): r.n for r in selectors.containment(df, ["div", "ul"], ["li", "em"]).collect()}
+    assert inside == {("div", "li"): 50_000 * 20_000, ("ul", "li"): 20_000 * 20_001 // 2, ("div", "em"): 50_000, ("ul", "em"): 20_000}
+    assert time.time() - start < 60

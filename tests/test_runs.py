@@ -234,3 +234,48 @@ def test_witnesses(spark, code, confirmed):
     rows = made["adjudication"].collect()
     assert [(r["check_id"], r["confirmed"]) for r in rows] == [(code, confirmed)]
     assert made["findings"].count() == 2
+
+
+def test_history_partitions_are_pruned(spark, tmp_path):
+    line = '{"version": 2, "iterations": [{"iteration": 0, "findings": [{"checkId": "C", "severity": "warn"}]}]}'
+    rows = [(line, "acme", "p1", "2026-01-01T00"), ("{broken", "acme", "p1", "2026-01-02T00"), (line, "acme", "p2", "draft"), (line, "other", "p1", "2026-01-01T00")]
+    spark.createDataFrame(rows, "value string, brand_key string, slug_key string, run_time string").write.partitionBy("brand_key", "slug_key", "run_time").text(str(tmp_path / "h"))
+    df = src_runs.load_run_history(spark, str(tmp_path / "h"), "Acme")
+    assert [(r["slug_key"], r["version"], r["findings"][0]["checkId"]) for r in df.collect()] == [("p1", 2, "C")]
+    scan = next(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "brand_key" in scan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_run_tables_written_again_leave_one_copy(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "2026-01"), (2, "a", "2026-02"), (3, "b", "2026-01")], "doc_id int, brand string, run_date string")
+    path = str(tmp_path / "t")
+    for batch, part in (("x", rows), ("y", rows.filter("doc_id = 1")), ("x", rows), ("y", rows.filter("doc_id = 1"))):
+        src_runs.write_run_table(part, path, batch)
+    got = sorted((r["batch"], r["doc_id"]) for r in spark.read.parquet(path).collect())
+    assert got == [("x", 1), ("x", 2), ("x", 3), ("y", 1)]
+
+
+def test_whole_run_of_two_posts(spark):
+    from inkgauge.plans.run import full_run
+
+    pages = [(1, "Acme", "one", "<body><article><p>It was robust — and we delve — into a myriad of things here.</p></article></body>"), (2, None, None, None)]
+    posts = spark.createDataFrame(pages, "doc_id bigint, brand string, slug string, html string")
+    alone = full_run(posts, "2026-01-01T00:00:00Z")
+    assert {(r["doc_id"], r["version"], r["iterations"], r["fixed"]) for r in alone.reports.collect()} == {(1, 1, 1, 0), (2, 1, 1, 0)}
+    assert alone.adjudication is None and alone.final.count() == 0 and alone.instructions.count() == 2
+    prior = spark.createDataFrame([(1, 0, "A4_canonical_tag", "warn"), (1, 1, "X", "fail")], "doc_id bigint, ord int, check_id string, severity string")
+    runs = spark.createDataFrame([(1, "2025-01-01T00:00:00Z"), (1, "2025-02-01T00:00:00Z")], "doc_id bigint, started_at string")
+    outside = spark.createDataFrame([(1, "writer:F2", "critical", "e"), (1, "writer:zz", "warn", "e")], "doc_id bigint, check_id string, severity string, evidence string")
+    run = full_run(posts, "2026-01-01T00:00:00Z", runs, prior, outside)
+    one = run.reports.filter("doc_id = 1").first()
+    assert (one["version"], one["is_final"], one["fixed"], one["unresolved"], one["regressed"], one["verdict"]) == (3, True, 1, 0, 1, "block")
+    import json
+
+    record = json.loads(run.final.first()["summary"])
+    assert record["version_history"] == ["2025-01-01T00:00:00Z", "2025-02-01T00:00:00Z", "2026-01-01T00:00:00Z"] and record["paragraph_metrics"][0]["em_dashes"] == 2
+    payload = json.loads(run.instructions.filter("doc_id = 1").first()["payload"])
+    dash = [i for i in payload["instructions"] if i["check_id"] == "H_em_dash_overuse"]
+    assert [i["evidence"].endswith("; paragraph 1 of 1") for i in dash] == [True] and dash[0]["action"] == "apply_patch"
+    assert payload["fix_order"][0] in {i["check_id"] for i in payload["instructions"] if i["severity"] == "critical"}
+    assert [r["check_id"] for r in payload["regressions"]] == ["A4_canonical_tag"] and payload["meta"]["next_version"] == 4
+    assert [(r["check_id"], r["confirmed"]) for r in run.adjudication.collect()] == [("writer:F2", True)]
