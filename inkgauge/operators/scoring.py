@@ -43,6 +43,23 @@ def score_humanization_signals(findings: DataFrame, posts: DataFrame, keys: list
     return score_by_key(findings, posts, keys, ["humanization"], dims.STYLE_PENALTY, "humanization")
 
 
+def score_posts(findings: DataFrame, posts: DataFrame, keys: list[str]) -> DataFrame:
+    """technical, humanization and critical_count of every post from one grouping of the findings."""
+    severity, layer = F.col("severity"), F.col("layer")
+    page = F.when(layer.isin("technical", "eeat"), penalty(severity, dims.PAGE_PENALTY))
+    style = F.when(layer == "humanization", penalty(severity, dims.STYLE_PENALTY))
+    sums = findings.groupBy(*keys).agg(
+        F.sum(page).alias("page_lost"), F.sum(style).alias("style_lost"), F.count_if(severity == "critical").cast("int").alias("critical_count")
+    )
+
+    def left(lost: str) -> Column:
+        return F.greatest(F.lit(0), 100 - F.coalesce(lost, F.lit(0))).cast("int")
+
+    return posts.join(sums, keys, "left").select(
+        *posts.columns, left("page_lost").alias("technical"), left("style_lost").alias("humanization"), F.coalesce("critical_count", F.lit(0)).alias("critical_count")
+    )
+
+
 def array_score(found: Column, layers: list[str], table: dict[str, int]) -> Column:
     """The same score from the findings array of one row."""
     lost = F.aggregate(
@@ -128,8 +145,9 @@ def first_criticals(findings: DataFrame, keys: list[str], k: int = 3) -> DataFra
 
 
 def derive_verdict(findings: DataFrame, scores: DataFrame, keys: list[str], target: int = dims.TARGET_SCORE) -> DataFrame:
-    counted = count_critical(findings, keys)
-    df = scores.join(counted, keys, "left").join(first_criticals(findings, keys), keys, "left")
+    if "critical_count" not in scores.columns:
+        scores = scores.join(count_critical(findings, keys), keys, "left")
+    df = scores.join(first_criticals(findings, keys), keys, "left")
     n = F.coalesce("critical_count", F.lit(0))
     return df.select(
         *keys, "overall", n.alias("critical_count"),

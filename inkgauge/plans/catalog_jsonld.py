@@ -44,11 +44,13 @@ QUERIES["entity_types"] = (
 )
 TREE = """ok AS (SELECT doc_id, json(jsonld) AS j FROM synth_jsonld WHERE json_valid(jsonld)),
 tree AS (SELECT doc_id, t.key, t.value, t.type, t.fullkey, t.id, t.parent FROM ok, json_tree(j) t)"""
+_KIND = "case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'ARRAY' then case when json_array_length(value) = 0 then 'empty_array' else 'array' end else 'number' end"
 QUERIES["walk_nodes"] = (
-    lambda spark, sf: sh.nodes_table(walked(spark, sf)).filter("kind = 'object'").select(
-        "doc_id", "path", F.array_join(F.sort_array("keys"), ",").alias("keys")
-    ),
-    over(f"WITH {TREE} SELECT doc_id, replace(fullkey, '\"', '') AS path, array_to_string(list_sort(json_keys(value)), ',') AS keys FROM tree WHERE type = 'OBJECT'"),
+    lambda spark, sf: sh.nodes_table(walked(spark, sf)).select("doc_id", "path", "kind", F.array_join(F.sort_array("keys"), ",").alias("keys")),
+    # Objects anywhere, and whatever else stands at the top, in a list at the top, or in the graph.
+    over(f"""WITH {TREE}, named AS (SELECT *, replace(fullkey, '"', '') AS path FROM tree)
+      SELECT doc_id, path, 'object' AS kind, array_to_string(list_sort(json_keys(value)), ',') AS keys FROM named WHERE type = 'OBJECT'
+      UNION ALL SELECT doc_id, path, {_KIND}, '' FROM named WHERE type <> 'OBJECT' AND (path = '$' OR regexp_matches(path, '^\\$(?:\\.@graph)?\\[[0-9]+\\]$'))"""),
 )
 
 _SPECS = "specs(type, tier, field, nth) AS (VALUES " + ", ".join(

@@ -100,10 +100,13 @@ QUERIES["count_critical"] = (
 )
 
 
+def overall_scores(spark, sf) -> DataFrame:
+    df = sc.score_posts(findings(spark, sf), keys(spark, sf), RUN).withColumn("quality", (F.lit(40) + F.col("run_id") % 61).cast("int"))
+    return df.select("run_id", sc.overall(F.col("technical"), F.col("humanization"), F.col("quality")).alias("overall"), "critical_count")
+
+
 def verdicts(spark, sf) -> DataFrame:
-    df = three_scores(spark, sf)
-    scores = df.select("run_id", sc.overall(F.col("technical"), F.col("humanization"), F.col("quality")).alias("overall"))
-    return sc.derive_verdict(findings(spark, sf), scores, RUN, target=80)
+    return sc.derive_verdict(findings(spark, sf), overall_scores(spark, sf), RUN, target=80)
 
 
 OVERALL = "ov AS (SELECT run_id, cast(floor(round(technical * 0.35 + humanization * 0.4 + quality * 0.25, 10) + 0.5) as int) AS overall FROM three)"
@@ -135,7 +138,7 @@ QUERIES["usage_cost"] = (
 
 def reports(spark, sf) -> DataFrame:
     """One row per run with score, verdict, version and diff counts."""
-    v = verdicts(spark, sf).withColumnRenamed("overall", "final_score")
+    v = overall_scores(spark, sf).withColumn("verdict", sc.verdict(F.col("critical_count"), F.col("overall"), 80)).withColumnRenamed("overall", "final_score")
     versioned = li.version_lineage(runs(spark, sf), ["brand", "slug"], "started", "run_id")
     counts = li.status_counts(diffs(spark, sf), RUN)
     return versioned.join(v, "run_id").join(counts, "run_id", "left").fillna(0, ["fixed", "unresolved", "regressed"])

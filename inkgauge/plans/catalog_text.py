@@ -209,7 +209,11 @@ def rules_in_use(spark, sf) -> DataFrame:
 def _other_rules() -> list[tuple[str, str, str]]:
     rows = [("format", k, v) for k, v in dims.FORMAT_SYNONYMS.items()]
     rows += [("entity_field", f"{t}.{tier}", f) for t, tiers in dims.ENTITY_FIELDS.items() for tier, fields in zip(dims.FIELD_TIERS, tiers) for f in fields]
-    rows += [(kind, k, str(v[i])) for k, v in dims.BANDS.items() for kind, i in (("band_min", 0), ("band_max", 2))]
+    rows += [(kind, k, str(v[i]).lower()) for k, v in dims.BANDS.items() for kind, i in (("band_min", 0), ("band_target", 1), ("band_max", 2), ("band_toc", 4), ("band_faq", 5))]
+    rows += [("band_type", k, t) for k, v in dims.BANDS.items() for t in v[3]]
+    cited = dict(dims.CITATIONS) | {k: dims.CITATIONS[v] for k, v in dims.CITATION_ALIAS.items()}
+    cited |= {f"D_{t}_missing_{tier}": dims.CITATIONS["D6_required_fields"] for t in dims.ENTITY_FIELDS for tier in ("required", "google_required")}
+    rows += [(kind, k, str(n)) for k, v in cited.items() for kind, ids in zip(("citation_rule", "citation_pattern"), v) for n in ids]
     rows += [("rubric_weight", k, str(v[3])) for k, v in dims.RUBRIC.items()]
     return rows + [("witness", code, own) for code, owns in dims.WITNESSES.items() for own in owns]
 
