@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inkgauge import dims
-from inkgauge.operators import findings as fnd, lineage as li, scoring as sc
+from inkgauge.operators import findings as fnd, lineage as li, scoring as sc, structure as st
 from inkgauge.plans import duck as D
-from inkgauge.plans.catalog_audit import ALL, SCORED, posts
+from inkgauge.plans.audit import audit
+from inkgauge.plans.catalog_audit import ALL, SCORED, _points, posts
 from inkgauge.plans.catalog_pages import BARE, QUERIES as PAGES, over
 from inkgauge.plans.catalog_repair import BLOCKS, _offending_sql
 from inkgauge.plans.catalog_runs import RANK, _CLEAN, _PATH
@@ -171,3 +172,23 @@ QUERIES["write_run_tables"] = (
       UNION ALL SELECT 'paragraphs', doc_id FROM ({PAGES['paragraph_blocks'][1]}))
       SELECT name, 'Brand ' || (doc_id % 7) AS brand, '2026-04' AS run_date, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1, 2, 3""",
 )
+
+
+def own_checks(spark, sf) -> DataFrame:
+    """An audit with two families of the library and one of one's own, which reads the elements of the page."""
+    long_lists = fnd.Family(
+        "long_lists",
+        lambda df: df.withColumn("list_items", F.size(F.filter("elements", lambda e: e["tag"] == "li"))),
+        lambda: fnd.collect(fnd.finding("X_long_lists", "technical", "info", "static", F.format_string("%d list items", F.col("list_items")), F.col("list_items") > 3)),
+    )
+    reports = audit(posts(spark, sf), families=[st.STRUCTURE, st.META, long_lists])
+    return reports.select("doc_id", "technical", F.size("found").alias("n"), F.exists("found", lambda f: f["check_id"] == "X_long_lists").alias("long_lists"))
+
+
+_OWN = f"""SELECT doc_id, check_id, severity FROM ({PAGES['detect_structure'][1]}) UNION ALL SELECT doc_id, check_id, severity FROM ({PAGES['detect_meta'][1]})
+  UNION ALL SELECT doc_id, 'X_long_lists', 'info' FROM ({over(f"WITH {BARE} SELECT doc_id FROM p WHERE len(regexp_extract_all(bare, '<li[ >]')) > 3")})"""
+QUERIES["detector_registration"] = (
+    own_checks,
+    f"""SELECT page_id AS doc_id, cast(greatest(0, 100 - coalesce(sum({_points(dims.PAGE_PENALTY)}), 0)) as int) AS technical, cast(count(check_id) as int) AS n,
+      coalesce(bool_or(check_id = 'X_long_lists'), false) AS long_lists FROM pages LEFT JOIN ({_OWN}) f ON f.doc_id = page_id GROUP BY page_id""",
+)
