@@ -12,8 +12,9 @@ read off a keyed permutation of the source's blocks: shards get disjoint runs of
 documents stand in a keyed random order.
 
 Nothing follows the number of documents of a source but sums: a source's line is cut into buckets by the order's
-leading bits, sums of buckets are added up, and documents are placed within their bucket. The tree handles sources in
-groups of a thousand; first the groups' totals are split, then each group by itself.
+leading bits, sums of buckets are added up in two levels, and documents are placed within their bucket. The tree handles
+sources in groups of a thousand: at each node the groups' totals are split, then each group by itself. Blocks are doubled
+while there would be a thousand million of them.
 
 Defined cases: a null text has no words and is never taken; a null source is a source, the last; repeated rows are
 rows of their own; a source without words gets nothing; an empty table gives empty results.
@@ -21,6 +22,8 @@ rows of their own; a source without words gets nothing; an empty table gives emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +37,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCK, BLOCKS_PER_SHARD = 32_768, 64
 SEED = 5
 GROUP, ROWS_PER_BUCKET = 1000, 500
+#: Levels of the tree that one task splits at a time, and the number of blocks up to which draws are exact.
+LEVELS, MOST_BLOCKS = 8, 10**9
 
 
 def ranked_sources(sized: DataFrame) -> DataFrame:
@@ -76,59 +81,101 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return stage(sources.select("source", "source_size", "rank", target.alias("target"), F.round(target).cast("long").alias("quota")), "targets")
 
 
+def _halved(have: np.ndarray, draws: int, seed: list[int]) -> np.ndarray:
+    """How many of each colour are among ``draws`` drawn without putting back."""
+    return np.random.default_rng(seed).multivariate_hypergeometric(have, draws, method="marginals")
+
+
 def split_tree(quotas: np.ndarray, room: np.ndarray, seed: list[int]) -> np.ndarray:
-    """counts[i, s]: how many of quotas[i] go to shard s, whose room adds up to the quotas' sum."""
-    if quotas.sum() >= 10**9:
-        raise ValueError("more than a thousand million blocks: take larger blocks")
+    """counts[i, s]: how many of quotas[i] go to shard s, whose room adds up to the quotas' sum; for few shards."""
     out = np.zeros((len(quotas), len(room)), np.int64)
-
-    def split(low: int, high: int, have: np.ndarray) -> None:
-        if not have.any():
-            return
+    todo = [(0, len(room), quotas.astype(np.int64))] if len(room) else []
+    while todo:
+        low, high, have = todo.pop()
         if high - low == 1:
             out[:, low] = have
-            return
-        middle = (low + high) // 2
-        rng = np.random.default_rng([*seed, low, high])
-        left = rng.multivariate_hypergeometric(have, int(room[low:middle].sum()), method="marginals")
-        split(low, middle, left)
-        split(middle, high, have - left)
-
-    if len(room):
-        split(0, len(room), quotas.astype(np.int64))
+        elif have.any():
+            middle = (low + high) // 2
+            left = _halved(have, int(room[low:middle].sum()), [*seed, low, high])
+            todo += [(low, middle, left), (middle, high, have - left)]
     return out
 
 
+NODE = "group bigint, low bigint, high bigint, totals array<bigint>, ranks array<bigint>, blocks array<bigint>, start array<bigint>, have array<bigint>"
+
+
+def _subtree(node: dict, own: int, levels: int, room, seed: int) -> Iterator[dict]:
+    """The nodes ``levels`` below a node of the tree, or its leaves.
+
+    ``totals``: blocks of each group of sources in the node's shards; ``have``: of each source of the node's own group,
+    ``start`` of them in shards before. Draws depend on seed, group and range alone, so every group finds the same totals.
+    """
+    todo = [(node["low"], node["high"], levels, *(np.array(node[c], np.int64) for c in ("totals", "start", "have")))]
+    while todo:
+        low, high, depth, totals, start, have = todo.pop()
+        if not have.any():
+            continue
+        if high - low == 1 or not depth:
+            yield {**node, "low": low, "high": high, "totals": totals, "start": start, "have": have}
+            continue
+        middle = (low + high) // 2
+        left_totals = _halved(totals, room(low, middle), [seed, 0, low, high])
+        left = _halved(have, int(left_totals[own]), [seed, 1, node["group"], low, high])
+        todo += [(low, middle, depth - 1, left_totals, start, left), (middle, high, depth - 1, totals - left_totals, start + left, have - left)]
+
+
 def block_plan(sources: DataFrame, block: int = BLOCK, per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """rank, block, shard: every block of every quota, each in one shard."""
+    """rank, block, shard: every block of every quota, each in one shard.
+
+    The tree is split ``LEVELS`` levels at a time, each node by a task of its own; what a node holds is the counts of one
+    group of sources, whatever the number of shards. A leaf is a run of a source's permuted blocks.
+    """
+    spark = sources.sparkSession
     counted = sources.where("quota > 0").select(
         "rank", F.ceil(F.col("quota") / block).cast("long").alias("blocks"), F.floor(F.col("rank") / GROUP).cast("long").alias("group")
     )
-    groups = counted.groupBy("group").agg(F.sum("blocks").alias("total")).withColumn("all", F.lit(0))
+    # One number per thousand sources.
+    groups = sorted((r["group"], r["n"]) for r in counted.groupBy("group").agg(F.sum("blocks").alias("n")).collect())
+    place, totals = {g: i for i, (g, _) in enumerate(groups)}, [n for _, n in groups]
+    total = sum(totals)
+    shards = -(-total // per_shard)
+    each, more = divmod(total, max(shards, 1))
+
+    def room(low: int, high: int) -> int:
+        return (high - low) * each + min(max(more - low, 0), high - low)
+
+    member = F.array_sort(F.collect_list(F.struct("rank", "blocks")))
+    nodes = counted.groupBy("group").agg(member.alias("m")).select(
+        "group", F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high"), F.array(*[F.lit(n).cast("long") for n in totals]).cast("array<bigint>").alias("totals"),
+        F.col("m.rank").alias("ranks"), F.col("m.blocks").alias("blocks"), F.transform("m", lambda x: F.lit(0).cast("long")).alias("start"), F.col("m.blocks").alias("have"),
+    )
+
+    def descend(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            for node in table.to_dict("records"):
+                made = list(_subtree(node, place[node["group"]], LEVELS, room, seed))
+                for k in range(0, len(made), 64):
+                    yield pd.DataFrame(made[k : k + 64])
+
+    for _ in range(max(1, -(-max(shards - 1, 1).bit_length() // LEVELS))):
+        nodes = stage(nodes.repartition("group", "low").mapInPandas(descend, NODE), "mix-nodes")
+    runs = nodes.select(F.col("low").alias("shard"), F.explode(F.arrays_zip("ranks", "blocks", "start", "have")).alias("r")).where("r.have > 0")
 
-    def rooms(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("group")
-        total = int(table["total"].sum())
-        shards = -(-total // per_shard)
-        room = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
-        split = split_tree(table["total"].to_numpy(), room, [seed, 0])
-        return pd.DataFrame({"group": table["group"], "room": [r.tolist() for r in split]})
+    def permuted(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            for rank, n, start, have, shard in table.itertuples(index=False):
+                order = permute(np.arange(start, start + have), int(n), seed * 1_000_003 + int(rank))
+                yield pd.DataFrame({"rank": rank, "block": order, "shard": shard})
 
-    # One number per thousand sources comes together here.
-    room = groups.groupBy("all").applyInPandas(rooms, "group bigint, room array<bigint>")
+    return runs.select("r.ranks", "r.blocks", "r.start", "r.have", "shard").mapInPandas(permuted, "rank bigint, block bigint, shard bigint")
 
-    def assign(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("rank")
-        quotas = table["blocks"].to_numpy()
-        split = split_tree(quotas, np.array(table["room"].iloc[0], np.int64), [seed, 1, int(key[0])])
-        parts = []
-        for rank, n, row in zip(table["rank"], quotas, split):
-            order = permute(np.arange(n), int(n), seed * 1_000_003 + int(rank))
-            shard = np.repeat(np.arange(len(row)), row)
-            parts.append(pd.DataFrame({"rank": rank, "block": order, "shard": shard}))
-        return pd.concat(parts)
 
-    return counted.join(room, "group").groupBy("group").applyInPandas(assign, "rank bigint, block bigint, shard bigint")
+def fitting_block(sources: DataFrame, block: int = BLOCK) -> int:
+    """``block``, doubled while all quotas together would be ``MOST_BLOCKS`` blocks or more: draws are exact below that."""
+    words = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k")).first()
+    while words["n"] // block + words["k"] >= MOST_BLOCKS and block < words["n"]:
+        block *= 2
+    return block
 
 
 def _sized(docs: DataFrame, *more: str) -> DataFrame:
@@ -139,19 +186,28 @@ def _sized(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _bucket_offsets(sums: DataFrame, span: int) -> DataFrame:
+    """rank, bucket and the words before each bucket of its source: within spans of buckets, and before each span."""
+    sums = sums.withColumn("span", F.floor(F.col("bucket") / span))
+    spans = sums.groupBy("rank", "span").agg(F.sum("n").alias("m"))
+    spans = spans.select("rank", "span", (F.sum("m").over(Window.partitionBy("rank").orderBy("span")) - F.col("m")).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy("rank", "span").orderBy("bucket")) - F.col("n")
+    return sums.withColumn("inside", inside).join(spans, ["rank", "span"]).select("rank", "bucket", (F.col("earlier") + F.col("inside")).alias("before"))
+
+
 def segments(rows: DataFrame, sources: DataFrame, block: int = BLOCK, per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """The mix: shard, position, row_id, doc_id, rank, pass, block, from_word, to_word (of the document).
 
     ``rows``: row_id, doc_id, source, size, mixed, tie.
     """
+    block = fitting_block(sources, block)
     buckets = max(64, 1 << (rows.count() // ROWS_PER_BUCKET).bit_length())
     bits = buckets.bit_length() - 1
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).where("size > 0").select(
         "row_id", "doc_id", "rank", "size", "mixed", "tie", "source_size", "quota", F.shiftrightunsigned("mixed", 64 - bits).alias("bucket")
     )
     placed = stage(placed, "mix-rows")
-    offsets = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
-    offsets = stage(offsets.select("rank", "bucket", (F.sum("n").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("n")).alias("before")), "mix-buckets")
+    offsets = stage(_bucket_offsets(placed.groupBy("rank", "bucket").agg(F.sum("size").alias("n")), 1 << (bits // 2)), "mix-buckets")
     inside = Window.partitionBy("rank", "bucket").orderBy("mixed", "tie", "row_id")
     line = placed.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).join(
         offsets, ["rank", "bucket"]

@@ -462,3 +462,46 @@ def test_every_language_is_fitted(spark):
     assert languages == ["de", "en"]
     sample = lang_id._bounded_sample(documents(spark, rows).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")), 100)
     assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {"de": 3, "en": 100}
+
+
+def test_plan_of_many_shards_is_the_tree_and_bounded(spark):
+    """The node-wise plan gives each shard what one tree in memory gives; blocks are dealt once each."""
+    rng = random.Random(6)
+    quota = {rank: rng.choice([0, 1, 40, 900, 20_000]) for rank in range(2300)}
+    sources = spark.createDataFrame(list(quota.items()), "rank bigint, quota bigint")
+    got = mixing.block_plan(sources, block=10, per_shard=7).collect()
+    blocks = {r: -(-q // 10) for r, q in quota.items() if q}
+    assert len(got) == sum(blocks.values()) == len({(r.rank, r.block) for r in got})
+    assert all(0 <= r.block < blocks[r.rank] for r in got)
+    shards = -(-len(got) // 7)
+    room = np.full(shards, len(got) // shards) + (np.arange(shards) < len(got) % shards)
+    assert np.bincount([r.shard for r in got], minlength=shards).tolist() == room.tolist()
+    groups = sorted({r // 1000 for r in blocks})
+    totals = np.array([sum(n for r, n in blocks.items() if r // 1000 == g) for g in groups])
+    split = mixing.split_tree(totals, room, [mixing.SEED, 0])
+    mine = sorted(r for r in blocks if r // 1000 == groups[1])
+    want = mixing.split_tree(np.array([blocks[r] for r in mine]), split[1], [mixing.SEED, 1, groups[1]])
+    counts = np.zeros_like(want)
+    for r in got:
+        if r.rank // 1000 == groups[1]:
+            counts[mine.index(r.rank), r.shard] += 1
+    assert (counts == want).all()
+
+
+def test_blocks_grow_with_the_corpus(spark):
+    sources = spark.createDataFrame([(0, 10**15), (1, 5)], "rank bigint, quota bigint")
+    block = mixing.fitting_block(sources)
+    assert block % mixing.BLOCK == 0 and 10**15 // block < 10**9 <= 10**15 // block * 2 + 2
+    assert mixing.fitting_block(spark.createDataFrame([], "rank bigint, quota bigint")) == mixing.BLOCK
+
+
+def test_bucket_offsets_in_two_levels(spark):
+    rng = random.Random(8)
+    rows = [(r, b, rng.randint(1, 9)) for r in (0, 1) for b in sorted(rng.sample(range(512), 200))]
+    got = {(r["rank"], r.bucket): r.before for r in mixing._bucket_offsets(spark.createDataFrame(rows, "rank bigint, bucket bigint, n bigint"), 16).collect()}
+    for rank in (0, 1):
+        at = 0
+        for r, b, n in rows:
+            if r == rank:
+                assert got[r, b] == at
+                at += n
