@@ -8,7 +8,8 @@ at any distance; what lies within a valid match belongs to the entity and is no
 case, and in scripts without spaces a run of letters is one term. Over all documents, PMI(e, t) =
 log2(N n(e,t) / (n(e) n(t))) says how much t tells about e, and IC(e) = log2(N / n(e)) how much there is to tell; n
 counts documents. Their ratio is 1 when t occurs nowhere but beside e. From ``GENERALISE`` on the term is
-replaced by its class, from ``REMOVE`` on it is removed: the highest ratio of the term counts, and every occurrence in
+replaced by its class (the longest beginning that is frequent enough not to give the entity away, see ``classes``),
+from ``REMOVE`` on it is removed: the highest ratio of the term counts, and every occurrence in
 every text is marked, also where the entity is not mentioned. A term must be seen in ``SUPPORT`` documents, as one
 document is no statistic. Base spans always stay.
 
@@ -33,6 +34,9 @@ from inkgauge.llm.common import stage, whole_text
 
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 SIEVE = 1 << 22
+#: Beginnings of terms up to this many characters can be classes.
+LONGEST_BEGINNING = 12
+STRETCH = 4096
 KINDS = ["email", "ip", "card", "phone", "term"]
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -167,8 +171,9 @@ def term_documents(plain: DataFrame, beside: DataFrame) -> DataFrame:
 
 
 def disclosure(plain: DataFrame, near: DataFrame, mentions: DataFrame, n_docs: int, support: int = SUPPORT,
-               least: float = GENERALISE) -> DataFrame:
-    """entity, term and ratio from ``least`` on: the share of what there is to tell about an entity that a term tells."""
+               least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """entity, term, n_e and ratio from ``least`` on: the share of what there is to tell about an entity that a term
+    tells; and the documents of each term."""
     beside = stage(near.select("row_id", "term").distinct(), "pii-beside")
     n = F.lit(float(max(n_docs, 2)))
     # No pair with a term of more documents reaches the least ratio; the margin is for rounding.
@@ -189,7 +194,28 @@ def disclosure(plain: DataFrame, near: DataFrame, mentions: DataFrame, n_docs: i
     )
     told = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
     there = F.log2(n / F.col("n_e"))
-    return pairs.select("entity", "term", (told / there).alias("ratio")).where(F.col("ratio") >= least)
+    return pairs.select("entity", "term", "n_e", (told / there).alias("ratio")).where(F.col("ratio") >= least), n_t
+
+
+def classes(risky: DataFrame, n_t: DataFrame, n_docs: int, least: float = GENERALISE) -> DataFrame:
+    """term and class of the terms to generalise: the longest beginning of the term that is frequent enough.
+
+    A beginning stands for all terms that begin so, in n documents at least as many as the most frequent of them. What
+    it tells about an entity e is at most log2(N / n) / log2(N / n(e)), as no more than n(e) documents hold both; it is
+    taken where that is below the limit for every entity that the term gives away. A term without such a beginning is
+    only called a term.
+    """
+    n = float(max(n_docs, 2))
+    starts = risky.where(F.length("term") > 1).select(
+        "term", "n_e", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda k: F.left(F.col("term"), k))).alias("k", "start")
+    )
+    starts = stage(starts, "pii-beginnings")
+    longest = F.array(*[F.lit(k) for k in range(1, LONGEST_BEGINNING + 1)])
+    every = n_t.select("n_t", F.explode(F.array_distinct(F.transform(longest, lambda k: F.left(F.col("term"), k)))).alias("start"))
+    counted = every.join(starts.select("start").distinct(), "start").groupBy("start").agg(F.max("n_t").alias("n"))
+    below = F.log2(F.lit(n) / F.col("n")) < least * F.log2(F.lit(n) / F.col("n_e"))
+    chosen = starts.join(counted, "start").where(below).groupBy("term").agg(F.max_by("start", "k").alias("start"))
+    return risky.join(chosen, "term", "left").select("term", F.coalesce(F.concat("start", F.lit("*")), F.lit("[TERM]")).alias("class"))
 
 
 def _sieve(risky: DataFrame):
@@ -245,26 +271,32 @@ def _terms_elsewhere(plain: DataFrame, holds) -> DataFrame:
 
 def found_spans(docs: DataFrame, keep_text: bool = False, generalise: float = GENERALISE, remove: float = REMOVE,
                 support: int = SUPPORT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, spans: array of (start, rank, end, kind, action), in order."""
+    """One row per row of ``docs``: doc_id, spans: array of (start, rank, end, kind, action, mark, cut_start, cut_end), in order."""
     listed = _listed(docs)
     matched, plain = listed.where(F.size("pieces") > 0), listed.where(F.size("pieces") == 0)
     mentions = stage(base_mentions(listed), "pii-mentions")
     near = stage(_terms_beside(matched, mentions), "pii-near")
-    risky = stage(
-        disclosure(plain, near, mentions, listed.count(), support, generalise)
-        .groupBy("term").agg(F.max("ratio").alias("ratio")), "pii-risky"
+    n_docs = listed.count()
+    told, n_t = disclosure(plain, near, mentions, n_docs, support, generalise)
+    risky = stage(told.groupBy("term").agg(F.max("ratio").alias("ratio"), F.max("n_e").alias("n_e")), "pii-risky")
+    every = mentions.select(
+        "row_id", "start", "end", "kind", F.lit("replace").alias("action"), F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("mark")
     )
-    every = mentions.select("row_id", "start", "end", "kind", F.lit("replace").alias("action"))
     if holds := _sieve(risky):
         seen = near.unionByName(stage(_terms_elsewhere(plain, holds), "pii-elsewhere"))
-        every = every.unionByName(seen.join(risky, "term").select(
+        named = stage(risky.select("term", "ratio").join(classes(risky, n_t, n_docs, generalise), "term"), "pii-classes")
+        gone = F.col("ratio") >= remove
+        every = every.unionByName(seen.join(named, "term").select(
             "row_id", "start", "end", F.lit("term").alias("kind"),
-            F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action")))
+            F.when(gone, "remove").otherwise("generalise").alias("action"), F.when(gone, "").otherwise(F.col("class")).alias("mark")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    spans = every.groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "action"))).alias("spans")
-    )
-    empty = F.expr("cast(array() as array<struct<start:bigint,rank:bigint,end:bigint,kind:string,action:string>>)")
+    # What is left of a span beyond all spans before it; one that begins within another has no mark of its own.
+    ahead = Window.partitionBy("row_id").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("rank", rank).withColumn("reach", F.coalesce(F.max("end").over(ahead), F.lit(0).cast("bigint")))
+    every = every.withColumn("cut_start", F.greatest("start", "reach")).withColumn("cut_end", F.greatest("end", "reach"))
+    fields = ["start", "rank", "end", "kind", "action", "mark", "cut_start", "cut_end"]
+    spans = every.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("spans"))
+    empty = F.array().cast(spans.schema["spans"].dataType)
     kept = listed.drop("pieces") if keep_text else listed.select("row_id", "doc_id")
     return kept.join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
 
@@ -273,43 +305,50 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and text with every span replaced: [EMAIL], [IP], [CARD], [PHONE], [TERM], or nothing if removed.
+def _cleaned(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced by their marks; overlapping ones as one, by the mark of the first.
 
-    Overlapping spans are replaced as one, by the mark of the first.
+    The text is cut into stretches of ``STRETCH`` characters first, so that reading between two spans costs what lies
+    there and no walk from the start of the text.
     """
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def between(parts: Column, low: Column, high: Column) -> Column:
+        first, last = F.floor(low / STRETCH).cast("int"), F.floor((high - 1) / STRETCH).cast("int")
+        # What lies of a stretch between the two places.
+        read = F.transform(F.sequence(first, last), lambda k: F.substring(
+            F.coalesce(F.get(parts, k), F.lit("")), (F.greatest(low - k * STRETCH, F.lit(0)) + 1).cast("int"),
+            (F.least(high - k * STRETCH, F.lit(STRETCH)) - F.greatest(low - k * STRETCH, F.lit(0))).cast("int")))
+        return F.when(high > low, F.array_join(read, "")).otherwise(F.lit(""))
+
+    def written(parts: Column) -> Column:
+        def before(i: Column) -> Column:
+            return F.coalesce(F.get(spans, i - 1)["cut_end"], F.lit(0).cast("bigint"))
+
+        kept = F.transform(spans, lambda s, i: F.concat(between(parts, before(i), s["cut_start"]), F.when(s["cut_start"] == s["start"], s["mark"]).otherwise("")))
+        return F.concat(F.array_join(kept, ""), between(parts, F.coalesce(F.try_element_at(spans, F.lit(-1))["cut_end"], F.lit(0).cast("bigint")), F.length(text).cast("bigint")))
+
+    # Most texts have no spans: they stay as they are.
+    return F.when(F.size(spans) == 0, text).otherwise(let(stretches, written))
+
+
+def sanitised(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and text with every span replaced: [EMAIL], [IP], [CARD], [PHONE], the class of a term, or nothing if
+    removed. Overlapping spans are replaced as one, by the mark of the first."""
     rows = found_spans(docs, keep_text=True, **options)
-    spans = F.col("spans")
-
-    def covered(done: Column) -> Column:
-        return F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0).cast("bigint"))
-
-    # What is left of a span beyond all spans before it; spans that lie within others vanish.
-    reach = F.aggregate(
-        spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint,mark:string>>)"),
-        lambda done, s: F.concat(done, F.array(F.struct(
-            F.greatest(s["start"], covered(done)).alias("start"),
-            F.greatest(s["end"], covered(done)).alias("end"),
-            F.when(s["start"] < covered(done), F.lit(""))
-            .when(s["action"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("mark"),
-        ))),
-    )
-    rows = rows.withColumn("cuts", reach)
-    cuts = F.col("cuts")
-    kept = F.transform(cuts, lambda c, i: F.concat(
-        F.substring(F.col("text"), (F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)) + 1).cast("int"),
-                    (c["start"] - F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))).cast("int")), c["mark"]))
-    last = F.coalesce(F.try_element_at(cuts, F.lit(-1))["end"], F.lit(0))
-    rest = F.substring(F.col("text"), (last + 1).cast("int"), F.length("text"))
-    return rows.select("doc_id", F.concat(F.array_join(kept, ""), rest).alias("text"))
+    return rows.select("doc_id", _cleaned(F.col("text"), F.col("spans")).alias("text"))
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, number of base matches by kind, digest of the base spans, and all spans as text."""
-    rows = found_spans(docs, **options)
+    """doc_id, number of base matches by kind, digest of the base spans, all spans as text; then the number of terms,
+    how many of them are generalised and removed, and the digest of the sanitised text."""
+    rows = found_spans(docs, keep_text=True, **options)
+    rows = rows.withColumn("sanitised_sha256", F.sha2(_cleaned(F.col("text"), F.col("spans")), 256))
     base = F.filter("spans", lambda s: s["kind"] != "term")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    done = lambda action, name: F.size(F.filter("spans", lambda s: s["action"] == action)).cast("long").alias(name)
     return rows.select(
         "doc_id", *[count(k) for k in KINDS[:4]], F.sha2(spans_text(base), 256).alias("base_sha256"),
-        spans_text(F.col("spans")).alias("spans"), count("term"),
+        spans_text(F.col("spans")).alias("spans"), count("term"), done("generalise", "n_generalised"), done("remove", "n_removed"),
+        "sanitised_sha256",
     )

@@ -206,3 +206,69 @@ def test_chunks_of_any_script_survive_a_shift(spark):
     for r in rows.select("k", exact_dedup.chunks(F.col("a")).alias("a"), exact_dedup.chunks(F.col("b")).alias("b")).collect():
         assert "".join(r.a) == texts[r.k] and len(r.a) > 20
         assert len(set(r.a) & set(r.b)) >= 0.9 * len(r.a), r.k
+
+
+def brute_disclosure(rows):
+    """Ratios of all (entity, term) pairs, from texts of plain lower-case words and addresses."""
+    import math
+    from collections import Counter
+
+    n = len(rows)
+    entities = [{f"email:{w}" for w in t.split() if "@" in w} for _, t in rows]
+    terms = [{w for w in t.split() if "@" not in w} for _, t in rows]
+    n_e, n_t = Counter(e for s in entities for e in s), Counter(t for s in terms for t in s)
+    n_et = Counter((e, t) for es, ts in zip(entities, terms) for e in es for t in ts)
+    return n_e, n_t, {
+        (e, t): math.log2(k * n / (n_e[e] * n_t[t])) / math.log2(n / n_e[e]) for (e, t), k in n_et.items() if k >= 2 and n_e[e] >= 2 and n_t[t] >= 2 and n_e[e] < n
+    }
+
+
+def test_counts_ratios_and_classes_match_brute_force(spark):
+    import math
+
+    rng = random.Random(12)
+    stock = [f"word{chr(97 + i)}{chr(97 + k)}" for i in range(12) for k in range(5)]
+    rows = []
+    for i in range(600):
+        words = rng.choices(stock, k=rng.randint(3, 30))
+        if i % 3 == 0:
+            who = rng.randrange(12)
+            words += [f"person{who}@mail.example"] + [f"secret{'abcdefghijkl'[who]}xx"] * (rng.random() < 0.9) + [f"wordz{'abcdefghijkl'[who]}q"] * (rng.random() < 0.7)
+        if i % 7 == 1:
+            words.append(f"wordz{rng.choice('abcdefghijkl')}q")
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    n_e, n_t, ratios = brute_disclosure(rows)
+    want = {k: r for k, r in ratios.items() if r >= pii.GENERALISE}
+    listed = pii._listed(documents(spark, rows))
+    matched, plain = listed.where(F.size("pieces") > 0), listed.where(F.size("pieces") == 0)
+    mentions = pii.base_mentions(listed)
+    got, terms = pii.disclosure(plain, pii._terms_beside(matched, mentions), mentions, len(rows))
+    assert {(r.entity, r.term): round(r.ratio, 9) for r in got.collect()} == {k: round(r, 9) for k, r in want.items()} and len(want) > 12
+    assert {r.term: r.n_t for r in terms.collect()} == {t: k for t, k in n_t.items() if k >= 2}
+    # Spans: every occurrence of a risky term in every text, removed from 0.95 on.
+    top = {}
+    for (_, t), r in want.items():
+        top[t] = max(top.get(t, 0), r)
+    found = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    for i, text in rows:
+        words = text.split()
+        assert found[i].n_term == sum(w in top for w in words) and found[i].n_removed == sum(top.get(w, 0) >= pii.REMOVE for w in words)
+        assert found[i].n_generalised == found[i].n_term - found[i].n_removed
+    # Classes: frequent enough for every entity that the term gives away, and nothing longer would be.
+    risky = spark.createDataFrame([(t, r, max(n_e[e] for (e, x) in want if x == t)) for t, r in top.items()], "term string, ratio double, n_e bigint")
+    n = len(rows)
+    for r in pii.classes(risky, terms, n).collect():
+        hard = max(n_e[e] for (e, x) in want if x == r.term)
+        holds = [k for k in range(1, min(len(r.term), pii.LONGEST_BEGINNING + 1)) if math.log2(n / max(c for t, c in n_t.items() if c >= 2 and t.startswith(r.term[:k]))) < pii.GENERALISE * math.log2(n / hard)]
+        assert r.__getitem__("class") == (r.term[: max(holds)] + "*" if holds else "[TERM]")
+        # The class tells less than the limit of each of those entities.
+        if holds:
+            start = r.term[: max(holds)]
+            docs = [{f"email:{w}" for w in t.split() if "@" in w} for _, t in rows if any(w.startswith(start) for w in t.split())]
+            for e in {e for (e, x) in want if x == r.term}:
+                k = sum(e in s for s in docs)
+                assert math.log2(k * n / (n_e[e] * len(docs))) / math.log2(n / n_e[e]) < pii.GENERALISE
+    clean = {r.doc_id: r.text for r in pii.sanitised(documents(spark, rows)).collect()}
+    assert all(hashlib.sha256(clean[i].encode()).hexdigest() == found[i].sanitised_sha256 and "@" not in clean[i] for i, _ in rows)
+    assert any("wordz*" in t or "word*" in t for t in clean.values())
