@@ -12,7 +12,8 @@ from inkgauge.plans.catalog_audit import ALL, SCORED, _points, posts
 from inkgauge.plans.catalog_pages import BARE, QUERIES as PAGES, over
 from inkgauge.plans.catalog_repair import BLOCKS, _offending_sql
 from inkgauge.plans.catalog_runs import RANK, _CLEAN, _PATH
-from inkgauge.plans.fixtures import fixture, with_fixtures
+from inkgauge.plans.fixtures import ADA, SOUND_PAGES, SYNTH_PAGES, fixture, sound_jsonld, with_fixtures
+from inkgauge.plans.rounds import audit_rounds
 from inkgauge.plans.run import Run, full_run
 from inkgauge.session import fresh_path
 from inkgauge.sources import runs as src_runs
@@ -192,3 +193,42 @@ QUERIES["detector_registration"] = (
     f"""SELECT page_id AS doc_id, cast(greatest(0, 100 - coalesce(sum({_points(dims.PAGE_PENALTY)}), 0)) as int) AS technical, cast(count(check_id) as int) AS n,
       coalesce(bool_or(check_id = 'X_long_lists'), false) AS long_lists FROM pages LEFT JOIN ({_OWN}) f ON f.doc_id = page_id GROUP BY page_id""",
 )
+
+
+# --- rounds -----------------------------------------------------------------------------------
+
+
+def rounds(spark, sf) -> DataFrame:
+    pages = fixture(spark, sf, "sound_pages")
+    sentence = pages.select("doc_id", F.lit("sentence").alias("kind"), F.lit("The robust plan held.").alias("before"), F.lit("The sturdy plan held.").alias("after"))
+    out = audit_rounds(pages, rewrites=sentence, today="2026-04-30")
+    return out.select("doc_id", "iteration", "overall", "delta", "critical_count", "planned", "applied", "stop_reason")
+
+
+def _rounds_sql() -> str:
+    """Two rounds by hand: the pages as they are, and the pages with every planned patch made."""
+    required, google, advised = dims.ENTITY_FIELDS["BlogPosting"]
+    # Members that can be set, and where they are missing.
+    known = {
+        "author": ("page_id % 2 <> 0", f"""', "author": {ADA}'"""), "image": ("true", """', "image": "/own.png"'"""),
+        "dateModified": ("true", """', "dateModified": "2026-04-30"'"""), "description": ("true", """', "description": "D"'"""),
+        "mainEntityOfPage": ("true", """', "mainEntityOfPage": "https://site.example.com/p"'"""), "inLanguage": ("true", """', "inLanguage": "en-US"'"""),
+    }
+    asked = [known[f] for f in [x for x in google if x in ("author", "image")] + [x for x in advised if x in ("dateModified", "description", "mainEntityOfPage", "inLanguage")]]
+    members = " || ".join(f"case when {when} then {text} else '' end" for when, text in asked)
+    titles = """'<meta property="og:title" content="T"><meta property="og:type" content="article">' || case when page_id % 4 <> 0 then '<meta property="og:description" content="D">' else '' end"""
+    columns = "brand, cast(null as varchar) AS brand_website, slug, cast(null as varchar) AS format, cast(null as varchar) AS topic, cast(null as varchar) AS primary_keyword, cast(null as int) AS word_count"
+    base = f"(SELECT doc_id AS page_id, brand, slug, html FROM ({SOUND_PAGES.strip()}))"
+    before = f"SELECT page_id AS doc_id, {columns}, html, {sound_jsonld()} AS jsonld FROM {base}"
+    after = f"""SELECT page_id AS doc_id, {columns}, replace(replace(html, '</head>', {titles} || '</head>'), 'The robust plan held.', 'The sturdy plan held.') AS html,
+      {sound_jsonld(members)} AS jsonld FROM {base}"""
+    scored = [SCORED.replace(SYNTH_PAGES.strip(), pages) + " SELECT doc_id, overall, critical_count FROM v" for pages in (before, after)]
+    planned = "case when doc_id % 5 = 0 then 1 else 0 end + 2 + case when doc_id % 4 <> 0 then 1 else 0 end + " + " + ".join(
+        f"case when {when.replace('page_id', 'doc_id')} then 1 else 0 end" for when, _ in asked
+    )
+    return f"""WITH r0 AS ({scored[0]}), r1 AS ({scored[1]})
+      SELECT doc_id, 0 AS iteration, overall, 0 AS delta, critical_count, cast({planned} as int) AS planned, cast({planned} as int) AS applied, cast(null as varchar) AS stop_reason FROM r0
+      UNION ALL SELECT r1.doc_id, 1, r1.overall, r1.overall - r0.overall, r1.critical_count, 0, 0, 'no_patches' FROM r1 JOIN r0 ON r0.doc_id = r1.doc_id"""
+
+
+QUERIES["audit_rounds"] = (rounds, _rounds_sql())

@@ -11,7 +11,6 @@ from inkgauge.plans import duck as D
 from inkgauge.plans.catalog_pages import BARE, CANON, HEAD_META, LD, META_CTE, over
 from inkgauge.plans.catalog_text import QUERIES as TEXTS_Q, texts
 from inkgauge.plans.fixtures import fixture, with_fixtures
-from inkgauge.plans.rounds import audit_rounds
 
 QUERIES: dict = {}
 
@@ -256,15 +255,3 @@ QUERIES["apply_schema_inserts"] = (
       SELECT s.doc_id, cast(cast(b as int) as varchar) || cast(cast(pe as int) as varchar) || cast(cast(coalesce(home, false) as int) as varchar) AS accepted,
       coalesce(string_agg(type, ',' order by type), '') AS types FROM shape s LEFT JOIN tl ON tl.doc_id = s.doc_id GROUP BY ALL"""),
 )
-
-# --- rounds -----------------------------------------------------------------------------------
-
-
-def rounds(spark, sf) -> DataFrame:
-    posts = fixture(spark, sf, "sound_pages")
-    sentence = posts.select("doc_id", F.lit("sentence").alias("kind"), F.lit("The robust plan held.").alias("before"), F.lit("The sturdy plan held.").alias("after"))
-    out = audit_rounds(posts, rewrites=sentence, today="2026-04-30")
-    return out.select("doc_id", "iteration", "overall", "delta", "critical_count", "planned", "applied", "stop_reason")
-
-
-QUERIES["audit_rounds"] = (rounds, None)

@@ -192,14 +192,24 @@ SYNTH_PRIOR = " UNION ALL ".join(
 )
 
 # Pages without unfixable problems: rounds of patching have something to do.
-SOUND_PAGES = """
+ADA = """{"@type": "Person", "@id": "#ada", "name": "Ada Byron", "jobTitle": "Analyst", "sameAs": ["https://www.linkedin.com/in/ada", "https://ada.example.org"]}"""
+
+
+def sound_jsonld(more: str = "''") -> str:
+    """The JSON-LD of a sound page, with more members of its post (an SQL text)."""
+    return (
+        """'{"@context": "https://schema.org", "@graph": [{"@type": "BlogPosting", "@id": "#post", "headline": "H", "datePublished": "2026-04-23T10:30:00Z"' ||
+    case when page_id % 2 = 0 then ', "author": {"@id": "#ada"}' else '' end || """ + more + f""" ||
+    '}}, {ADA}]}}'"""
+    )
+
+
+SOUND_PAGES = f"""
 SELECT page_id AS doc_id, 'Brand ' || cast(page_id % 7 as string) AS brand, 'post-' || cast(page_id as string) AS slug,
   replace(replace(html, '</head>', '<link rel="canonical" href="https://site.example.com/p/' || cast(page_id as string) || '"><meta name="viewport" content="width=device-width">' ||
     case when page_id % 3 = 0 then '<meta property="og:url" content="https://site.example.com/p/' || cast(page_id as string) || '">' else '' end ||
     case when page_id % 4 <> 0 then '<meta name="description" content="Plain words on the page">' else '' end ||
-    '<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "BlogPosting", "@id": "#post", "headline": "H", "datePublished": "2026-04-23T10:30:00Z"' ||
-    case when page_id % 2 = 0 then ', "author": {"@id": "#ada"}' else '' end ||
-    '}, {"@type": "Person", "@id": "#ada", "name": "Ada Byron", "jobTitle": "Analyst", "sameAs": ["https://www.linkedin.com/in/ada", "https://ada.example.org"]}]}</script></head>'),
+    '<script type="application/ld+json">' || {sound_jsonld()} || '</script></head>'),
     '</article>', '<figure><img src="/own.png" alt="own chart"><figcaption>Chart</figcaption></figure><p>We measured it. ' ||
     case when page_id % 5 = 0 then 'The robust plan held.' else 'The plan held.' end || '</p><a href="https://r.example.org/1">1</a><a href="https://r.example.org/2">2</a><a href="https://r.example.org/3">3</a></article>') AS html
 FROM pages
