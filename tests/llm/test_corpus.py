@@ -505,3 +505,77 @@ def test_bucket_offsets_in_two_levels(spark):
             if r == rank:
                 assert got[r, b] == at
                 at += n
+
+
+def brute_fuse(rows, languages, pseudo=lang_id.PSEUDO):
+    """id -> (language, posterior), straight from the formula; rows: (id, host, suffix, declared, said, vote)."""
+    import math
+
+    classes = [*languages, "und"]
+    k = len(classes)
+
+    def counts(place, value):
+        return [sum(r[place] == value and r[5] == i for r in rows) for i in range(k)]
+
+    voted = [sum(r[5] == i for r in rows) for i in range(k)]
+    corpus = [(n + 1) / (sum(voted) + k) for n in voted]
+    spoken = [sum(r[3] is not None and r[5] == i for r in rows) for i in range(k)]
+    out = {}
+    for i, host, suffix, declared, said, vote in rows:
+        if vote is None:
+            out[i] = ("und", 0.0)
+            continue
+
+        def smoothed(n, prior, known):
+            n = [x - (known and c == vote) for c, x in enumerate(n)]
+            return [(x + pseudo * p) / (sum(n) + pseudo) for x, p in zip(n, prior)]
+
+        country = lang_id.SUFFIX_LANGUAGE.get(suffix)
+        base = [0.5 * p + 0.5 * (c == country) for p, c in zip(corpus, classes)] if country in classes else corpus
+        base = smoothed(counts(2, suffix) if suffix is not None else [0] * k, base, suffix is not None)
+        prior = smoothed(counts(1, host) if host is not None else [0] * k, base, host is not None)
+        total = []
+        for c in range(k):
+            own = c == vote
+            mark = 0.0 if declared is None else math.log((counts(3, declared)[c] - own + pseudo * (0.8 if classes[c] == declared else 0.2 / k)) / (spoken[c] - own + pseudo))
+            total.append(said[c] + mark + math.log(prior[c]))
+        top = max(total)
+        out[i] = (classes[total.index(top)], 1 / sum(math.exp(t - top) for t in total))
+    return out
+
+
+def test_fusion_of_all_evidence_matches_brute_force(spark):
+    rng = random.Random(21)
+    languages = ["de", "en", "fr"]
+    rows = []
+    for i in range(250):
+        said = [round(-rng.random() * rng.choice([1, 6]), 3) for _ in range(4)]
+        said[rng.randrange(4)] = 0.0
+        rows.append((i, rng.choice([None, "a", "b", "b", "c"]), rng.choice([None, "de", "fr", "uk", "com", "br"]), rng.choice([None, None, "de", "fr", "xx"]), said,
+                     None if rng.random() < 0.1 else said.index(0.0)))
+    df = spark.createDataFrame(rows, "id int, __host string, __suffix string, __declared string, __said array<double>, __vote int")
+    got = {r.id: (r.__getitem__("__lang"), r.__getitem__("__posterior")) for r in lang_id.fuse(df, languages).collect()}
+    want = brute_fuse(rows, languages)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-9) for i in want)
+
+
+def test_trigram_model_matches_brute_force(spark):
+    rows = [(i, spoken(lang, i, 20), lang, "s") for k, lang in enumerate(("en", "de")) for i in range(100 * k, 100 * k + 15)]
+    languages, weights = lang_id.fit(documents(spark, rows).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
+
+    def buckets(text):
+        kept = b" " + b" ".join(bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()).split()) + b" "
+        return [((a * 961 + b) * 1009 + c) * 2654435761 % 2**32 >> 16 for a, b, c in zip(kept, kept[1:], kept[2:])]
+
+    n = np.zeros((lang_id.BUCKETS, 2))
+    for _, text, lang, _ in rows:
+        for b in buckets(text):
+            n[b, languages.index(lang)] += 1
+    assert languages == ["de", "en"] and np.allclose(weights, np.log((n + 0.05) / (n.sum(axis=0) + 0.05 * lang_id.BUCKETS)), atol=1e-5)
+    # A text counts like at most EVIDENCE of its trigrams; the last class takes all trigrams for equally likely.
+    text = "die Frau, THE man und 12 für"
+    own = buckets(text)
+    want = np.append(weights[own].mean(axis=0), -np.log(lang_id.BUCKETS)) * lang_id.EVIDENCE * (1 - np.exp(-len(own) / lang_id.EVIDENCE))
+    row = lang_id.text_evidence(spark.createDataFrame([(text,)], "text string"), languages, weights).first()
+    assert np.allclose(row["__said"], want - want.max(), atol=1e-4) and row["__vote"] == int(want.argmax())
