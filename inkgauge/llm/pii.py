@@ -111,7 +111,7 @@ def _listed(docs: DataFrame) -> DataFrame:
     found = F.concat(*[F.coalesce(_pieces(F.col("text"), kind), F.expr(
         "cast(array() as array<struct<kind:string,skip:int,value:string>>)"
     )) for kind in PATTERNS])
-    return stage(rows.select("row_id", "doc_id", "text", F.sha2("text", 256).alias("text_sha256"), found.alias("pieces")), "pii-pieces")
+    return stage(rows.select("row_id", "doc_id", "text", found.alias("pieces")), "pii-pieces")
 
 
 def base_mentions(listed: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def _sieve(risky: DataFrame):
 
 
 def _terms_elsewhere(plain: DataFrame, holds) -> DataFrame:
-    """row_id, text and hits (term, start, end) of the rows without matches in which a word passes the sieve.
+    """row_id, term, start, end for the words of rows without matches that pass the sieve.
 
     The words alone are one pass; places are only counted in the few texts in which a word passes.
     """
@@ -266,12 +266,11 @@ def _terms_elsewhere(plain: DataFrame, holds) -> DataFrame:
     )
     some = F.exists(_words(F.col("text")), lambda word: holds(F.lower(word)))
     # The outer form plus a filter on its output: the plain form would compute the places a second time in a filter.
-    return plain.select("row_id", "text", F.explode_outer(F.when(some, F.array(walked))).alias("hits")).where("hits is not null")
+    return plain.select("row_id", F.explode_outer(F.when(some, walked)).alias("t")).where("t is not null").select("row_id", "t.*")
 
 
-def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """One row per row of ``docs``: row_id, doc_id, text_sha256, spans: array of (start, rank, end, kind, action, mark,
-    cut_start, cut_end), in order; and row_id and text of all rows that may have spans."""
+def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, spans: array of (start, rank, end, kind, action, mark, cut_start, cut_end), in order."""
     listed = _listed(docs)
     matched, plain = listed.where(F.size("pieces") > 0), listed.where(F.size("pieces") == 0)
     mentions = stage(base_mentions(listed), "pii-mentions")
@@ -282,11 +281,8 @@ def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     every = mentions.select(
         "row_id", "start", "end", "kind", F.lit("replace").alias("action"), F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("mark")
     )
-    texts = matched.select("row_id", "text")
     if holds := _sieve(risky):
-        elsewhere = stage(_terms_elsewhere(plain, holds), "pii-elsewhere")
-        texts = texts.unionByName(elsewhere.select("row_id", "text"))
-        seen = near.unionByName(elsewhere.select("row_id", F.explode("hits").alias("t")).select("row_id", "t.*"))
+        seen = near.unionByName(stage(_terms_elsewhere(plain, holds), "pii-elsewhere"))
         named = stage(risky.select("term", "ratio").join(classes(risky, n_t, n_docs, generalise), "term"), "pii-classes")
         gone = F.col("ratio") >= remove
         every = every.unionByName(seen.join(named, "term").select(
@@ -300,8 +296,7 @@ def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     fields = ["start", "rank", "end", "kind", "action", "mark", "cut_start", "cut_end"]
     spans = every.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("spans"))
     empty = F.array().cast(spans.schema["spans"].dataType)
-    kept = listed.select("row_id", "doc_id", "text_sha256").join(stage(spans, "pii-spans"), "row_id", "left")
-    return kept.withColumn("spans", F.coalesce("spans", empty)), texts
+    return listed.select("row_id", "doc_id").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
 def spans_text(spans: Column) -> Column:
@@ -340,25 +335,20 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     removed. Overlapping spans are replaced as one, by the mark of the first."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     rows = stage(rows.select("__row", F.struct("__row", "doc_id").alias("doc_id"), "text"), "pii-rows")
-    found, texts = found_spans(rows, **options)
-    changed = found.where(F.size("spans") > 0).join(texts, "row_id").select(
-        F.col("doc_id.__row").alias("__row"), _cleaned(F.col("text"), F.col("spans")).alias("clean"))
-    return rows.join(stage(changed, "pii-clean"), "__row", "left").select("doc_id.doc_id", F.coalesce("clean", whole_text()).alias("text"))
+    found = found_spans(rows, **options).where(F.size("spans") > 0).select(F.col("doc_id.__row").alias("__row"), "spans")
+    none = F.array().cast(found.schema["spans"].dataType)
+    marked = rows.select("__row", "doc_id.doc_id", whole_text().alias("text")).join(stage(found, "pii-found"), "__row", "left").withColumn("spans", F.coalesce("spans", none))
+    return marked.select("doc_id", _cleaned(F.col("text"), F.col("spans")).alias("text"))
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, number of base matches by kind, digest of the base spans, all spans as text; then the number of terms,
-    how many of them are generalised and removed, and the digest of the sanitised text."""
-    rows, texts = found_spans(docs, **options)
-    # Only texts that may change move; all others keep the digest they have.
-    changed = rows.where(F.size("spans") > 0).select("row_id", "spans").join(texts, "row_id").select(
-        "row_id", F.sha2(_cleaned(F.col("text"), F.col("spans")), 256).alias("clean_sha256"))
-    rows = rows.join(changed, "row_id", "left").withColumn("sanitised_sha256", F.coalesce("clean_sha256", "text_sha256"))
+    """doc_id, number of base matches by kind, digest of the base spans, all spans as text; then the number of terms
+    and how many of them are generalised and removed. ``sanitised`` writes the texts."""
+    rows = found_spans(docs, **options)
     base = F.filter("spans", lambda s: s["kind"] != "term")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     done = lambda action, name: F.size(F.filter("spans", lambda s: s["action"] == action)).cast("long").alias(name)
     return rows.select(
         "doc_id", *[count(k) for k in KINDS[:4]], F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"), count("term"), done("generalise", "n_generalised"), done("remove", "n_removed"),
-        "sanitised_sha256",
     )

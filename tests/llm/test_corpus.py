@@ -393,7 +393,7 @@ def test_revisit_records_as_text(spark):
 def test_queries_agree_with_sql(spark, name):
     run, sql = catalog.QUERIES[name]
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = db.sql(sql)
     got = run(spark, SF)

@@ -270,5 +270,5 @@ def test_counts_ratios_and_classes_match_brute_force(spark):
                 k = sum(e in s for s in docs)
                 assert math.log2(k * n / (n_e[e] * len(docs))) / math.log2(n / n_e[e]) < pii.GENERALISE
     clean = {r.doc_id: r.text for r in pii.sanitised(documents(spark, rows)).collect()}
-    assert all(hashlib.sha256(clean[i].encode()).hexdigest() == found[i].sanitised_sha256 and "@" not in clean[i] for i, _ in rows)
+    assert len(clean) == len(rows) and all("@" not in clean[i] and (clean[i] == text) == (not found[i].spans) for i, text in rows)
     assert any("wordz*" in t or "word*" in t for t in clean.values())
