@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 PATCH = "struct<type:string,target:string,before:string,after:string,rationale:string>"
@@ -62,6 +63,23 @@ class Family:
     findings: Callable[[], Column]
 
 
+_BUILT: dict[tuple, tuple] = {}
+
+
+def all_found(families: list[Family]) -> Column:
+    """The findings of several families in one array.
+
+    Building the expression takes thousands of calls into the JVM and depends on nothing but the families, so it is built
+    once per session and used again by every audit, round and micro-batch.
+    """
+    jvm = SparkContext._active_spark_context._jvm
+    key = (id(jvm), *map(id, families))
+    if key not in _BUILT:
+        # The families and the JVM are kept beside it, so that their numbers stay theirs.
+        _BUILT[key] = (F.concat(*[family.findings() for family in families]), jvm, list(families))
+    return _BUILT[key][0]
+
+
 def run_family(shredded: DataFrame, family: Family, key: str = "doc_id") -> DataFrame:
     """Findings of one family as a long table, numbered in the order they are raised."""
     return explode_findings(family.measures(shredded).withColumn("found", family.findings()), key)

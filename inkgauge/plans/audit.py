@@ -83,7 +83,7 @@ def detect(prepared: DataFrame, families: list[fnd.Family] = FAMILIES, key: str
     df = prepared
     for family in families:
         df = family.measures(df)
-    return df.select(key, *keep, F.concat(*[family.findings() for family in families]).alias("found"))
+    return df.select(key, *keep, fnd.all_found(families).alias("found"))
 
 
 def score(found: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

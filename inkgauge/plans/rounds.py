@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from inkgauge import dims
-from inkgauge.operators import lineage as li, remedy, scoring
+from inkgauge.operators import findings as fnd, lineage as li, remedy, scoring
 from inkgauge.plans import audit as au
 from inkgauge.session import ensure_checkpoint_dir
 
@@ -117,7 +117,7 @@ def audit_rounds(
         ready = au.prepare(df, keep_html=True)
         for family in families:
             ready = family.measures(ready)
-        ready = ready.withColumn("found", F.concat(*[f.findings() for f in families]))
+        ready = ready.withColumn("found", fnd.all_found(families))
         if judgements is not None:
             ready = au.judged(ready, judgements.filter(F.col("round") == i)).withColumn(
                 "found", F.concat("found", au._or_empty("human_found"), au._or_empty("quality_found"))

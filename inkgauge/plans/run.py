@@ -52,7 +52,7 @@ def audited(posts: DataFrame, judgements: DataFrame | None, families: list[fnd.F
     chosen = au.FAMILIES if families is None else families
     for family in chosen:
         df = family.measures(df)
-    df = df.withColumn("found", F.concat(*[family.findings() for family in chosen]))
+    df = df.withColumn("found", fnd.all_found(chosen))
     if judgements is not None:
         df = au.judged(df, judgements).withColumn("found", F.concat("found", au._or_empty("human_found"), au._or_empty("quality_found")))
     kept = ["doc_id", "brand", "slug", "post_type", "found", "paragraphs", *[c for c in df.columns if c.endswith("_judge_score")]]
